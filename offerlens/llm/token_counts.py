@@ -20,7 +20,8 @@ from .common import pick, slices
 
 #: White space as Unicode defines it; Python's own \s has four control characters more.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-CACHE_LIMIT = 400_000
+#: Counts kept in a worker process: of stretches, and of pieces.
+CACHE_LIMIT = 500_000
 
 
 def byte_alphabet() -> list[str]:
@@ -56,6 +57,13 @@ def merges_done(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     return done
 
 
+def keep(known: dict[str, int], key: str, n: int) -> None:
+    if len(known) >= CACHE_LIMIT:
+        known.clear()
+    if len(key) < 100:
+        known[key] = n
+
+
 class Counter:
     """Counts tokens by a tokenizer file with word ends; counts of pieces seen before are kept, up to a limit."""
 
@@ -70,12 +78,17 @@ class Counter:
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
         self.alphabet = byte_alphabet()
         self.known: dict[str, int] = {}
+        self.known_pieces: dict[str, int] = {}
 
     def piece(self, piece: str) -> int:
+        if (n := self.known_pieces.get(piece)) is not None:
+            return n
         symbols = [self.alphabet[b] for b in piece.encode()]
         symbols[-1] += self.end
         n = len(symbols)
-        return n - merges_done(symbols, self.ranks)
+        n -= merges_done(symbols, self.ranks)
+        keep(self.known_pieces, piece, n)
+        return n
 
     def chunk(self, chunk: str) -> int:
         """Tokens of a stretch without white space; each string of a special token inside it is one token."""
@@ -84,10 +97,7 @@ class Counter:
         for part in parts:
             part = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
             n += sum(map(self.piece, self.pieces(part.lower())))
-        if len(self.known) >= CACHE_LIMIT:
-            self.known.clear()
-        if len(chunk) < 100:
-            self.known[chunk] = n
+        keep(self.known, chunk, n)
         return n
 
     def text(self, text: str) -> int:
