@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import byte_bpe
 from .common import read_table
 from .token_counts import count_tokens
 
@@ -13,8 +14,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_token_counts,)}
+    return {f.__name__: f for f in (op6_token_counts, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -31,22 +31,22 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-def merges_done(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
-    """How many merges the symbols of one piece undergo."""
+def merges_done(symbols: list, ranks: dict[tuple, int]) -> int:
+    """How many merges the symbols of one piece undergo; what is merged into the one before it becomes None."""
     n = len(symbols)
     if n < 2:
         return 0
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = [(ranks[p], i, *p) for i, p in enumerate(zip(symbols, symbols[1:])) if p in ranks]
     heapq.heapify(heap)
-    alive, done = [True] * n, 0
+    done = 0
     while heap:
         _, i, a, b = heapq.heappop(heap)
         j = after[i]
-        if not alive[i] or j >= n or symbols[i] != a or symbols[j] != b:
+        if j >= n or symbols[i] != a or symbols[j] != b:
             continue  # one of the two has been merged since
         symbols[i] = a + b
-        alive[j] = False
+        symbols[j] = None
         after[i] = after[j]
         if after[i] < n:
             before[after[i]] = i
