@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import byte_bpe
 from .common import read_table
+from .langid import identify_language
 from .quality import score_quality
 from .token_counts import count_tokens
 
@@ -15,6 +16,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "quality", threshold=0.3)
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(read_table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -25,7 +30,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op6_token_counts, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_langid, op6_token_counts, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
