@@ -21,7 +21,7 @@ from .common import pick, slices
 from .token_counts import SPACE, merges_done
 
 #: Stretches whose encoding a worker process keeps.
-CACHE_LIMIT = 350_000
+CACHE_LIMIT = 700_000
 #: Bytes of the longest piece that goes through DuckDB. There each merge rewrites the rows of the piece, which
 #: takes the square of its length; longer pieces are merged, with the same result, on a heap.
 LONGEST = 400
@@ -159,7 +159,7 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(raw, pattern)
-        for batch in slices(batches, 750):
+        for batch in slices(batches, 1500):
             coded = list(codec.encode([t or "" for t in batch["text"].to_pylist()]))
             columns = {
                 "doc_id": batch["doc_id"],
