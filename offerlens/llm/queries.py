@@ -9,6 +9,7 @@ from .byte_bpe import byte_bpe
 from .common import read_table
 from .langid import identify_language
 from .quality import score_quality
+from .quality_rules import quality_rules
 from .token_counts import count_tokens
 
 
@@ -24,13 +25,17 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_langid, op6_token_counts, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_langid, op6_token_counts, op8_quality_rules, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
