@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import byte_bpe
 from .common import read_table
 from .langid import identify_language
+from .near_dup import near_duplicates
 from .quality import score_quality
 from .quality_rules import quality_rules
 from .token_counts import count_tokens
@@ -21,6 +22,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(read_table(spark, sf_dir, "documents"))
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), most=2)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -35,7 +40,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_langid, op6_token_counts, op8_quality_rules, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_langid, op4_near_dup, op6_token_counts, op8_quality_rules, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
