@@ -12,6 +12,7 @@ from .near_dup import near_duplicates
 from .quality import score_quality
 from .quality_rules import quality_rules
 from .token_counts import count_tokens
+from .window_dups import remove_repeated_windows
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op7_window_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_windows(read_table(spark, sf_dir, "documents"), length=50)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_langid, op4_near_dup, op6_token_counts, op8_quality_rules, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_langid, op4_near_dup, op6_token_counts, op7_window_dups, op8_quality_rules, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
