@@ -11,6 +11,7 @@ from .langid import identify_language
 from .near_dup import near_duplicates
 from .quality import score_quality
 from .quality_rules import quality_rules
+from .suffix_dups import remove_repeated_passages
 from .token_counts import count_tokens
 from .window_dups import remove_repeated_windows
 
@@ -44,8 +45,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op10_suffix_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_passages(read_table(spark, sf_dir, "documents"), length=100)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_langid, op4_near_dup, op6_token_counts, op7_window_dups, op8_quality_rules, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_quality, op2_langid, op4_near_dup, op6_token_counts, op7_window_dups, op8_quality_rules, op9_byte_bpe, op10_suffix_dups)}
 
 
 def oracle_sql() -> dict[str, str]:
