@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import byte_bpe
 from .common import read_table
 from .langid import identify_language
+from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .quality import score_quality
 from .quality_rules import quality_rules
@@ -24,6 +25,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(read_table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
+
+
 def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), most=2)
 
@@ -50,7 +55,7 @@ def op10_suffix_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_langid, op4_near_dup, op6_token_counts, op7_window_dups, op8_quality_rules, op9_byte_bpe, op10_suffix_dups)}
+    return {f.__name__: f for f in (op1_quality, op2_langid, op3_mixing, op4_near_dup, op6_token_counts, op7_window_dups, op8_quality_rules, op9_byte_bpe, op10_suffix_dups)}
 
 
 def oracle_sql() -> dict[str, str]:
