@@ -10,6 +10,7 @@ from .common import read_table
 from .langid import identify_language
 from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .neighbours import nearest
 from .quality import score_quality
 from .quality_rules import quality_rules
 from .suffix_dups import remove_repeated_passages
@@ -33,6 +34,10 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), most=2)
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -55,7 +60,7 @@ def op10_suffix_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_langid, op3_mixing, op4_near_dup, op6_token_counts, op7_window_dups, op8_quality_rules, op9_byte_bpe, op10_suffix_dups)}
+    return {f.__name__: f for f in (op1_quality, op2_langid, op3_mixing, op4_near_dup, op5_neighbours, op6_token_counts, op7_window_dups, op8_quality_rules, op9_byte_bpe, op10_suffix_dups)}
 
 
 def oracle_sql() -> dict[str, str]:
