@@ -18,12 +18,13 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 
-def base_columns(docs: DataFrame) -> DataFrame:
-    """doc_id, hashes (of the words), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+def base_columns(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the extra columns, hashes (of the words), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     df = docs.select(
         "doc_id",
+        *extra,
         F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"),
         F.length(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -39,7 +40,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
     gaps = F.transform("starts", lambda s, j: F.coalesce(F.least(F.lit(WINDOW), F.get("starts", j + 1) - s), F.lit(WINDOW)))
     df = df.withColumn("n_repeat_words", F.coalesce(F.aggregate(gaps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return df.select("doc_id", "hashes", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+    return df.select("doc_id", *extra, "hashes", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
 
 
 def trusted_by_faults() -> Column:
@@ -72,17 +73,18 @@ def log_ratios(scored: DataFrame, trusted: Column, buckets: int) -> DataFrame:
     return table.select(F.transform("rows", ratio).alias("ratios"))
 
 
-def quality_rules(docs: DataFrame, trusted: Column | None = None, buckets: int = 8192, threshold: float = -0.12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and score of every row.
+def quality_rules(docs: DataFrame, trusted: Column | None = None, buckets: int = 8192, threshold: float = -0.12, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and score of every row, then the carried columns.
 
     trusted picks the target texts by the counted columns. A null text counts as empty; texts without a word
     fail the base rules and have score 0. Repeated rows count repeatedly and give repeated results, null ids
-    stay null, an empty table gives no rows, other columns are not read. The table of ratios has a fixed
+    stay null, an empty table gives no rows, columns that are not named are not read. The table of ratios has a fixed
     number of entries.
     """
-    base = base_columns(pick(docs, doc_id=id_col, text=text_col)).withColumn("grams", buckets_of(F.col("hashes"), buckets))
+    extra = tuple(f"x{i}" for i in range(len(carry)))
+    base = base_columns(pick(docs, doc_id=id_col, text=text_col, **dict(zip(extra, carry))), extra).withColumn("grams", buckets_of(F.col("hashes"), buckets))
     ratios = log_ratios(base, trusted_by_faults() if trusted is None else trusted, buckets).scalar()
     total = F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get("ratios", b))
     scored = base.withColumn("ratios", ratios).withColumn("score", F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0))
     kept = ~F.col("base_failed") & (F.col("score") >= threshold)
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score")
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score", *(F.col(x).alias(c) for x, c in zip(extra, carry)))
