@@ -87,4 +87,7 @@ def quality_rules(docs: DataFrame, trusted: Column | None = None, buckets: int =
     total = F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get("ratios", b))
     scored = base.withColumn("ratios", ratios).withColumn("score", F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(0.0))
     kept = ~F.col("base_failed") & (F.col("score") >= threshold)
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score", *(F.col(x).alias(c) for x, c in zip(extra, carry)))
+    made = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score", *(F.col(x).alias(c) for x, c in zip(extra, carry))]
+    # A caller's filter on kept would be pushed through the projections, and the counts written out and computed
+    # over again in it for each mention. It is not pushed through a generator, here of one row.
+    return scored.select(F.inline_outer(F.array(F.struct(*made))))
