@@ -23,7 +23,7 @@ from .common import held_out, pick, slices, stored
 LETTERS = re.compile(r"[^\W\d_]+").findall
 #: Different words (or grams) that a task counts before it hands its counts on.
 FLUSH = 300_000
-CACHE_LIMIT = 300_000
+CACHE_LIMIT = 500_000
 
 
 @dataclass(frozen=True)
@@ -139,44 +139,49 @@ def learn(docs: DataFrame, s: Setting) -> tuple[list[str], list[dict[str, int]],
 
 
 class Model:
+    """Scores texts. Vectors of words met before are kept, up to a limit, in one array after those of the model."""
+
     def __init__(self, langs: list[str], rows: list[dict[str, int]], table: np.ndarray):
         self.langs, self.rows, self.table = langs, rows, table
-        self.known: dict[str, np.ndarray] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        """Log frequencies of an unseen word: the mean over its n-grams of the greatest length that is known."""
-        for n in range(len(self.rows) - 1, 0, -1):
-            if found := [i for g in grams_of(word, n) if (i := self.rows[n].get(g)) is not None]:
-                v = self.table[found].mean(0) if len(found) > 1 else self.table[found[0]]
-                break
-        else:
-            v = np.zeros(len(self.langs))
-        if len(self.known) >= CACHE_LIMIT:
-            self.known.clear()
-        self.known[word] = v
-        return v
-
-    def predict(self, text: str | None) -> tuple[str, float]:
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = dict(self.rows[0])
+        self.vectors = self.table
+
+    def back_off(self, words: list[str]) -> None:
+        """Keeps, for each unseen word, the mean over its n-grams of the greatest length that is known (zeros if
+        not even a letter is)."""
+        found, counts, at = [], [], []
+        for k, w in enumerate(words):
+            for n in range(len(self.rows) - 1, 0, -1):
+                get = self.rows[n].get
+                if mine := [i for g in grams_of(w, n) if (i := get(g)) is not None]:
+                    found += mine
+                    counts.append(len(mine))
+                    at.append(k)
+                    break
+        new = np.zeros((len(words), len(self.langs)))
+        if found:
+            n = np.array(counts)
+            new[at] = np.add.reduceat(self.table[found], np.cumsum(n) - n, axis=0) / n[:, None]
+        self.known.update(zip(words, range(len(self.vectors), len(self.vectors) + len(words))))
+        self.vectors = np.concatenate([self.vectors, new])
+
+    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         """The likeliest language and its share; 'und' and 0 without a letter, or if nothing was learned."""
-        words = LETTERS(text.lower()) if text else []
-        if not words or not self.langs or not any(any(map(str.isalpha, w)) for w in words):
-            return "und", 0.0
-        total, lookup = np.zeros(len(self.langs)), self.rows[0].get
-        seen, unseen = [], []
-        for w in words:
-            i = lookup(w)
-            if i is None:
-                unseen.append(w)
-            else:
-                seen.append(i)
-        if seen:
-            total += self.table[seen].sum(0)
-        if unseen:
-            known = self.known
-            total += np.sum([known[w] if w in known else self.word(w) for w in unseen], axis=0)
-        best = int(np.argmax(total))  # of equals, the first by name
-        p = np.exp(total - total[best])
-        return self.langs[best], float(1 / p.sum())
+        lists = [LETTERS(t.lower()) if t and self.langs else [] for t in texts]
+        if len(self.known) > CACHE_LIMIT:
+            self.forget()
+        if new := set().union(*lists).difference(self.known):
+            self.back_off(sorted(new))
+        for words in lists:
+            if not any(any(map(str.isalpha, w)) for w in words):
+                yield "und", 0.0
+                continue
+            total = self.vectors[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(0)
+            best = int(np.argmax(total))  # of equals, the first by name
+            yield self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
 def identify_language(docs: DataFrame, setting: Setting = Setting(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -193,7 +198,7 @@ def identify_language(docs: DataFrame, setting: Setting = Setting(), id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*parts)
         for batch in slices(batches):
-            found = [model.predict(t) for t in batch["text"].to_pylist()]
+            found = list(model.predict(batch["text"].to_pylist()))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
