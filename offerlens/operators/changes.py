@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import prices
 
 
-def undercuts(obs: DataFrame, more_than_bp: int = 0) -> DataFrame:
+def undercuts(obs: DataFrame, more_than_bp: int = -1) -> DataFrame:
     """Rivals below the client, but not below a tenth of its price; bp is the difference in basis points."""
     pairs = prices.client_pairs(obs).where("rival < client and rival * 10 >= client")
     return pairs.withColumn("bp", F.expr("(client - rival) * 10000 div client")).where(F.col("bp") > more_than_bp)
