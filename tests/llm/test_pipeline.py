@@ -69,7 +69,10 @@ def test_stages(spark, documents_rows):
     for rows_in, total in ((third, sizes), (fourth, taken)):
         for r in rows_in:
             total[r[3]] += len(brute.words(r[1]))
-    assert all(taken[s] == pytest.approx(t, rel=0.01) for s, t in brute.targets(sizes).items())
+    documents = Counter(r[3] for r in third)
+    longest = {s: max(len(brute.words(r[1])) for r in third if r[3] == s) for s in documents}
+    for s, t in brute.targets(sizes).items():
+        assert abs(taken[s] - t) <= (longest[s] / 2 + 1 if documents[s] < 40 else t / 100), (s, t, taken[s], documents[s], longest[s])
 
 
 def test_run_ends_with_the_encoding_of_what_stays(spark, documents_rows):
