@@ -12,6 +12,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -21,7 +22,7 @@ from .common import pick, slices
 from .token_counts import SPACE, merges_done
 
 #: Stretches whose encoding a worker process keeps.
-CACHE_LIMIT = 700_000
+CACHE_LIMIT = 200_000
 #: Bytes of the longest piece that goes through DuckDB. There each merge rewrites the rows of the piece, which
 #: takes the square of its length; longer pieces are merged, with the same result, on a heap.
 LONGEST = 400
@@ -72,7 +73,7 @@ class Codec:
         import duckdb
 
         self.ranks = parse_ranks(raw)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "allocator_flush_threshold": "16MB"})
         tokens = list(self.ranks)
         self.pairs = {(t[:i], t[i:]): r for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
         merges = pa.table({"l": [self.ranks[a] for a, _ in self.pairs], "r": [self.ranks[b] for _, b in self.pairs], "merged": list(self.pairs.values())})
@@ -114,9 +115,10 @@ class Codec:
     def encode(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
         """For each text its ids, joined by commas, their number, and the bytes that the ids decode to."""
         cut = [self.stretches(t) for t in texts]
-        if len(self.known) >= CACHE_LIMIT:
-            self.known.clear()
         known = self.known
+        if len(known) >= CACHE_LIMIT:
+            for s in list(islice(known, len(known) // 2)):  # the half met first
+                del known[s]
         new = list(dict.fromkeys(s for stretches in cut for s in stretches if s not in known))
         parts = [self.pieces(s) for s in new]
         coded = self.encode_pieces(list(dict.fromkeys(p for ps in parts for p in ps)))
@@ -159,7 +161,7 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(raw, pattern)
-        for batch in slices(batches, 1500):
+        for batch in slices(batches, 600):
             coded = list(codec.encode([t or "" for t in batch["text"].to_pylist()]))
             columns = {
                 "doc_id": batch["doc_id"],
