@@ -35,9 +35,13 @@ def candidate_pairs(products: DataFrame, least: float = 85.0) -> DataFrame:
     f = features(products)
     crowd = F.count("*").over(Window.partitionBy("block"))
     f = f.withColumn("block", F.when(crowd > CROWDED, F.concat_ws(" ", "block", "second")).otherwise(F.col("block")))
-    side = lambda p: f.select(*(F.col(c).alias(p + c) for c in ("product_id", "site", "words", "pack", "doses", "block")))
-    pairs = side("a_").join(side("b_"), (F.col("a_block") == F.col("b_block")) & (F.col("a_site") < F.col("b_site"))).where(~conflicts("a_", "b_"))
-    pairs = pairs.withColumn("score", text.token_set_ratio(F.col("a_words"), F.col("b_words"))).where(F.col("score") >= least)
+    # Likeness is a matter of names, so each pair of different names is scored once, however many products bear them.
+    names = f.select("name", "words", "pack", "doses", "block").distinct()
+    side = lambda df, p: df.select(*(F.col(c).alias(p + c) for c in df.columns))
+    alike = side(names, "a_").join(side(names, "b_"), (F.col("a_block") == F.col("b_block"))).where(~conflicts("a_", "b_"))
+    alike = alike.withColumn("score", text.token_set_ratio(F.col("a_words"), F.col("b_words"))).where(F.col("score") >= least).select("a_name", "b_name", "score")
+    bearers = f.select("name", "product_id", "site", "block")
+    pairs = side(bearers, "a_").join(alike, "a_name").join(side(bearers, "b_"), "b_name").where("a_site < b_site")
     return pairs.select(F.col("a_product_id").alias("a"), F.col("b_product_id").alias("b"), F.col("a_site").alias("a_site"), F.col("b_site").alias("b_site"), "a_block", "score")
 
 

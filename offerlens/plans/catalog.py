@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import analytics, changes, matching, prices, trust, windows
+from ..operators import analytics, changes, ingest, matching, prices, trust, windows
 from ..sources import files
 from ..sources.adapter import NOW, SQL, events, observations, stock, table
 from ..streaming import twins
@@ -361,8 +361,45 @@ def same_key_groups(spark, d):
     return matching.same_key_groups(products(spark, d))
 
 
+@query(f"q AS (SELECT product_id, site, arg_max(eff, (k1, k2, k3, k4, k5, k6)) FILTER (run_id = {BEFORE}) AS old, arg_max(eff, (k1, k2, k3, k4, k5, k6)) FILTER (run_id = {RUN}) AS new FROM s WHERE run_id IN ({RUN}, {BEFORE}) GROUP BY ALL) SELECT product_id, site, CASE WHEN old IS NULL THEN 'new' WHEN new IS NULL THEN 'gone' ELSE 'price_changed' END AS state, old, new FROM q WHERE old IS DISTINCT FROM new")
+def store_diff(spark, d):
+    return ingest.store_diff(obs(spark, d), RUN, BEFORE)
+
+
+@query("q AS (SELECT run_id, site, count(DISTINCT product_id) AS products FROM s GROUP BY ALL), r AS (SELECT *, count(*) OVER w AS h, CAST(sum(products) OVER w AS BIGINT) AS t FROM q WINDOW w AS (PARTITION BY site ORDER BY run_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) SELECT run_id, site, products, CAST(t AS DOUBLE) / h AS mean, 2 * products * h < t AS alarm FROM r WHERE h >= 2")
+def smoke_test(spark, d):
+    return ingest.smoke_test(obs(spark, d))
+
+
+@query("SELECT product_id, site, arg_max(name, (k1, k2, k3, k4, k5, k6)) FILTER (name <> '') AS name, arg_max(brand, (k1, k2, k3, k4, k5, k6)) FILTER (brand <> '') AS brand, arg_max(category, (k1, k2, k3, k4, k5, k6)) FILTER (category <> '') AS category, arg_max(discount_cents, (k1, k2, k3, k4, k5, k6)) FILTER (discount_cents IS NOT NULL) AS last_discount, min(run_id) AS first_run, max(run_id) AS last_run FROM s GROUP BY product_id, site")
+def upsert_merge(spark, d):
+    return ingest.merged(obs(spark, d))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_discount >= 0.07)", prelude=False)
+def orphans_anti_join(spark, d):
+    discounted = table(spark, d, "lineitem").where("l_discount >= 0.07")
+    return ingest.orphans(table(spark, d, "orders"), "o_orderkey", discounted, "l_orderkey").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT field, nulls, n, nulls > 0.8 * n AS too_many FROM (SELECT 'discount_cents' AS field, count(*) FILTER (discount_cents IS NULL) AS nulls, count(*) AS n FROM s UNION ALL SELECT 'price_cents', count(*) FILTER (price_cents IS NULL), count(*) FROM s)")
+def null_shares(spark, d):
+    return ingest.null_shares(obs(spark, d), ["discount_cents", "price_cents"])
+
+
+@query("SELECT site, count(*) AS listings, count(DISTINCT product_id) AS products, count(DISTINCT brand) AS brands, avg(eff) AS mean, count(discount_cents) AS on_sale FROM s GROUP BY site")
+def site_summary(spark, d):
+    return ingest.site_summary(obs(spark, d))
+
+
+@query("SELECT product_id, price_cents, count(DISTINCT run_id) AS runs, count(DISTINCT run_id) >= 2 AS promoted FROM s GROUP BY product_id, price_cents")
+def confirmed_prices(spark, d):
+    return ingest.confirmed_prices(obs(spark, d))
+
+
 def _event_stream(spark, d):
-    return twins.stream(spark, f"{d}/events.parquet", table(spark, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    # Globbed, as a stream takes a folder or a pattern, and the table may be a file.
+    return twins.stream(spark, f"{d}/events.parque[t]", table(spark, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query(ORACLES["alert_dedup_cooldown"], prelude=False)
