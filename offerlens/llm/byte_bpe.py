@@ -22,7 +22,7 @@ from .common import pick, slices
 from .token_counts import SPACE, merges_done
 
 #: Stretches whose encoding a worker process keeps.
-CACHE_LIMIT = 200_000
+CACHE_LIMIT = 320_000
 #: Bytes of the longest piece that goes through DuckDB. There each merge rewrites the rows of the piece, which
 #: takes the square of its length; longer pieces are merged, with the same result, on a heap.
 LONGEST = 400
