@@ -3,7 +3,8 @@
 Spark deals out the texts; each task cuts them at the pattern and hands the pieces it has not met yet, once
 each, to DuckDB. There a piece is a set of rows, one for each token and its position. A recursive query joins
 neighbouring rows with the merge table and contracts each piece's leftmost pair of least rank until no pair
-is left. An ordered aggregation gives the ids, another one the bytes that the ids decode to.
+is left. An ordered aggregation gives the ids. Another query takes ids and gives, again by an ordered
+aggregation, the bytes that they decode to.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame
 from .common import pick, slices
 from .token_counts import SPACE, merges_done
 
-#: Stretches whose encoding a worker process keeps.
-CACHE_LIMIT = 320_000
+#: Stretches met lately whose encoding a worker process keeps; it keeps as many again that it met before those.
+CACHE_LIMIT = 160_000
 #: Bytes of the longest piece that goes through DuckDB. There each merge rewrites the rows of the piece, which
 #: takes the square of its length; longer pieces are merged, with the same result, on a heap.
 LONGEST = 400
@@ -30,35 +31,35 @@ LONGEST = 400
 #: A row has a token t at position p, the position q and token u that follow, and the rank r of the pair.
 ENCODE = """
 WITH RECURSIVE state(w, p, q, t, u, r, step) AS (
-    SELECT w, p, p + 1, s.t, s.u, m.merged, 0
-    FROM (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS u FROM symbols) AS s
+    SELECT w, p, p + 1::SMALLINT, s.t, s.u, m.merged, 0::SMALLINT
+    FROM symbols AS s
     LEFT JOIN merges AS m ON m.l = s.t AND m.r = s.u
     UNION ALL
     SELECT n.w, n.p, n.q, n.t, n.u, m.merged, n.step
     FROM (
-        SELECT s.w, s.p, s.step + 1 AS step,
+        SELECT s.w, s.p, (s.step + 1)::SMALLINT AS step,
                CASE WHEN s.p = best.p THEN gone.q ELSE s.q END AS q,
                CASE WHEN s.p = best.p THEN best.merged ELSE s.t END AS t,
                CASE WHEN s.p = best.p THEN gone.u WHEN s.q = best.p THEN best.merged ELSE s.u END AS u
         FROM state AS s
         JOIN (
-            SELECT w, k // 1048576 AS merged, k // 1024 % 1024 AS p, k % 1024 AS q
-            FROM (SELECT w, min((r * 1024 + p) * 1024 + q) AS k FROM state WHERE r IS NOT NULL GROUP BY w)
+            SELECT w, (k >> 20)::INTEGER AS merged, ((k >> 10) & 1023)::SMALLINT AS p, (k & 1023)::SMALLINT AS q
+            FROM (SELECT w, min((r::BIGINT << 20) | (p::BIGINT << 10) | q) AS k FROM state WHERE r IS NOT NULL GROUP BY w)
         ) AS best ON best.w = s.w
         JOIN state AS gone ON gone.w = best.w AND gone.p = best.q
         WHERE s.p <> best.q
     ) AS n
     LEFT JOIN merges AS m ON m.l = n.t AND m.r = n.u
 )
-SELECT w, string_agg(CAST(t AS VARCHAR), ',' ORDER BY p) AS ids, count(*) AS n
+SELECT string_agg(t, ',' ORDER BY p) AS ids
 FROM state JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) AS final USING (w, step)
 GROUP BY w ORDER BY w
 """
 
 DECODE = """
-WITH lists AS (SELECT row_number() OVER () AS w, string_split(ids, ',') AS l FROM coded WHERE ids <> ''),
-     rows AS (SELECT w, CAST(unnest(l) AS BIGINT) AS t, generate_subscripts(l, 1) AS p FROM lists)
-SELECT w, string_agg(v.bytes, '' ORDER BY p) FROM rows JOIN vocabulary AS v USING (t) GROUP BY w ORDER BY w
+WITH lists AS (SELECT w, string_split(ids, ',')::INTEGER[] AS l FROM coded),
+     rows AS (SELECT w, unnest(l) AS t, generate_subscripts(l, 1) AS p FROM lists)
+SELECT string_agg(v.bytes, '' ORDER BY p) AS bytes FROM rows JOIN vocabulary AS v USING (t) GROUP BY w ORDER BY w
 """
 
 
@@ -76,7 +77,8 @@ class Codec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "allocator_flush_threshold": "16MB"})
         tokens = list(self.ranks)
         self.pairs = {(t[:i], t[i:]): r for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
-        merges = pa.table({"l": [self.ranks[a] for a, _ in self.pairs], "r": [self.ranks[b] for _, b in self.pairs], "merged": list(self.pairs.values())})
+        columns = {"l": [self.ranks[a] for a, _ in self.pairs], "r": [self.ranks[b] for _, b in self.pairs], "merged": list(self.pairs.values())}
+        merges = pa.table({c: pa.array(v, pa.int32()) for c, v in columns.items()})
         vocabulary = pa.table({"t": [self.ranks[t] for t in tokens], "bytes": [t.hex() for t in tokens]})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", table)
@@ -86,56 +88,68 @@ class Codec:
         self.pieces = regex.compile(unicode_space).findall
         # No match of the pattern reaches over the start of a run of other characters, or the one blank before it.
         self.stretches = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.known: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
-    def encode_pieces(self, pieces: list[str]) -> dict[str, tuple[str, int]]:
-        """Ids, joined by commas, and their number for each different piece."""
-        out, w, p, t, todo = {}, [], [], [], []
+    def encode_pieces(self, pieces: list[str]) -> dict[str, str]:
+        """The ids of each different piece, joined by commas."""
+        out, todo = {}, {}
         for piece in pieces:
             b = piece.encode()
             if (whole := self.ranks.get(b)) is not None:
-                out[piece] = (str(whole), 1)
+                out[piece] = str(whole)
             elif len(b) > LONGEST:
                 symbols = [b[i : i + 1] for i in range(len(b))]
                 merges_done(symbols, self.pairs)
-                ids = [str(self.ranks[s]) for s in symbols if s is not None]
-                out[piece] = (",".join(ids), len(ids))
+                out[piece] = ",".join(str(self.ranks[s]) for s in symbols if s is not None)
             else:
-                w += [len(todo)] * len(b)
-                p += range(len(b))
-                t += [self.ranks[b[i : i + 1]] for i in range(len(b))]
-                todo.append(piece)
+                todo[piece] = b
         if todo:
-            self.db.register("symbols", pa.table({"w": pa.array(w, pa.int64()), "p": pa.array(p, pa.int64()), "t": pa.array(t, pa.int64())}))
-            found = self.db.execute(ENCODE).fetchall()
+            self.db.register("symbols", self.symbols(list(todo.values())))
+            found = [ids for ids, in self.db.execute(ENCODE).fetchall()]
             self.db.unregister("symbols")
-            out |= {todo[k]: (ids, n) for k, ids, n in found}
+            out.update(zip(todo, found, strict=True))
         return out
 
+    def symbols(self, pieces: list[bytes]) -> pa.Table:
+        """A row for each byte: its piece w, position p, token t, and the token u of the piece's next byte."""
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = lengths.cumsum()
+        t = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        last = np.zeros(len(t), bool)
+        last[ends - 1] = True
+        p = np.arange(len(t)) - np.repeat(ends - lengths, lengths)
+        return pa.table({"w": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths), "p": p.astype(np.int16), "t": t, "u": pa.array(np.roll(t, -1), mask=last)})
+
     def encode(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
         """For each text its ids, joined by commas, their number, and the bytes that the ids decode to."""
         cut = [self.stretches(t) for t in texts]
-        known = self.known
-        if len(known) >= CACHE_LIMIT:
-            for s in list(islice(known, len(known) // 2)):  # the half met first
-                del known[s]
-        new = list(dict.fromkeys(s for stretches in cut for s in stretches if s not in known))
+        if len(self.known) >= CACHE_LIMIT:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = []
+        for s in dict.fromkeys(s for stretches in cut for s in stretches):
+            if s not in known:
+                if (met := older.get(s)) is None:
+                    new.append(s)
+                else:
+                    known[s] = met
         parts = [self.pieces(s) for s in new]
         coded = self.encode_pieces(list(dict.fromkeys(p for ps in parts for p in ps)))
-        ids = [coded[ps[0]][0] if len(ps) == 1 else ",".join(coded[p][0] for p in ps) for ps in parts]
-        for s, ps, i, b in zip(new, parts, ids, self.decode(ids)):
-            known[s] = (i, sum(coded[p][1] for p in ps), b)
+        ids = [coded[ps[0]] if len(ps) == 1 else ",".join([coded[p] for p in ps]) for ps in parts]
+        known.update(zip(new, zip(ids, self.decode(ids), strict=True)))
         for stretches in cut:
             got = [known[s] for s in stretches]
-            yield ",".join(g[0] for g in got), sum(g[1] for g in got), b"".join(g[2] for g in got)
+            joined = ",".join([i for i, _ in got])
+            yield joined, joined.count(",") + 1 if got else 0, b"".join([b for _, b in got])
 
     def decode(self, ids: list[str]) -> list[bytes]:
-        """The bytes of each list of ids (joined by commas)."""
-        self.db.register("coded", pa.table({"ids": pa.array(ids, pa.string())}))
+        """The bytes of each list of ids (joined by commas; none of them empty)."""
+        self.db.register("coded", pa.table({"w": np.arange(len(ids)), "ids": pa.array(ids, pa.string())}))
         out = self.db.execute(DECODE).fetchall()
         self.db.unregister("coded")
-        full = iter(out)
-        return [bytes.fromhex(next(full)[1]) if i else b"" for i in ids]
+        return [bytes.fromhex(b) for b, in out]
 
 
 _codecs: dict[int, Codec] = {}
