@@ -4,8 +4,8 @@ Vectors are dealt to shards of bounded size, queries to blocks of bounded size,
 shard. Inner products become distances when each vector gets one more component that lifts it to the length of
 the longest: then the nearest on the sphere has the largest product. A tree node holds a vantage point and the
 distances of its two halves; by the triangle inequality a half can be skipped if no vector in it can be closer
-than the worst of the neighbours found so far. The factor scales that worst distance in the test: one gives
-the exact answer, less skips more. Scores are summed in double precision, component by component.
+than the worst of the neighbours found so far. The factor scales that worst distance in the test: one, as in the
+query, gives the exact answer, less skips more. Scores are summed in double precision, component by component.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .common import partitions_for, pick, stored
 class Setting:
     """factor 1 is exact; shard, block and leaf are numbers of vectors."""
 
-    factor: float = 0.8
+    factor: float = 1.0
     shard: int = 16_384
     block: int = 4096
     leaf: int = 2048
@@ -110,7 +110,9 @@ class Search:
         take = begin[:, None] + np.arange(self.k)
         self.score[who[own]], self.found[who[own]] = score[take], ids[take]
         kth = self.score[who[own], -1] / self.scale[who[own]]
-        self.worst[who[own]] = np.where(np.isfinite(kth), np.sqrt(np.maximum(0, 2 * self.top * self.top - 2 * np.where(np.isfinite(kth), kth, 0))), np.inf)
+        # Rounding may not make the worst distance of near-equal points too small: equal scores go by id.
+        square = 2 * self.top * self.top - 2 * np.where(np.isfinite(kth), kth, 0)
+        self.worst[who[own]] = np.where(np.isfinite(kth), np.sqrt(np.maximum(0, square) + 1e-12 * self.top * self.top), np.inf)
 
 
 def usable(vectors: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import base64
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -13,7 +14,7 @@ from offerlens.llm.byte_bpe import byte_bpe
 from offerlens.llm.langid import identify_language
 from offerlens.llm.mixing import mix_sources
 from offerlens.llm.near_dup import near_duplicates
-from offerlens.llm.neighbours import Setting, nearest
+from offerlens.llm.neighbours import Search, Setting, nearest
 from offerlens.llm.quality import score_quality
 from offerlens.llm.quality_rules import quality_rules
 from offerlens.llm.queries import queries
@@ -158,6 +159,27 @@ def test_neighbours_recall(spark):
     assert all(got[q, i].score == s for q, i, s in hits)
 
 
+@pytest.mark.parametrize("kind", ["unclustered", "clustered", "lengths", "flat"])
+def test_neighbours_of_shards_with_many_leaves(kind):
+    """With the query's own setting, on shards that split into leaves, as the test tables are too small to do."""
+    rng = np.random.default_rng(3)
+    n, k = 20_000, 20
+    x = rng.normal(size=(n, 3 if kind == "flat" else 64))
+    if kind == "clustered":
+        x = rng.normal(size=(40, 64))[rng.integers(40, size=n)] + 0.3 * x
+    if kind in ("lengths", "flat"):
+        x *= rng.lognormal(0, 0.5, size=(n, 1))
+    ids, q = np.arange(n), np.arange(0, n, 100)
+    run = Search(x[q], ids[q], x, ids, float(np.linalg.norm(x, axis=1).max()), k, Setting())
+    run.run()
+    assert n > 4 * Setting().leaf
+    want = x[q] @ x.T
+    want[np.arange(len(q)), q] = -np.inf
+    best = np.argsort(-want, axis=1)[:, :k]
+    hits = sum(len(set(a) & set(b)) for a, b in zip(best.tolist(), run.found.tolist()))
+    assert hits == best.size, hits / best.size
+
+
 def test_token_counts(docs):
     from tokenizers import Tokenizer
 
