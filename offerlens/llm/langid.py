@@ -1,7 +1,7 @@
 """Language ID by word-first backoff.
 
-The model holds, for each language, log relative frequencies of its commonest words and of its commonest
-character n-grams. A word that the model knows adds its own log frequencies; an unseen word backs off to its
+The model holds the commonest words and the commonest character n-grams of each language, with their log relative
+frequencies in every language. A word that the model knows adds its own log frequencies; an unseen word backs off to its
 n-grams of four letters, then three, two and one, and adds the mean over those of the first length of which
 the model knows any. The language with the largest sum wins.
 """
@@ -109,7 +109,8 @@ def gram_counts(words: DataFrame, longest: int) -> DataFrame:
 def learn(docs: DataFrame, s: Setting) -> tuple[list[str], list[dict[str, int]], np.ndarray]:
     """Languages, for each kind the row of each item, and the rows: a log frequency for each language.
 
-    What comes to the driver is bounded by the number of languages times the entries of the setting.
+    What comes to the driver is bounded by the entries of the setting, for each language and kind, times the number
+    of languages.
     """
     words = stored(word_counts(docs))
     counts = words.unionByName(stored(gram_counts(words, s.longest)))
@@ -117,24 +118,26 @@ def learn(docs: DataFrame, s: Setting) -> tuple[list[str], list[dict[str, int]],
     # A limit on the rank: tasks drop what cannot be among the first before the rows of a language meet.
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
     top = counts.withColumn("r", rank).where(F.col("r") <= s.entries)
-    found = top.drop("r").join(totals, ["lang", "kind"]).toPandas()
-    langs = sorted(found["lang"].unique())
+    # What is among the first of one language has its own count in every language that has it at all.
+    items = top.select(F.col("kind").alias("k"), F.col("item").alias("i")).distinct()
+    found = counts.join(items, (F.col("kind") == F.col("k")) & (F.col("item") == F.col("i")), "left_semi").toPandas()
+    sums = totals.toPandas()
+    langs = sorted(sums["lang"].unique())
     column = {x: i for i, x in enumerate(langs)}
-    total = {(r.lang, r.kind): r.total for r in found.drop_duplicates(["lang", "kind"]).itertuples()}
-    rows: list[dict[str, int]] = [{} for _ in range(s.longest + 1)]
-    entries: list[tuple[int, int, float]] = []
-    kinds: list[int] = []
-    for r in found.itertuples():
-        row = rows[r.kind].setdefault(r.item, len(kinds))
-        if row == len(kinds):
-            kinds.append(r.kind)
-        entries.append((row, column[r.lang], np.log(r.n / r.total)))
-    table = np.zeros((len(kinds), len(langs)))
+    rows: list[dict[str, int]] = []
+    tables = [np.zeros((0, len(langs)))]
     for kind in range(s.longest + 1):
-        mine = np.flatnonzero(np.array(kinds) == kind)
-        table[mine] = [np.log(s.floor / total.get((lang, kind), 1)) for lang in langs]
-    for row, c, x in entries:
-        table[row, c] = x
+        mine, before = found[found["kind"] == kind], sum(map(len, tables))
+        names = sorted(mine["item"].unique())
+        rows.append({x: before + i for i, x in enumerate(names)})
+        total = np.ones(len(langs))
+        own = sums[sums["kind"] == kind]
+        total[own["lang"].map(column).to_numpy(np.int64)] = own["total"].to_numpy()
+        # The floor stands for what a language does not have.
+        table = np.full((len(names), len(langs)), s.floor)
+        table[mine["item"].map(rows[kind]).to_numpy(np.int64) - before, mine["lang"].map(column).to_numpy(np.int64)] = mine["n"].to_numpy()
+        tables.append(np.log(table / total))
+    table = np.concatenate(tables)
     return langs, rows, table
 
 

@@ -11,7 +11,8 @@ import public_tokenizers
 import pytest
 
 from offerlens.llm.byte_bpe import byte_bpe
-from offerlens.llm.langid import identify_language
+from offerlens.llm.langid import Setting as LanguageSetting
+from offerlens.llm.langid import identify_language, learn
 from offerlens.llm.mixing import mix_sources
 from offerlens.llm.near_dup import near_duplicates
 from offerlens.llm.neighbours import Search, Setting, nearest
@@ -89,6 +90,16 @@ def test_language_learns(spark):
     assert right > 0.95, (right, len(found))
 
 
+def test_language_counts_items_below_the_cut(spark):
+    """What is among the first of one language only keeps its count in the others; the floor is for what they lack."""
+    docs = spark.createDataFrame([("a b a b a b", "de"), ("b b c c c d d d d", "en"), ("e", "fr")], "text string, lang string")
+    langs, rows, table = learn(docs, LanguageSetting(entries=2, longest=1))
+    assert langs == ["de", "en", "fr"] and set(rows[0]) == {"a", "b", "c", "d", "e"}
+    assert table[rows[0]["b"]] == pytest.approx(np.log([3 / 6, 2 / 9, 0.5 / 1]))
+    assert table[rows[1]["b"]] == pytest.approx(np.log([3 / 6, 2 / 9, 0.5 / 1]))
+    assert table[rows[0]["d"]] == pytest.approx(np.log([0.5 / 6, 4 / 9, 0.5 / 1]))
+
+
 def test_mixing(docs):
     want = Counter((r[0], r[1], len(brute.words(r[2]))) for r in docs.select("doc_id", "source", "text").collect())
     found = mix_sources(docs).collect()
