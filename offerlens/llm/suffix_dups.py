@@ -37,20 +37,30 @@ def byte_units(text: str | None) -> np.ndarray:
 def suffixes_in(texts: list[bytes], ids: np.ndarray, repeated: np.ndarray, hot: np.ndarray, length: int):
     """The different suffixes of a chunk, sorted, and what its own copies tell.
 
-    Returns (suffixes, gone): a suffix is (right, left, deal, text, place): the bytes from the anchor on, those
-    before it, the hash it is dealt by, its text's place in the list, and the anchor's place in the text. gone
-    has (text, from, to) for passages equal to an earlier one of the same chunk.
+    Returns (suffixes, twins, gone): a suffix is (right, left, deal, text, place): the bytes from the anchor on,
+    those before it, the hash it is dealt by, its text's place in the list, and the anchor's place in the text.
+    twins has, by right and left, the other texts of the same id with the suffix at the same place, to which all
+    that is found of it applies. gone has (text, from, to) for passages equal to an earlier one of the same chunk.
     """
     # Earlier texts first, so that the first of equal suffixes is the earliest.
     by_id = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
     first: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
+    twins: dict[tuple[bytes, bytes], dict[int, None]] = {}
     gone: list[tuple[int, int, int]] = []
 
     def meet(right: bytes, left: bytes, deal: int, doc: int, place: int) -> None:
         key = (right, left)
-        held = first.setdefault(key, (deal, doc, place))
-        if (held[1], held[2]) != (doc, place) and (ids[held[1]] != ids[doc] or held[2] < place):
+        _, other, at = first.setdefault(key, (deal, doc, place))
+        if (other, at) == (doc, place):
+            return
+        mine, held = (ids[doc], place), (ids[other], at)
+        if mine == held:
+            twins.setdefault(key, {})[doc] = None
+        elif mine > held:
             gone.append((doc, place - len(left), place + len(right)))
+        else:
+            gone.extend((d, at - len(left), at + len(right)) for d in (other, *twins.pop(key, ())))
+            first[key] = (deal, doc, place)
 
     for a, b in parts([len(texts[i]) for i in by_id]):
         mine = by_id[a:b]
@@ -74,7 +84,7 @@ def suffixes_in(texts: list[bytes], ids: np.ndarray, repeated: np.ndarray, hot:
                 meet(joined[x : t + length], joined[h:x], g, mine[d], x - int(begin[d]))
     suffixes = [(*key, *value) for key, value in first.items()]
     suffixes.sort(key=lambda e: (e[0], e[1]))
-    return suffixes, gone
+    return suffixes, twins, gone
 
 
 def shared(a: bytes, b: bytes, known: int = 0) -> int:
@@ -238,7 +248,7 @@ def remove_repeated_passages(docs: DataFrame, length: int = 100, id_col: str = "
         return texts, ids, *suffixes_in(texts, ids, known(right, False), known(right, True), length)
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, ids, suffixes, _ = own(left, right)
+        _, ids, suffixes, _, _ = own(left, right)
         runs: dict[int, list[int]] = {}
         for i, e in enumerate(suffixes):
             runs.setdefault(e[2] % buckets, []).append(i)
@@ -294,11 +304,11 @@ def remove_repeated_passages(docs: DataFrame, length: int = 100, id_col: str = "
     told = repeated.withColumn("verdict", F.lit(None).cast("binary")).unionByName(verdicts, allowMissingColumns=True)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts, _, suffixes, gone = own(left, right)
+        texts, _, suffixes, twins, gone = own(left, right)
         for blob in right["verdict"].to_pylist() if right.num_rows else []:
             for number, far, near in np.frombuffer(blob or b"", np.int32).reshape(-1, 3).tolist():
-                _, _, _, doc, place = suffixes[number]
-                gone.append((doc, place - far, place - near + length))
+                after, before, _, doc, place = suffixes[number]
+                gone.extend((d, place - far, place - near + length) for d in (doc, *twins.get((after, before), ())))
         intervals: dict[int, list[tuple[int, int]]] = {}
         for doc, a, b in gone:
             intervals.setdefault(doc, []).append((a, b))

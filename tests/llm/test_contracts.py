@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import random
 import zlib
 from collections import Counter
 
@@ -234,3 +235,21 @@ def test_repeated_passages_of_hot_anchors(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 2 = 0")
     got = rows_of(remove_repeated_passages(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == sorted(brute.repeated_passages(texts_of(docs)), key=repr)
+
+
+def test_repeated_passages_of_repeated_rows(spark, monkeypatch):
+    """Rows of one id, or of none, with a passage at one place lose it alike when an earlier id in another chunk has it."""
+    from offerlens.llm import anchors
+
+    monkeypatch.setattr(anchors, "CHUNK_BYTES", 4000)
+    rng = random.Random(7)
+    prose = lambda n: " ".join(str(rng.randrange(10**9)) for _ in range(n))
+    rows = []
+    for i in range(40):
+        passage, head = prose(30), prose(3)
+        rows += [(i, prose(40) + " " + passage)]
+        rows += [(100 + i, f"{head} {passage} {x}") for x in ("tail", "tail", prose(5))] + [(100 + i, passage)]
+        rows += [(None, passage + prose(4))] * 2 + [(None, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = rows_of(remove_repeated_passages(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(brute.repeated_passages(rows), key=repr)
