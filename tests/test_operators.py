@@ -66,6 +66,32 @@ def test_same_names_make_groups_and_packs_keep_apart(spark):
     assert rows(matching.clusters(products), "product_id", "cluster") == [(1, 1), (2, 1)]
 
 
+def test_crowded_blocks_lose_no_pairs(spark, monkeypatch):
+    """Names that share their rarest word but no other are compared however many products the block has."""
+    monkeypatch.setattr(matching, "CROWDED", 3)
+    colours = [f"{c}mber" for c in "abcdefgh"]
+    products = [(10 * i + j, "pqrs"[j], f"Zylophonewood {colours[(i + j) % 8]}") for i in range(8) for j in range(4)]
+    products += [(1000 + i, "p", f"{c} stone {i // 8 + 10}") for i, c in enumerate(colours * 40)]
+    df = spark.createDataFrame(products, "product_id long, site string, name string")
+    f = {r.product_id: r for r in matching.features(df).collect()}
+    pairs = matching.candidate_pairs(df)
+    found = rows(pairs, "a", "b", "score")
+    wood = [p for p in products if p[0] < 1000]
+    assert {f[p[0]].block for p in wood} == {"zilofonevod"}
+    assert {(a, b) for a, b, _ in found if a < 1000} == {(p[0], q[0]) for p in wood for q in wood if p[1] < q[1]}
+    group, members = {}, {}
+    site = {p: s for p, s, _ in products}
+    for a, b, _ in sorted(found, key=lambda r: (-r[2], r[0], r[1])):
+        for p in (a, b):
+            if p not in group:
+                group[p], members[p] = p, {p}
+        x, y = sorted((group[a], group[b]))
+        if x != y and not {site[p] for p in members[x]} & {site[p] for p in members[y]}:
+            members[x] |= members.pop(y)
+            group |= dict.fromkeys(members[x], x)
+    assert rows(matching.clusters(df), "product_id", "cluster") == sorted(((p, g) for p, g in group.items() if len(members[g]) > 1), key=repr)
+
+
 def test_search_ranks_whole_names_first(spark):
     products = sample(spark).select("product_id", "site", "name").distinct()
     assert rows(matching.search(products, "milk 1"), "product_id", "rank") == [(1, 1), (2, 1)]
