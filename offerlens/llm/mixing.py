@@ -54,11 +54,29 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             more = min(int(counts[i] - taken[i]), max(0, left - FITTED) // int(lengths[i]))
             taken[i] += more
             left -= more * int(lengths[i])
+    if left > 8 * FITTED:
+        return coarse(lengths, counts, taken, budget)
     if left > 0:
-        taken += knapsack(lengths, counts - taken, min(left, 8 * FITTED))
+        taken += knapsack(lengths, counts - taken, left)
     return taken
 
 
+def coarse(lengths: np.ndarray, counts: np.ndarray, taken: np.ndarray, budget: int) -> np.ndarray:
+    """Where every document left is longer than what can be fitted word by word: the nearest total of what is taken,
+    that and the one document nearest to the gap, and a knapsack over all documents in units of several words."""
+    off = lambda t: abs(budget - int(lengths @ t))
+    more = taken.copy()
+    free = np.flatnonzero((counts > taken) & (lengths > 0))
+    if len(free):
+        more[free[np.argmin(np.abs(lengths[free] - (budget - int(lengths @ taken))))]] += 1
+    unit = -(-budget // (8 * FITTED))
+    scaled = knapsack((lengths + unit // 2) // unit, counts, -(-budget // unit))
+    left = budget - int(lengths @ scaled)
+    if 0 < left <= 8 * FITTED:
+        scaled += knapsack(lengths, counts - scaled, left)
+    return min((taken, more, scaled), key=off)
+
+
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """Bounded knapsack: documents whose words sum to the largest reachable number up to the budget, or to the
     least above it if that is nearer. Lengths are added from the commonest on until the budget is hit."""

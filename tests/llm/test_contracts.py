@@ -14,7 +14,7 @@ import pytest
 from offerlens.llm.byte_bpe import byte_bpe
 from offerlens.llm.langid import Setting as LanguageSetting
 from offerlens.llm.langid import identify_language, learn
-from offerlens.llm.mixing import mix_sources
+from offerlens.llm.mixing import fit, mix_sources
 from offerlens.llm.near_dup import near_duplicates
 from offerlens.llm.neighbours import Search, Setting, nearest
 from offerlens.llm.quality import score_quality
@@ -123,6 +123,12 @@ def test_mixing(docs):
     assert Counter((r.doc_id, r.source, r.taken) for r in again) == Counter((r.doc_id, r.source, r.taken) for r in found)
 
 
+@pytest.mark.parametrize(("lengths", "budget", "total"), [([10**6], 900_000, 10**6), ([10**6], 400_000, 0), ([500_000, 800_000], 800_000, 800_000), ([70_000, 200_000, 900_000], 950_000, 970_000)])
+def test_fit_of_few_very_long_documents(lengths, budget, total):
+    lengths = np.array(lengths)
+    assert lengths @ fit(lengths, np.ones(len(lengths), np.int64), budget) == total
+
+
 def test_near_duplicates(docs):
     assert rows_of(near_duplicates(docs), "doc_id", "fingerprint", "component_id") == sorted(brute.near_duplicates(texts_of(docs)), key=repr)
 
