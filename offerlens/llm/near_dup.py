@@ -143,6 +143,8 @@ def near_duplicates(docs: DataFrame, most: int = 2, id_col: str = "doc_id", text
     by their fingerprints. A null id gives a row with null doc_id; it never is a component's smallest, and a
     component of null ids only has a null id. An empty table gives no rows; other columns are not read.
     """
+    if most > 2:
+        raise ValueError("most must be at most 2: fingerprints farther apart need not meet")
     docs = stored(fingerprints(pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))))
     nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
     # Rows that share an id connect their fingerprints.

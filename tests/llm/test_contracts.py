@@ -133,6 +133,11 @@ def test_near_duplicates(docs):
     assert rows_of(near_duplicates(docs), "doc_id", "fingerprint", "component_id") == sorted(brute.near_duplicates(texts_of(docs)), key=repr)
 
 
+def test_near_duplicates_farther_than_found():
+    with pytest.raises(ValueError):
+        near_duplicates(None, most=3)
+
+
 def test_near_duplicates_of_crowded_blocks(spark, monkeypatch):
     """Blocks with more members than are compared in pairs take the other way, with the same links."""
     from offerlens.llm import near_dup
