@@ -1,16 +1,18 @@
 """Nearest neighbours by largest inner product, with a vantage-point tree for each shard.
 
-Vectors are dealt to shards of bounded size, queries to blocks of bounded size, and every block meets every
-shard. Inner products become distances when each vector gets one more component that lifts it to the length of
-the longest: then the nearest on the sphere has the largest product. A tree node holds a vantage point and the
-distances of its two halves; by the triangle inequality a half can be skipped if no vector in it can be closer
-than the worst of the neighbours found so far. The factor scales that worst distance in the test: one, as in the
-query, gives the exact answer, less skips more. Scores are summed in double precision, component by component.
+Vectors are dealt to shards of bounded size; each shard builds its tree once and keeps it as a row of a table.
+Queries are dealt to blocks of bounded size, and every block meets every shard's tree. Inner products become
+distances when each vector gets one more component that lifts it to the length of the longest: then the nearest
+on the sphere has the largest product. A tree node holds a vantage point and the distances of its two halves;
+by the triangle inequality a half can be skipped if no vector in it can be closer than the worst of the
+neighbours found so far. The factor scales that worst distance in the test: one, as in the query, gives the
+exact answer, less skips more. Scores are summed in double precision, component by component.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,29 +24,49 @@ from .common import partitions_for, pick, stored
 
 @dataclass(frozen=True)
 class Setting:
-    """factor 1 is exact; shard, block and leaf are numbers of vectors."""
+    """factor 1 is exact; shard, block and leaf are numbers of vectors. A shard has a sixteenth of its size at least
+    where that gives every task of a shuffle one."""
 
     factor: float = 1.0
-    shard: int = 16_384
-    block: int = 4096
+    shard: int = 32_768
+    block: int = 8192
     leaf: int = 2048
     seed: int = 11
 
 
-class Tree:
-    """Halves of equal size by distance from a vantage point, down to leaves."""
+@lru_cache(maxsize=None)
+def splits_of(n: int, leaf: int) -> int:
+    """Inner nodes of a tree over so many vectors."""
+    return 0 if n <= leaf else 1 + splits_of(n // 2, leaf) + splits_of(n - n // 2, leaf)
 
-    def __init__(self, x: np.ndarray, rows: np.ndarray, s: Setting, rng: np.random.Generator):
-        self.rows = rows
-        self.inside = self.outside = None
-        if len(rows) <= s.leaf:
-            return
-        self.point = x[rows[rng.integers(len(rows))]]
-        d = np.linalg.norm(x[rows] - self.point, axis=1)
-        order = np.argsort(d, kind="stable")
-        half = len(rows) // 2
-        self.radius, self.start, self.end = d[order[half - 1]], d[order[half]], d[order[-1]]
-        self.inside, self.outside = Tree(x, rows[order[:half]], s, rng), Tree(x, rows[order[half:]], s, rng)
+
+def built(x: np.ndarray, leaf: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Halves of equal size by distance from a vantage point, down to leaves: the rows of x from leaf to leaf, and
+    for each inner node, parents first, the place of its point in that order, the greatest distance of the
+    inner half, and the least and the greatest of the outer one."""
+    rng = np.random.default_rng(seed)
+    order = np.arange(len(x))
+    nodes: list[tuple[int, float, float, float]] = []
+
+    def split(a: int, b: int) -> None:
+        if b - a > leaf:
+            rows, half = order[a:b], (b - a) // 2
+            point = rows[rng.integers(b - a)]
+            d = np.linalg.norm(x[rows] - x[point], axis=1)
+            by = np.argsort(d, kind="stable")
+            order[a:b] = rows[by]
+            nodes.append((point, d[by[half - 1]], d[by[half]], d[by[-1]]))
+            split(a, a + half)
+            split(a + half, b)
+
+    split(0, len(x))
+    place = np.argsort(order)
+    return order, np.array([(place[int(n[0])], *n[1:]) for n in nodes]).reshape(-1, 4)
+
+
+def lifted(x: np.ndarray, top: float) -> np.ndarray:
+    """Vectors with one more component, so that all have length top."""
+    return np.hstack([x, np.sqrt(np.maximum(0, top * top - (x * x).sum(axis=1)))[:, None]])
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -56,54 +78,70 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """The k best of one shard for each query of a block."""
+    """The k best of one shard for each query of a block. x and x_ids are in the order of the shard's tree."""
 
-    def __init__(self, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, top: float, k: int, s: Setting):
-        self.q, self.q_ids, self.x, self.x_ids, self.k, self.s = q, q_ids, x, x_ids, k, s
+    def __init__(self, q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, nodes: np.ndarray, top: float, k: int, s: Setting):
+        self.q, self.q_ids, self.x, self.x_ids, self.nodes, self.k, self.s = q, q_ids, x, x_ids, nodes, k, s
         # Queries are scaled to the sphere: this changes no order. All points then have length top.
-        self.lifted = np.hstack([x, np.sqrt(np.maximum(0, top * top - (x * x).sum(axis=1)))[:, None]])
+        self.vantage = lifted(x[nodes[:, 0].astype(np.int64)], top)
         self.points = np.hstack([q * (top / np.linalg.norm(q, axis=1))[:, None], np.zeros((len(q), 1))])
         self.score = np.full((len(q), k), -np.inf)
         self.found = np.full((len(q), k), np.iinfo(np.int64).max)
         self.worst = np.full(len(q), np.inf)  # distance of the k-th found
         self.top = top
         self.scale = np.linalg.norm(q, axis=1) / top
+        #: Rows that one id has at most, and products taken in all.
+        self.same = int(np.unique(x_ids, return_counts=True)[1].max(initial=1))
+        self.scanned = 0
 
     def run(self) -> None:
         if len(self.x) and len(self.q):
-            self.visit(Tree(self.lifted, np.arange(len(self.x)), self.s, np.random.default_rng(self.s.seed)), np.arange(len(self.q)))
+            self.visit(0, len(self.x), 0, np.arange(len(self.q)))
 
-    def visit(self, node: Tree, who: np.ndarray) -> None:
-        if node.inside is None:
-            for a in range(0, len(who), 1024):
-                self.scan(node.rows, who[a : a + 1024])
+    def visit(self, a: int, b: int, node: int, who: np.ndarray) -> None:
+        if b - a <= self.s.leaf:
+            for i in range(0, len(who), 1024):
+                self.scan(slice(a, b), who[i : i + 1024])
             return
-        d = np.linalg.norm(self.points[who] - node.point, axis=1)
-        near = d <= (node.radius + node.start) / 2
+        _, radius, start, end = self.nodes[node]
+        half = a + (b - a) // 2
+        d = np.linalg.norm(self.points[who] - self.vantage[node], axis=1)
+        near = d <= (radius + start) / 2
+        inner = (a, half, node + 1, np.maximum(0, d - radius))
+        outer = (half, b, node + 1 + splits_of(half - a, self.s.leaf), np.maximum(np.maximum(0, start - d), d - end))
         for first in (True, False):  # the likelier half first, for a small worst distance early
-            for half, mine in ((node.inside, near == first), (node.outside, near != first)):
-                gap = np.maximum(0, d - node.radius) if half is node.inside else np.maximum(np.maximum(0, node.start - d), d - node.end)
+            for (low, high, child, gap), mine in ((inner, near == first), (outer, near != first)):
                 go = mine & (gap <= self.s.factor * self.worst[who] * (1 + 1e-9))
                 if go.any():
-                    self.visit(half, who[go])
+                    self.visit(low, high, child, who[go])
 
-    def scan(self, rows: np.ndarray, who: np.ndarray) -> None:
-        rough = self.q[who] @ self.x[rows].T
+    def scan(self, rows: slice, who: np.ndarray) -> None:
+        x, x_ids = self.x[rows], self.x_ids[rows]
+        self.scanned += len(x) * len(who)
+        rough = self.q[who] @ x.T
         # What matrix products round off is less than this; all that may be among the best is summed again.
         slack = 1e-12 * (1 + self.top * np.linalg.norm(self.q[who], axis=1))
         hit = rough >= (self.score[who, -1] - slack)[:, None]
-        if rough.shape[1] > self.k + 1 and hit.sum() > 4 * self.k * len(who):
-            kth = -np.partition(-rough, self.k, axis=1)[:, self.k]
+        # The k best ids and the query's own can have so many rows between them.
+        most = (self.k + 1) * self.same
+        if rough.shape[1] > most and hit.sum() > 4 * self.k * len(who):
+            kth = -np.partition(-rough, most - 1, axis=1)[:, most - 1]
             hit &= rough >= (kth - slack)[:, None]
-        hit &= self.x_ids[rows][None] != self.q_ids[who][:, None]
+        hit &= x_ids[None] != self.q_ids[who][:, None]
         i, j = np.nonzero(hit)
         if not len(i):
             return
-        exact = products(self.q[who[i]], self.x[rows[j]])
+        exact = products(self.q[who[i]], x[j])
         own = np.unique(i)
         row = np.concatenate([i, np.repeat(own, self.k)])
         score = np.concatenate([exact, self.score[who[own]].ravel()])
-        ids = np.concatenate([self.x_ids[rows[j]], self.found[who[own]].ravel()])
+        ids = np.concatenate([x_ids[j], self.found[who[own]].ravel()])
+        if self.same > 1:  # of the rows of one id the best stays
+            order = np.lexsort((-score, ids, row))
+            row, score, ids = row[order], score[order], ids[order]
+            again = np.zeros(len(row), bool)
+            again[1:] = (row[1:] == row[:-1]) & (ids[1:] == ids[:-1]) & np.isfinite(score[1:])
+            row, score, ids = row[~again], score[~again], ids[~again]
         order = np.lexsort((ids, -score, row))
         row, score, ids = row[order], score[order], ids[order]
         begin = np.searchsorted(row, own)
@@ -126,32 +164,48 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, setting: Setting =
     """query_id, rank, vec_id, score: the k nearest of every row whose id is divisible by `every`, among all rows but those of its own id.
 
     Rows without an id, null vectors, zero vectors and those with null or non-finite components take no part;
-    vectors meet only those of their own number of components. Equal scores go to the smaller id. Of rows with
-    the same id and vector one takes part. An empty table gives no rows; other columns are not read.
+    vectors meet only those of their own number of components. Equal scores go to the smaller id. Rows of one id
+    with different vectors count as one item, scored by its best pair, so no id comes twice in a ranking.
+    An empty table gives no rows; other columns are not read.
     """
     s = setting
+    n = partitions_for(vectors.sparkSession, 1)
     data = stored(usable(pick(vectors, id=id_col, v=vector_col)).dropDuplicates(["id", "v"]))
     # One row for each number of components; its length says nothing about the number of vectors.
     sizes = data.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(F.col("id") % every == 0, 1)).alias("queries"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("top"))
-    sizes = sizes.select("dim", "top", F.ceil(F.col("n") / s.shard).cast("int").alias("shards"), F.greatest(F.lit(1), F.ceil(F.col("queries") / s.block)).cast("int").alias("blocks"))
+    wanted = lambda count, size: F.greatest(F.lit(1), F.ceil(F.col(count) / size), F.least(F.lit(n), F.ceil(16 * F.col(count) / size))).cast("int")
+    sizes = sizes.select("dim", "top", wanted("n", s.shard).alias("shards"), F.greatest(F.lit(1), F.ceil(F.col("queries") / s.block)).cast("int").alias("blocks"))
     sized = data.join(sizes, "dim")
-    spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    spread = lambda n, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    base = sized.select("dim", "top", "id", "v", spread("shards", 1).alias("shard"), upto("blocks").alias("block"))
+    matrix = lambda t, c: t[c].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+
+    def plant(table: pa.Table) -> pa.Table:
+        # Rows in one order whatever task they come from, so that a shard built again has the same tree.
+        table = table.take(pa.array(np.lexsort((*matrix(table, "v").T, table["id"].to_numpy()))))
+        x, top = matrix(table, "v"), table["top"][0].as_py()
+        order, nodes = built(lifted(x, top), s.leaf, s.seed)
+        one = {"dim": table["dim"][0].as_py(), "shard": table["shard"][0].as_py(), "top": top, "blocks": table["blocks"][0].as_py()}
+        return pa.Table.from_pylist([one | {"ids": table["id"].to_numpy()[order].tobytes(), "x": x[order].tobytes(), "nodes": nodes.tobytes()}], planted)
+
+    planted = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("top", pa.float64()), ("blocks", pa.int32()), ("ids", pa.binary()), ("x", pa.binary()), ("nodes", pa.binary())])
+    shards = sized.select("dim", "top", "id", "v", "blocks", spread("shards", 1).alias("shard")).repartition(n, "dim", "shard").groupBy("dim", "shard")
+    trees = stored(shards.applyInArrow(plant, "dim int, shard int, top double, blocks int, ids binary, x binary, nodes binary"))
+    base = trees.select("dim", "shard", "top", "ids", "x", "nodes", upto("blocks").alias("block"))
     asked = sized.where(F.col("id") % every == 0).select(F.col("dim").alias("q_dim"), F.col("id").alias("q_id"), F.col("v").alias("q_v"), spread("blocks", 2).alias("q_block"), upto("shards").alias("q_shard"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        matrix = lambda t, c: t[c].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        q_ids = right["q_id"].to_numpy()
-        run = Search(matrix(right, "q_v"), q_ids, matrix(left, "v"), left["id"].to_numpy(), left["top"][0].as_py(), k, s)
+        q_ids, tree = right["q_id"].to_numpy(), left.to_pylist()[0]
+        x = np.frombuffer(tree["x"]).reshape(-1, tree["dim"])
+        run = Search(matrix(right, "q_v"), q_ids, x, np.frombuffer(tree["ids"], np.int64), np.frombuffer(tree["nodes"]).reshape(-1, 4), tree["top"], k, s)
         run.run()
         i, j = np.nonzero(run.score > -np.inf)
         return pa.table({"query_id": q_ids[i], "vec_id": run.found[i, j], "score": run.score[i, j]})
 
-    n = partitions_for(vectors.sparkSession, 1)
     keys, q_keys = ["dim", "shard", "block"], ["q_dim", "q_shard", "q_block"]
     found = base.repartition(n, *keys).groupBy(*keys).cogroup(asked.repartition(n, *q_keys).groupBy(*q_keys)).applyInArrow(search, "query_id long, vec_id long, score double")
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

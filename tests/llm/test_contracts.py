@@ -16,7 +16,7 @@ from offerlens.llm.langid import Setting as LanguageSetting
 from offerlens.llm.langid import identify_language, learn
 from offerlens.llm.mixing import fit, mix_sources
 from offerlens.llm.near_dup import near_duplicates
-from offerlens.llm.neighbours import Search, Setting, nearest
+from offerlens.llm.neighbours import Search, Setting, built, lifted, nearest
 from offerlens.llm.quality import score_quality
 from offerlens.llm.quality_rules import quality_rules
 from offerlens.llm.queries import queries
@@ -173,6 +173,24 @@ def test_neighbours_are_exact_with_factor_one(spark):
     assert nearest(data.limit(0)).count() == 0
 
 
+def test_neighbours_of_ids_with_several_vectors(spark):
+    """An id is one item, scored by its best pair of vectors, also where it has more rows than are asked for."""
+    rng = random.Random(2)
+    rows = [(i % 25 if i < 60 else 7, [float(rng.randrange(-9, 9)) for _ in range(3)]) for i in range(200)] + [(20, [1.0, 2.0, 3.0])] * 2
+    best: dict[tuple[int, int], float] = {}
+    for i, v in rows:
+        for j, w in rows:
+            if i % 20 == 0 and i != j and any(v) and any(w):
+                best[i, j] = max(best.get((i, j), -np.inf), sum(a * b for a, b in zip(v, w)))
+    want = []
+    for i in {a for a, _ in best}:
+        ranked = sorted((-s, j) for (a, j), s in best.items() if a == i)[:20]
+        want += [(i, n, j, -s) for n, (s, j) in enumerate(ranked, 1)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = nearest(data, setting=Setting(shard=50, block=2, leaf=8))
+    assert rows_of(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
 def test_neighbours_recall(spark):
     data = spark.read.parquet(f"{SF}/embeddings.parquet")
     want = brute.nearest([tuple(r) for r in data.select("vec_id", "embedding").collect()])
@@ -193,7 +211,9 @@ def test_neighbours_of_shards_with_many_leaves(kind):
     if kind in ("lengths", "flat"):
         x *= rng.lognormal(0, 0.5, size=(n, 1))
     ids, q = np.arange(n), np.arange(0, n, 100)
-    run = Search(x[q], ids[q], x, ids, float(np.linalg.norm(x, axis=1).max()), k, Setting())
+    top = float(np.linalg.norm(x, axis=1).max())
+    order, nodes = built(lifted(x, top), Setting().leaf, Setting().seed)
+    run = Search(x[q], ids[q], x[order], ids[order], nodes, top, k, Setting())
     run.run()
     assert n > 4 * Setting().leaf
     want = x[q] @ x.T
