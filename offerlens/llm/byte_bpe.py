@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding with recursive DuckDB queries in each task.
 
-Spark deals out the texts; each task cuts them at the pattern and hands the pieces it has not met yet, once
+Spark deals out the texts; each task cuts them at the pattern and hands the pieces it has not met lately, once
 each, to DuckDB. There a piece is a set of rows, one for each token and its position. A recursive query joins
 neighbouring rows with the merge table and contracts each piece's leftmost pair of least rank until no pair
 is left. An ordered aggregation gives the ids. Another query takes ids and gives, again by an ordered
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,48 +18,48 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .anchors import parts
 from .common import pick, slices
 from .token_counts import SPACE, merges_done
 
-#: Stretches met lately whose encoding a worker process keeps; it keeps as many again that it met before those.
-CACHE_LIMIT = 160_000
+#: Pieces met lately whose encoding a worker process keeps; it keeps as many again that it met before those.
+CACHE_LIMIT = 200_000
 #: Bytes of the longest piece that goes through DuckDB. There each merge rewrites the rows of the piece, which
 #: takes the square of its length; longer pieces are merged, with the same result, on a heap.
 LONGEST = 400
+#: Bytes of the pieces that one query encodes, which bounds its rows.
+ROUND = 400_000
 
-#: A row has a token t at position p, the position q and token u that follow, and the rank r of the pair.
+#: A row has a token t at position p, the position q and token u that follow, and, in k, the token that the two
+#: merge to, p and q. Only pairs that a step has changed are looked up again.
 ENCODE = """
-WITH RECURSIVE state(w, p, q, t, u, r, step) AS (
-    SELECT w, p, p + 1::SMALLINT, s.t, s.u, m.merged, 0::SMALLINT
+WITH RECURSIVE state(w, p, q, t, u, k, step) AS (
+    SELECT w, p, p + 1::SMALLINT, s.t, s.u, (m.merged::BIGINT << 20) | (p::BIGINT << 10) | (p + 1), 0::SMALLINT
     FROM symbols AS s
-    LEFT JOIN merges AS m ON m.l = s.t AND m.r = s.u
+    LEFT JOIN merges AS m ON m.pair = (s.t::BIGINT << 20) | s.u
     UNION ALL
-    SELECT n.w, n.p, n.q, n.t, n.u, m.merged, n.step
+    SELECT n.w, n.p, n.q, n.t, n.u, CASE WHEN n.changed THEN (m.merged::BIGINT << 20) | (n.p::BIGINT << 10) | n.q ELSE n.k END, n.step
     FROM (
-        SELECT s.w, s.p, (s.step + 1)::SMALLINT AS step,
+        SELECT s.w, s.p, s.k, (s.step + 1)::SMALLINT AS step, s.p = best.p OR s.q = best.p AS changed,
                CASE WHEN s.p = best.p THEN gone.q ELSE s.q END AS q,
                CASE WHEN s.p = best.p THEN best.merged ELSE s.t END AS t,
                CASE WHEN s.p = best.p THEN gone.u WHEN s.q = best.p THEN best.merged ELSE s.u END AS u
         FROM state AS s
         JOIN (
             SELECT w, (k >> 20)::INTEGER AS merged, ((k >> 10) & 1023)::SMALLINT AS p, (k & 1023)::SMALLINT AS q
-            FROM (SELECT w, min((r::BIGINT << 20) | (p::BIGINT << 10) | q) AS k FROM state WHERE r IS NOT NULL GROUP BY w)
+            FROM (SELECT w, min(k) AS k FROM state WHERE k IS NOT NULL GROUP BY w)
         ) AS best ON best.w = s.w
         JOIN state AS gone ON gone.w = best.w AND gone.p = best.q
         WHERE s.p <> best.q
     ) AS n
-    LEFT JOIN merges AS m ON m.l = n.t AND m.r = n.u
+    LEFT JOIN merges AS m ON m.pair = CASE WHEN n.changed THEN (n.t::BIGINT << 20) | n.u END
 )
 SELECT string_agg(t, ',' ORDER BY p) AS ids
 FROM state JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) AS final USING (w, step)
 GROUP BY w ORDER BY w
 """
 
-DECODE = """
-WITH lists AS (SELECT w, string_split(ids, ',')::INTEGER[] AS l FROM coded),
-     rows AS (SELECT w, unnest(l) AS t, generate_subscripts(l, 1) AS p FROM lists)
-SELECT string_agg(v.bytes, '' ORDER BY p) AS bytes FROM rows JOIN vocabulary AS v USING (t) GROUP BY w ORDER BY w
-"""
+DECODE = "SELECT string_agg(v.bytes, '' ORDER BY p) AS bytes FROM coded JOIN vocabulary AS v USING (t) GROUP BY w ORDER BY w"
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -74,11 +73,11 @@ class Codec:
         import duckdb
 
         self.ranks = parse_ranks(raw)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "allocator_flush_threshold": "16MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "allocator_flush_threshold": "16MB", "temp_directory": ""})
         tokens = list(self.ranks)
         self.pairs = {(t[:i], t[i:]): r for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
-        columns = {"l": [self.ranks[a] for a, _ in self.pairs], "r": [self.ranks[b] for _, b in self.pairs], "merged": list(self.pairs.values())}
-        merges = pa.table({c: pa.array(v, pa.int32()) for c, v in columns.items()})
+        both = [self.ranks[a] << 20 | self.ranks[b] for a, b in self.pairs]
+        merges = pa.table({"pair": pa.array(both, pa.int64()), "merged": pa.array(self.pairs.values(), pa.int32())})
         vocabulary = pa.table({"t": [self.ranks[t] for t in tokens], "bytes": [t.hex() for t in tokens]})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", table)
@@ -86,11 +85,11 @@ class Codec:
             self.db.unregister("given")
         unicode_space = pattern.replace("[^\\s", f"[^{SPACE}").replace("\\s", f"[{SPACE}]").replace("\\S", f"[^{SPACE}]")
         self.pieces = regex.compile(unicode_space).findall
-        # No match of the pattern reaches over the start of a run of other characters, or the one blank before it.
-        self.stretches = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.known: dict[str, tuple[str, bytes]] = {}
-        self.older: dict[str, tuple[str, bytes]] = {}
+        #: By piece: its ids, joined by commas, and the bytes that they decode to. The same, of pieces met longer ago.
+        self.ids: dict[str, str] = {}
+        self.bytes: dict[str, bytes] = {}
+        self.older: tuple[dict[str, str], dict[str, bytes]] = {}, {}
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, str]:
         """The ids of each different piece, joined by commas."""
@@ -105,11 +104,12 @@ class Codec:
                 out[piece] = ",".join(str(self.ranks[s]) for s in symbols if s is not None)
             else:
                 todo[piece] = b
-        if todo:
-            self.db.register("symbols", self.symbols(list(todo.values())))
+        names, lists = list(todo), list(todo.values())
+        for a, b in parts(list(map(len, lists)), ROUND):
+            self.db.register("symbols", self.symbols(lists[a:b]))
             found = [ids for ids, in self.db.execute(ENCODE).fetchall()]
             self.db.unregister("symbols")
-            out.update(zip(todo, found, strict=True))
+            out.update(zip(names[a:b], found, strict=True))
         return out
 
     def symbols(self, pieces: list[bytes]) -> pa.Table:
@@ -122,31 +122,37 @@ class Codec:
         p = np.arange(len(t)) - np.repeat(ends - lengths, lengths)
         return pa.table({"w": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths), "p": p.astype(np.int16), "t": t, "u": pa.array(np.roll(t, -1), mask=last)})
 
+    def learn(self, pieces: set[str]) -> None:
+        """Sees to it that every one of the pieces is known."""
+        if len(self.ids) >= CACHE_LIMIT:
+            self.older, self.ids, self.bytes = (self.ids, self.bytes), {}, {}
+        old_ids, old_bytes = self.older
+        new = []
+        for p in pieces - self.ids.keys():
+            if p in old_ids:
+                self.ids[p], self.bytes[p] = old_ids[p], old_bytes[p]
+            else:
+                new.append(p)
+        coded = self.encode_pieces(new)
+        self.ids |= coded
+        self.bytes.update(zip(coded, self.decode(list(coded.values())), strict=True))
+
     def encode(self, texts: list[str]) -> Iterator[tuple[str, int, bytes]]:
         """For each text its ids, joined by commas, their number, and the bytes that the ids decode to."""
-        cut = [self.stretches(t) for t in texts]
-        if len(self.known) >= CACHE_LIMIT:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        new = []
-        for s in dict.fromkeys(s for stretches in cut for s in stretches):
-            if s not in known:
-                if (met := older.get(s)) is None:
-                    new.append(s)
-                else:
-                    known[s] = met
-        parts = [self.pieces(s) for s in new]
-        coded = self.encode_pieces(list(dict.fromkeys(p for ps in parts for p in ps)))
-        ids = [coded[ps[0]] if len(ps) == 1 else ",".join([coded[p] for p in ps]) for ps in parts]
-        known.update(zip(new, zip(ids, self.decode(ids), strict=True)))
-        for stretches in cut:
-            got = [known[s] for s in stretches]
-            joined = ",".join([i for i, _ in got])
-            yield joined, joined.count(",") + 1 if got else 0, b"".join([b for _, b in got])
+        cut = [self.pieces(t) for t in texts]
+        self.learn(set().union(*cut))
+        for pieces in cut:
+            joined = ",".join(map(self.ids.__getitem__, pieces))
+            yield joined, joined.count(",") + 1 if pieces else 0, b"".join(map(self.bytes.__getitem__, pieces))
 
     def decode(self, ids: list[str]) -> list[bytes]:
         """The bytes of each list of ids (joined by commas; none of them empty)."""
-        self.db.register("coded", pa.table({"w": np.arange(len(ids)), "ids": pa.array(ids, pa.string())}))
+        if not ids:
+            return []
+        lists = [i.split(",") for i in ids]
+        t = np.array([x for one in lists for x in one], np.int32)
+        w = np.repeat(np.arange(len(lists), dtype=np.int32), [len(one) for one in lists])
+        self.db.register("coded", pa.table({"w": w, "p": np.arange(len(t), dtype=np.int32), "t": t}))
         out = self.db.execute(DECODE).fetchall()
         self.db.unregister("coded")
         return [bytes.fromhex(b) for b, in out]
