@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import partitions_for
+
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of text in a chunk, and bytes of text whose anchors make up one range.
 CHUNK_BYTES, RANGE_BYTES = 8 << 20, 24 << 20
@@ -66,6 +68,8 @@ def anchor_places(units: np.ndarray, lengths: np.ndarray, length: int) -> tuple[
     (of equals the first; ascending), and the hash of the k-gram at every place."""
     k = length // 2
     n = len(units) - length + 1
+    if n > PLACE:
+        raise ValueError("a text of over 2**30 units has no place in an anchor")
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     text = np.repeat(np.arange(len(lengths)), lengths)
@@ -106,9 +110,10 @@ def unpack(blob: bytes, width: int) -> np.ndarray:
 
 
 def chunked(docs: DataFrame, text_bytes: int, id_col: str = "doc_id") -> tuple[DataFrame, int]:
-    """docs with the column chunk, and the number of chunks; a chunk holds about CHUNK_BYTES of text."""
-    n = max(4, -(-text_bytes // CHUNK_BYTES))
-    return docs.withColumn("chunk", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")), n
+    """docs with the column chunk, and the number of chunks; a chunk holds about CHUNK_BYTES of text at most, and
+    every task of a shuffle has one. The text is part of what deals, so that rows of one id, or of none, spread."""
+    n = partitions_for(docs.sparkSession, -(-text_bytes // CHUNK_BYTES))
+    return docs.withColumn("chunk", F.pmod(F.xxhash64(id_col, "text"), F.lit(n)).cast("int")), n
 
 
 def text_bytes(docs: DataFrame) -> int:

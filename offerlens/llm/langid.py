@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, pick, slices, stored
+from .common import held_out, partitions_for, pick, slices, stored
 
 LETTERS = re.compile(r"[^\W\d_]+").findall
 #: Different words (or grams) that a task counts before it hands its counts on.
@@ -109,15 +109,22 @@ def gram_counts(words: DataFrame, longest: int) -> DataFrame:
 def learn(docs: DataFrame, s: Setting) -> tuple[list[str], list[dict[str, int]], np.ndarray]:
     """Languages, for each kind the row of each item, and the rows: a log frequency for each language.
 
-    What comes to the driver is bounded by the entries of the setting, for each language and kind, times the number
-    of languages.
+    What comes to the driver is bounded by the entries of the setting (and, at the cut, chance), for each language
+    and kind, times the number of languages.
     """
     words = stored(word_counts(docs))
-    counts = words.unionByName(stored(gram_counts(words, s.longest)))
+    # Dealt anew, as the words fill few files.
+    dealt = words.repartition(partitions_for(docs.sparkSession, 1))
+    counts = words.unionByName(stored(gram_counts(dealt, s.longest)))
     totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
-    # A limit on the rank: tasks drop what cannot be among the first before the rows of a language meet.
-    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
-    top = counts.withColumn("r", rank).where(F.col("r") <= s.entries)
+    # How many items have each count tells where the cut lies, so that no language is ranked in one task. Of the
+    # items at the cut a share goes in, by hash.
+    alike = counts.groupBy("lang", "kind", "n").agg(F.count("*").alias("items"))
+    above = F.sum("items").over(Window.partitionBy("lang", "kind").orderBy(F.desc("n")))
+    cut = alike.withColumn("above", above).where(F.col("above") - F.col("items") < s.entries)
+    cut = cut.groupBy(F.col("lang").alias("l"), F.col("kind").alias("o")).agg(F.min("n").alias("least"), F.min_by((s.entries - F.col("above") + F.col("items")) / F.col("items"), "n").alias("share"))
+    top = counts.join(F.broadcast(cut), (F.col("lang") == F.col("l")) & (F.col("kind") == F.col("o")))
+    top = top.where((F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & (F.pmod(F.xxhash64("item"), F.lit(1 << 20)) < F.col("share") * (1 << 20))))
     # What is among the first of one language has its own count in every language that has it at all.
     items = top.select(F.col("kind").alias("k"), F.col("item").alias("i")).distinct()
     found = counts.join(items, (F.col("kind") == F.col("k")) & (F.col("item") == F.col("i")), "left_semi").toPandas()

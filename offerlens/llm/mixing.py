@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, pick, stored
 
-SALTS = 64
+#: Documents for which a source and length gets one more salt, and the salts there are at least.
+SALTED, SALTS = 1_000_000, 64
 #: Words that the dynamic programme fits at the end.
 FITTED = 4096
 
@@ -54,16 +55,14 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             more = min(int(counts[i] - taken[i]), max(0, left - FITTED) // int(lengths[i]))
             taken[i] += more
             left -= more * int(lengths[i])
-    if left > 8 * FITTED:
-        return coarse(lengths, counts, taken, budget)
-    if left > 0:
+    if 0 < left <= 8 * FITTED:
         taken += knapsack(lengths, counts - taken, left)
-    return taken
+    return taken if int(lengths @ taken) == budget else coarse(lengths, counts, taken, budget)
 
 
 def coarse(lengths: np.ndarray, counts: np.ndarray, taken: np.ndarray, budget: int) -> np.ndarray:
-    """Where every document left is longer than what can be fitted word by word: the nearest total of what is taken,
-    that and the one document nearest to the gap, and a knapsack over all documents in units of several words."""
+    """Where the budget could not be hit to the word, as it can't with few and very long documents: the nearest total of
+    what is taken, that and the one document nearest to the gap, and a knapsack over all documents in units of several words."""
     off = lambda t: abs(budget - int(lengths @ t))
     more = taken.copy()
     free = np.flatnonzero((counts > taken) & (lengths > 0))
@@ -110,18 +109,20 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     return out
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words that the mix takes) and copies of every row.
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words that the mix takes) and copies of every row, then the carried columns.
 
     A null source is a source of its own, the last. Null and blank texts have size 0 and are taken in whole
-    passes only, which adds nothing. Rows of equal id, source and size are alike; which of them is taken more
+    passes only, which adds nothing. Rows of equal id, source and text are alike; which of them is taken more
     often makes no difference to the result. An empty table gives no rows; other columns are not read. Per
     source, one task holds the counts by length, whose number the longest document bounds.
     """
-    docs = pick(docs, doc_id=id_col, text=text_col, source=source_col)
+    extra = [f"x{i}" for i in range(len(carry))]
+    docs = pick(docs, doc_id=id_col, text=text_col, source=source_col, **dict(zip(extra, carry)))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rank = F.xxhash64(F.lit(seed), "doc_id", "source")
-    sized = stored(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), rank.alias("rank")).withColumn("salt", F.pmod("rank", F.lit(SALTS)).cast("int")))
+    rank = F.xxhash64(F.lit(seed), "doc_id", "source", "text")
+    sized = stored(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), rank.alias("rank"), *extra))
+    sized = sized.withColumn("salt", F.pmod("rank", F.lit(max(SALTS, sized.count() // SALTED))).cast("int"))
     counts = stored(sized.groupBy("source", "size", "salt").agg(F.count("*").alias("n")))
     targets = stored(source_targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most))
 
@@ -146,4 +147,4 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     ranked = sized.withColumn("place", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("rank", "doc_id")))
     found = ranked.join(quotas, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("salt") == F.col("q")))
     copies = F.col("passes") + (F.col("place") <= F.col("quota")).cast("long")
-    return found.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return found.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), *(F.col(x).alias(c) for x, c in zip(extra, carry)))

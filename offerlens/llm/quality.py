@@ -160,8 +160,8 @@ class Network:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, vectors: np.ndarray, s: Setting) -> pd.DataFrame:
     """Pooled vectors and labels of the training rows.
 
-    Label rows are thinned to s.train_rows before they meet the texts, so what is broadcast and what comes
-    to the driver is bounded by that parameter.
+    Label rows are thinned to s.train_rows before they meet the texts, which bounds what is broadcast; as several
+    texts may have one id, the pooled rows are thinned once more, which bounds what comes to the driver.
     """
     chosen = pick(labels, label_id="doc_id", label=label_col).where(F.col("label").isin(0, 1) & F.col("label_id").isNotNull() & ~held_out(F.col("label_id")))
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(s.train_rows)
@@ -172,7 +172,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, vectors:
             x = pool(batch["text"].to_pylist(), vectors)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
-    return rows.mapInArrow(run, "doc_id long, label int, x binary").toPandas().sort_values(["doc_id", "label", "x"])
+    pooled = rows.mapInArrow(run, "doc_id long, label int, x binary")
+    return pooled.orderBy(F.xxhash64("doc_id", "x"), "doc_id", "label", "x").limit(s.train_rows).toPandas().sort_values(["doc_id", "label", "x"])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = 0.3, setting: Setting = Setting(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -235,7 +235,7 @@ def remove_repeated_passages(docs: DataFrame, length: int = 100, id_col: str = "
     total = text_bytes(docs)
     docs, chunks = chunked(docs, total)
     repeated = stored(repeated_anchors(docs, total, length, byte_units, OFTEN))
-    buckets = max(4, chunks)
+    buckets = chunks
     dealt = docs.repartition(partitions_for(docs.sparkSession, chunks // 4), "chunk")
 
     def known(table: pa.Table, hot: bool) -> np.ndarray:

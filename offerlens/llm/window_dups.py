@@ -60,6 +60,18 @@ def least_ids(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> tuple[np.ndarr
     return order, np.flatnonzero(new)
 
 
+def among(h1: np.ndarray, h2: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    """Which pairs of hashes are among the pairs s1, s2."""
+    order = np.lexsort((s2, s1))
+    s1, s2 = s1[order], s2[order]
+    low, high = np.searchsorted(s1, h1, "left"), np.searchsorted(s1, h1, "right")
+    hit = low < high
+    hit[hit] = s2[low[hit]] == h2[hit]
+    for i in np.flatnonzero(high - low > 1):  # first halves that two windows share
+        hit[i] = h2[i] in s2[low[i] : high[i]]
+    return hit
+
+
 def remove_repeated_windows(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and the kept words, joined by blanks, if asked for) of every row.
 
@@ -89,8 +101,9 @@ def remove_repeated_windows(docs: DataFrame, length: int = 50, id_col: str = "do
     windows = dealt.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(count, "h1 long, h2 long, least long, chunk int")
     # A window has one row from each chunk at most, so no group is larger than the number of chunks.
     overall = F.min("least").over(Window.partitionBy("h1", "h2"))
-    elsewhere = windows.withColumn("overall", overall).where("least > overall").select("chunk", F.lit(None).cast("binary").alias("hashes"), "h1")
-    told = repeated.select("chunk", "hashes", F.lit(None).cast("long").alias("h1")).unionByName(elsewhere)
+    elsewhere = windows.withColumn("overall", overall).where("least > overall").select("chunk", F.lit(None).cast("binary").alias("hashes"), "h1", "h2")
+    none = F.lit(None).cast("long")
+    told = repeated.select("chunk", "hashes", none.alias("h1"), none.alias("h2")).unionByName(elsewhere)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = left["text"].to_pylist() if left.num_rows else []
@@ -99,8 +112,11 @@ def remove_repeated_windows(docs: DataFrame, length: int = 50, id_col: str = "do
         order, first = least_ids(h1, h2, ids[doc])
         smallest = np.empty(len(order), np.int64)
         smallest[order] = np.repeat(ids[doc[order[first]]], np.diff(np.append(first, len(order))))
-        sent = right["h1"].combine_chunks().drop_null().to_numpy().view(np.uint64) if right.num_rows else np.empty(0, np.uint64)
-        gone = start[(ids[doc] > smallest) | np.isin(h1, sent)]
+        sent = (right[c].combine_chunks().drop_null().to_numpy().view(np.uint64) if right.num_rows else np.empty(0, np.uint64) for c in ("h1", "h2"))
+        one = order[first]
+        earlier = np.empty(len(order), bool)
+        earlier[order] = np.repeat(among(h1[one], h2[one], *sent), np.diff(np.append(first, len(order))))
+        gone = start[(ids[doc] > smallest) | earlier]
         steps = np.zeros(int(sizes.sum()) + length + 1, np.int32)
         np.add.at(steps, gone, 1)
         np.add.at(steps, gone + length, -1)

@@ -4,25 +4,29 @@ from __future__ import annotations
 
 import base64
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
+from offerlens.llm import anchors
 from offerlens.llm.byte_bpe import byte_bpe
 from offerlens.llm.langid import Setting as LanguageSetting
 from offerlens.llm.langid import identify_language, learn
 from offerlens.llm.mixing import fit, mix_sources
 from offerlens.llm.near_dup import near_duplicates
 from offerlens.llm.neighbours import Search, Setting, built, lifted, nearest
-from offerlens.llm.quality import score_quality
+from offerlens.llm.quality import Network, bucket_ids, index_vectors, labelled_sample, pool, score_quality, word_vectors
+from offerlens.llm.quality import Setting as QualitySetting
 from offerlens.llm.quality_rules import quality_rules
 from offerlens.llm.queries import queries
 from offerlens.llm.suffix_dups import remove_repeated_passages
 from offerlens.llm.token_counts import count_tokens
-from offerlens.llm.window_dups import remove_repeated_windows
+from offerlens.llm.window_dups import among, remove_repeated_windows
 
 from . import brute
 
@@ -70,6 +74,56 @@ def test_quality_without_labels(spark, awkward):
     assert {r.score for r in score_quality(awkward, none).collect()} == {0.5}
 
 
+def test_quality_sample_is_bounded(spark):
+    """Also where very many texts have the id of one label."""
+    s = QualitySetting(train_rows=10)
+    docs = spark.createDataFrame([(1 if i < 250 else i, f"some words {i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    assert 0 < len(labelled_sample(docs, labels, "quality", np.ones((s.buckets, 2 * s.width), np.float32), s)) <= 10
+
+
+def test_quality_against_a_plain_version(spark):
+    """Word vectors, pooling and the network's pass in plain loops over a tiny table."""
+    s = QualitySetting(buckets=16, width=4, ones=2, hidden=3, epochs=2)
+    texts = ["good words here", "Bad!! bad 12", "", None, "good", "words words bad here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    places, signs = index_vectors(s)
+    own, context, n = np.zeros((16, 4)), np.zeros((16, 4)), np.zeros(16)
+    for b in range(16):
+        for p, v in zip(places[b], signs[b]):
+            own[b, p] = v
+    lists = [bucket_ids(t or "", 16).tolist() for t in texts]
+    for ids in lists:
+        for k, b in enumerate(ids):
+            n[b] += 1
+            for other in ids[max(0, k - 1) : k] + ids[k + 1 : k + 2]:
+                context[b] += own[other]
+    vectors = np.zeros((16, 8))
+    for b in range(16):
+        if n[b]:
+            length = np.sqrt((context[b] ** 2).sum()) or 1
+            vectors[b] = np.concatenate([own[b] / np.sqrt(2), context[b] / length]) * 1e-3 / (1e-3 + n[b] / n.sum())
+    assert np.allclose(word_vectors(docs, s), vectors, atol=1e-6)
+    pooled = np.zeros((6, 11))
+    for row, ids in zip(pooled, lists):
+        if ids:
+            share = np.bincount(ids, minlength=16) / len(ids)
+            unit = [v / (np.linalg.norm(v) or 1) for v in vectors]
+            row[:8] = sum(vectors[b] for b in ids) / len(ids)
+            row[8] = sum(unit[a] @ unit[b] for a, b in zip(ids, ids[1:])) / len(ids)
+            row[9:] = np.log((share**2).sum()), np.log(1 + len(ids))
+    assert np.allclose(pool(texts, vectors.astype(np.float32)), pooled, atol=1e-4)
+    learnt = [i for i in range(6) if not is_held_out(i)]
+    net = Network(pool([texts[i] for i in learnt], vectors.astype(np.float32)), np.array([i % 2 for i in learnt], float), s)
+    want = {}
+    for i, row in enumerate(pooled):
+        h = [np.tanh(sum((row[a] - net.mean[a]) / net.scale[a] * net.p[0][a, j] for a in range(11)) + net.p[1][j]) for j in range(3)]
+        want[i] = 1 / (1 + np.exp(-(sum(h[j] * net.p[2][j] for j in range(3)) + net.p[3][0]) / net.temperature))
+    got = {r.doc_id: r.score for r in score_quality(docs, labels, setting=s).collect()}
+    assert got == pytest.approx(want, abs=1e-2)
+
+
 def test_language_covers_every_row(docs):
     found = identify_language(docs).collect()
     assert Counter(r.doc_id for r in found) == Counter(i for i, _ in texts_of(docs))
@@ -101,6 +155,64 @@ def test_language_counts_items_below_the_cut(spark):
     assert table[rows[0]["d"]] == pytest.approx(np.log([0.5 / 6, 4 / 9, 0.5 / 1]))
 
 
+def test_language_against_a_plain_version(spark):
+    """Word-first backoff in plain loops over a tiny table."""
+    texts = [("the cat sat on the mat", "en"), ("die katze sass da", "de"), ("le chat est la", "fr"), ("the dog", "en"), ("der hund", "de"), ("mat katz lala", None), ("Hundert cats, 12!", None), ("xyzzy", None), ("ü", None), ("...", "en")]
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    counts: dict[tuple[str, int], Counter] = {}
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    grams = lambda w, n: list(w) if n == 1 else [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+    for i, (text, lang) in enumerate(texts):
+        if lang and not is_held_out(i):
+            for w in words(text):
+                for n in range(5):
+                    counts.setdefault((lang, n), Counter()).update([w] if n == 0 else grams(w, n))
+    langs = sorted({x for x, _ in counts})
+    share = lambda lang, n, item: np.log((counts[lang, n][item] or 0.5) / sum(counts[lang, n].values()))
+    want = {}
+    for i, (text, _) in enumerate(texts):
+        total, found = dict.fromkeys(langs, 0.0), words(text)
+        for w in found:
+            for n in (0, 4, 3, 2, 1):
+                known = [g for g in ([w] if n == 0 else grams(w, n)) if any(counts[x, n][g] for x in langs)]
+                if known:
+                    for x in langs:
+                        total[x] += sum(share(x, n, g) for g in known) / len(known)
+                    break
+        best = max(langs, key=lambda x: (total[x], [-ord(c) for c in x]))
+        want[i] = (best, 1 / sum(np.exp(total[x] - total[best]) for x in langs)) if found else ("und", 0.0)
+    for r in identify_language(docs).collect():
+        assert r.lang_pred == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1]), r
+
+
+def test_fit_against_all_subsets():
+    """On few documents the chosen total is as near the budget as any subset's."""
+    rng = random.Random(1)
+    for _ in range(60):
+        sizes = [rng.choice([1, 2, 3, 50, 70_000, 100_000, 130_000]) for _ in range(7)]
+        lengths, counts = np.unique(sizes, return_counts=True)
+        budget = rng.randrange(1, sum(sizes))
+        sums = {0}
+        for n in sizes:
+            sums |= {x + n for x in sums}
+        taken = fit(lengths, counts, budget)
+        assert (taken >= 0).all() and (taken <= counts).all()
+        best, off = min(abs(x - budget) for x in sums), abs(int(lengths @ taken) - budget)
+        assert off <= best + 8192, (sizes, budget, best, off)
+    assert np.array([100_000]) @ fit(np.array([100_000]), np.array([1]), 60_000) == 100_000
+
+
+def test_mixing_spreads_rows_without_an_id(spark):
+    """They are told apart by their texts, so what is taken comes near the target as with ids."""
+    docs = spark.createDataFrame([(None, "w " * (1 + i % 9), "a" if i % 3 else "b") for i in range(900)], "doc_id long, text string, source string")
+    docs = docs.withColumn("text", F.concat("text", F.monotonically_increasing_id().cast("string")))
+    found = mix_sources(docs, carry=("text",)).collect()
+    for source in "ab":
+        mine = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 1
+    assert {r.text for r in found} == {r.text for r in docs.collect()}
+
+
 def test_mixing(docs):
     want = Counter((r[0], r[1], len(brute.words(r[2]))) for r in docs.select("doc_id", "source", "text").collect())
     found = mix_sources(docs).collect()
@@ -235,6 +347,36 @@ def test_repeated_windows(docs):
     assert rows_of(remove_repeated_windows(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.repeated_windows(texts_of(docs)), key=repr)
 
 
+def test_windows_are_told_by_both_hashes():
+    u = lambda *x: np.array(x, np.uint64)
+    assert among(u(1, 1, 2, 3, 5, 5), u(1, 2, 1, 1, 8, 9), u(5, 1, 2, 5), u(9, 1, 7, 7)).tolist() == [True, False, False, False, False, True]
+    assert among(u(1), u(1), u(), u()).tolist() == [False]
+
+
+@pytest.mark.parametrize("half", [None, 3])
+def test_rows_of_one_id_spread_over_chunks(spark, half):
+    docs = spark.createDataFrame([(half if i % 2 else i, f"text {i}") for i in range(4000)], "doc_id long, text string")
+    dealt, n = anchors.chunked(docs, 16 * anchors.CHUNK_BYTES)
+    sizes = [r["count"] for r in dealt.groupBy("chunk").count().collect()]
+    assert n == 16 and max(sizes) < 2 * 4000 / 16
+
+
+def test_a_single_machine_only_may_have_its_own_folder(spark, monkeypatch):
+    from offerlens.llm import common
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "local-cluster[3,2,3000]"
+
+    with pytest.raises(ValueError):
+        common.shared_folder(Session)
+    Session.sparkContext.master = "local[4]"
+    assert common.shared_folder(Session)
+
+
 def test_quality_rules(docs):
     got = rows_of(quality_rules(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     assert got == sorted(brute.quality_rules(texts_of(docs)), key=repr)

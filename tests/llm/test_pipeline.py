@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -25,15 +26,19 @@ def stage(spark, name: str, rows: list[tuple]) -> list[tuple]:
 
 def without_passages(rows: list[tuple], length: int = 100) -> list[tuple]:
     """Passages of so many bytes that started before go, but for characters that are cut."""
-    seen: set[bytes] = set()
+    first: dict[bytes, tuple] = {}
+    for doc_id, text, *_ in rows:
+        b = (text or "").encode()
+        for i in range(len(b) - length + 1):
+            here = (brute.at(doc_id), i)
+            first[b[i : i + length]] = min(first.get(b[i : i + length], here), here)
     out = []
-    for doc_id, text, lang, source, _ in sorted(rows, key=lambda r: brute.at(r[0])):
+    for doc_id, text, lang, source, _ in rows:
         b = (text or "").encode()
         gone = bytearray(len(b))
         for i in range(len(b) - length + 1):
-            if b[i : i + length] in seen:
+            if first[b[i : i + length]] < (brute.at(doc_id), i):
                 gone[i : i + length] = b"\1" * length
-            seen.add(b[i : i + length])
         kept, at = [], 0
         for c in (text or ""):
             n = len(c.encode())
@@ -82,3 +87,62 @@ def test_run_ends_with_the_encoding_of_what_stays(spark, documents_rows):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     want = byte_bpe(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     assert Counter(map(tuple, want.collect())) == Counter(map(tuple, corpus_pipeline.run(spark, SF).collect()))
+
+
+#: Names that the stages and their operators use inside, among the extra columns.
+EXTRA = ("row_key", "mix", "mix_", "copies", "copy", "times", "id", "k", "row", "kept", "n_words", "in_text", "component_id")
+
+
+def awkward_rows() -> list[tuple]:
+    rng = random.Random(3)
+    prose = lambda n: " ".join(f"{rng.choice(['alpha', 'beta', 'gamma', 'delta'])}{rng.randrange(900)}" for _ in range(n))
+    one, two, long = prose(60), prose(60), prose(4000)
+    texts = [(None, None), (1, None), (2, ""), (3, " \n\t"), (None, one), (None, two), (4, prose(60)), (4, prose(70)), (4, prose(70)), (5, long), (6, long), (6, long), (7, "short"), (8, two), (None, prose(50)), (9, prose(80)), (9, prose(80))]
+    rows = [(i, t, ["en", None][n % 2], ["a", None, "b"][n % 3], n) for n, (i, t) in enumerate(texts)]
+    return rows + rows[5:8]
+
+
+def plain_groups(rows: list[tuple]) -> list[tuple]:
+    """Of rows whose fingerprints link, the first by (no id, id)."""
+    found = {k: c for k, _, c in brute.near_duplicates([(n, r[1]) for n, r in enumerate(rows)])}
+    groups: dict[int, list[tuple]] = {}
+    for n, r in enumerate(rows):
+        groups.setdefault(found[n], []).append(r)
+    return [{r for r in g if (r[0] is None, r[0] or 0) == min((x[0] is None, x[0] or 0) for x in g)} for g in groups.values()]
+
+
+def test_stages_of_awkward_rows(spark):
+    """Nulls, repeated rows and ids, and clashing columns: rows are lost only to what a stage is for."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA)
+    frame = lambda rows: spark.createDataFrame([(*r, *(f"{c} {r[4]}" for c in EXTRA)) for r in rows], schema)
+
+    def after(name: str, rows: list[tuple]) -> list[tuple]:
+        found = dict(corpus_pipeline.STAGES)[name](spark, frame(rows), SF)
+        assert found.columns == [*COLUMNS, *EXTRA]
+        got = [tuple(r) for r in found.collect()]
+        if name != "suffix_array":  # there n_chars, of which the columns were made, is counted anew
+            assert all(r[5:] == tuple(f"{c} {r[4]}" for c in EXTRA) for r in got)
+        return sorted((r[:5] for r in got), key=repr)
+
+    rows = awkward_rows()
+    kept = [ok for *_, ok in brute.quality_rules([(n, r[1]) for n, r in enumerate(rows)])]
+    assert after("quality_rules", rows) == sorted((r for r, ok in zip(rows, kept) if ok), key=repr)
+
+    groups = plain_groups(rows)
+    second = after("near_duplicates", rows)
+    assert len(second) == len(groups) and all(sum(r in g for r in second) == 1 for g in groups)
+
+    assert after("suffix_array", rows) == without_passages(rows)
+
+    fourth = after("mixing", rows)
+    assert set(fourth) <= set(rows) and any(r[0] is None for r in fourth) and max(Counter(fourth).values()) <= 3 * max(Counter(rows).values())
+    assert after("mixing", rows) == fourth
+
+    assert dict(corpus_pipeline.STAGES)["byte_bpe"](spark, frame(rows), SF).count() == len(rows)
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, f in corpus_pipeline.STAGES:
+        docs = f(spark, docs, SF)
+        assert docs.count() == 0
