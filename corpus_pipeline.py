@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages, each calling one operator, each written as Parquet and read again.
 
-Documents without an id leave at the second stage, as no later one could tell them apart; of rows with one id
-one stays there.
+The stages work on rows: no row is lost for want of an id or for sharing one. Rejected are rows that the quality
+rules reject, which null, empty and blank texts are; near-duplicates of another row, of which one stays, null ids
+last; and what the mix leaves out. A null source is a source of its own. Columns beside those of documents, of
+whatever name, come along as far as the fourth stage. An empty table goes through to an empty result.
 """
 
 from __future__ import annotations
@@ -18,37 +20,61 @@ from offerlens.llm.quality_rules import quality_rules
 from offerlens.llm.suffix_dups import remove_repeated_passages
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, with as many marks as it takes for no column to have it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number each, written, so that a row keeps its number; and that column's name."""
+    key = free_name(docs, "row_key")
+    return stored(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, unchanged."""
-    carried = {f"doc_{c}": c for c in docs.columns}
+    """Documents that the quality rules keep, unchanged. Null, empty and blank texts have too few words to stay."""
+    carried = {f"in_{c}": c for c in docs.columns}
     scored = quality_rules(docs.select("doc_id", "text", *(F.col(c).alias(x) for x, c in carried.items())), carry=tuple(carried))
     return scored.where("kept").select(*(F.col(x).alias(c) for x, c in carried.items()))
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest id, unchanged."""
-    stay = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Of each group of near-duplicates the document of smallest id, unchanged.
+
+    Only fingerprints link: rows of one id with unlike texts both stay. Of rows of the smallest id that are in one
+    group, the one of least hash stays; rows without an id come last. Null, empty and blank texts are one group."""
+    rows, key = keyed(docs)
+    groups = near_duplicates(rows, id_col=key).select(F.col("doc_id").alias("k"), F.col("component_id").alias("g"))
+    order = rows.select(F.col(key).alias("k"), F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), F.col(key).alias("row")).alias("o"))
+    stay = groups.join(order, "k").groupBy("g").agg(F.min("o")["row"].alias("row"))
+    return rows.join(stay, rows[key] == stay["row"], "left_semi").select(*docs.columns)
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the passages of 100 bytes that an earlier one (or an earlier part of it) has."""
+    """Every document without the passages of 100 bytes that an earlier one (or an earlier part of it) has.
+
+    Characters that would go in part stay. A null text becomes an empty one; n_chars counts what is left."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    carried = {f"doc_{c}": c for c in rest}
+    carried = {f"in_{c}": c for c in rest}
     cleaned = remove_repeated_passages(docs.select("doc_id", "text", *(F.col(c).alias(x) for x, c in carried.items())), carry=tuple(carried), with_text=True)
     made = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")} | {c: F.col(x) for x, c in carried.items()}
     return cleaned.select(*(made[c].alias(c) for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, as many times as it takes them."""
-    copies = mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    taken = docs.join(copies, "doc_id")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).drop("copy")
+    """Documents that the mix takes, as many times as it takes them. Texts without a word come in whole passes only."""
+    rows, key = keyed(docs)
+    taken = mix_sources(rows, carry=(key,)).where("copies > 0").select(F.col(key).alias("k"), F.sequence(F.lit(1).cast("long"), F.col("copies")).alias("times"))
+    inner = free_name(docs, "mix")
+    found = rows.select(key, F.struct(*docs.columns).alias(inner)).join(taken, F.col(key) == F.col("k"))
+    return found.select(inner, F.explode("times")).select(*(F.col(inner)[c].alias(c) for c in docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of what they decode to."""
+    """doc_id, token counts and digests of the ids and of what they decode to, of every document."""
     return byte_bpe(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
