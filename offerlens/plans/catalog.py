@@ -8,26 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import analytics, changes, ingest, matching, prices, trust, windows
 from ..sources import files
-from ..sources.adapter import NOW, SQL, events, observations, stock, table
+from ..sources.adapter import NOW, events, observations, stock, table
 from ..streaming import twins
+from .registry import ORACLES, QUERIES, query
 
 RUN, BEFORE = 199806, 199805
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None, prelude: bool = True):
-    """Registers a function (spark, sf_dir) under its name, and its oracle, which may use the adapter's views."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            more = ", " if oracle.startswith("q AS") else " "
-            ORACLES[f.__name__] = f"WITH {SQL}{more}{oracle}" if prelude else oracle
-        return f
-
-    return add
-
 
 def obs(spark: SparkSession, d: str) -> DataFrame:
     return observations(spark, d)
@@ -411,3 +396,6 @@ def stream_cooldown(spark, d):
 def stream_anchored(spark, d):
     counts = twins.drained(twins.anchored(_event_stream(spark, d)), "stream_anchored", "complete")
     return counts.select(F.date_format("w.start", windows.SECONDS).alias("start"), "event_type", "n")
+
+
+from . import lineage  # noqa: E402, F401 - registers its queries
