@@ -20,7 +20,7 @@ from .common import partitions_for
 
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of text in a chunk, and bytes of text whose anchors make up one range.
-CHUNK_BYTES, RANGE_BYTES = 8 << 20, 24 << 20
+CHUNK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -80,7 +80,7 @@ def anchor_places(units: np.ndarray, lengths: np.ndarray, length: int) -> tuple[
     return starts, place[starts], grams
 
 
-def parts(sizes: list[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def parts(sizes: list[int], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many units together, to bound the arrays over them."""
     first = total = 0
     for i, n in enumerate(sizes):
@@ -157,7 +157,7 @@ def repeated_anchors(docs: DataFrame, total_bytes: int, length: int, units_of, o
                     place = place[np.flatnonzero(np.diff(place, prepend=-1))]
                     held.append((short(grams[place]), np.repeat(chunk[i + a : i + b], sizes)[place]))
                     size += len(place)
-            if size > 1_000_000:
+            if size > 400_000:
                 yield out()
                 held.clear()
                 size = 0
@@ -173,10 +173,16 @@ def repeated_anchors(docs: DataFrame, total_bytes: int, length: int, units_of, o
         n = np.repeat(np.diff(edge), np.diff(edge))
         rows = []
         for hot, chosen in ((False, (n > 1) & (n <= often)), (True, n > often)):
-            pairs = np.unique(np.stack([c[chosen], h[chosen]], axis=1), axis=0)
-            for part in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1):
+            mine, of = c[chosen], h[chosen]
+            by = np.lexsort((of, mine))
+            mine, of = mine[by], of[by]
+            new = np.ones(len(mine), bool)
+            new[1:] = (mine[1:] != mine[:-1]) | (of[1:] != of[:-1])
+            mine, of = mine[new], of[new]
+            cuts = np.flatnonzero(np.diff(mine)) + 1
+            for first, part in zip([0, *cuts.tolist()], np.split(of, cuts)):
                 if len(part):
-                    rows.append({"chunk": int(part[0, 0]), "hot": hot, "hashes": pack(part[:, 1], 6)})
+                    rows.append({"chunk": int(mine[first]), "hot": hot, "hashes": pack(part, 6)})
         return pa.Table.from_pylist(rows, pa.schema([("chunk", pa.int32()), ("hot", pa.bool_()), ("hashes", pa.binary())]))
 
     shares = docs.select("chunk", "text").mapInArrow(gather, "range int, hashes binary, chunks binary")
