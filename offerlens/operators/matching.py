@@ -1,99 +1,15 @@
-"""Entity resolution: features, blocks, guards, similarity and greedy clusters; and catalogue search."""
+"""Groups of products of one name, and catalogue search."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
-
-#: A block of more different names is compared in cells of about so many by so many, which together hold all its pairs.
-CROWDED = 250
-
-
-def features(products: DataFrame) -> DataFrame:
-    """product_id, site, name and its features: key, words, pack, doses, and block (the rarest word of the key)."""
-    df = products.select("product_id", "site", "name").withColumn("key", text.fold(F.col("name"))).withColumn("words", text.tokens(F.col("key")))
-    df = df.withColumn("pack", text.pack_count(F.col("name"))).withColumn("doses", text.doses(F.col("name")))
-    words = df.select("product_id", F.explode("words").alias("w"))
-    frequency = words.groupBy("w").agg(F.count("*").alias("df"))
-    rarest = words.join(frequency, "w").groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("by"))
-    return df.join(rarest, "product_id").withColumn("block", F.col("by")[0]["w"]).drop("by")
-
-
-def conflicts(a: str, b: str):
-    """Whether two products (prefixes of their columns) are different ones: packs, strengths or single digits differ."""
-    pack = F.col(f"{a}pack") != F.col(f"{b}pack")
-    dose = (F.size(f"{a}doses") > 0) & (F.size(f"{b}doses") > 0) & (F.col(f"{a}doses") != F.col(f"{b}doses"))
-    digits = lambda p: F.filter(f"{p}words", lambda w: w.rlike("^[0-9]$"))
-    return F.coalesce(pack, F.lit(False)) | dose | text.one_sided(digits(a), digits(b))
-
-
-def _side(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(*(F.col(c).alias(prefix + c) for c in df.columns))
-
-
-def alike_names(f: DataFrame, least: float) -> DataFrame:
-    """block, a_name, b_name, score: ordered pairs of names of one block, without conflicts, of so much likeness.
-
-    Likeness is a matter of names, so each pair of different names is scored once, however many products bear them.
-    """
-    names = f.select("name", "words", "pack", "doses", "block").distinct()
-    cells = names.groupBy("block").agg(F.ceil(F.count("*") / CROWDED).cast("int").alias("cells"))
-    names = names.join(cells, "block").withColumn("own", F.pmod(F.xxhash64("name"), "cells").cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
-    a, b = _side(names.withColumn("other", every), "a_"), _side(names.withColumn("other", every), "b_")
-    met = a.join(b, (F.col("a_block") == F.col("b_block")) & (F.col("a_own") == F.col("b_other")) & (F.col("a_other") == F.col("b_own"))).where(~conflicts("a_", "b_"))
-    return met.withColumn("score", text.token_set_ratio(F.col("a_words"), F.col("b_words"))).where(F.col("score") >= least).select(F.col("a_block").alias("block"), "a_name", "b_name", "score")
-
-
-def candidate_pairs(products: DataFrame, least: float = 85.0) -> DataFrame:
-    """a, b, score: pairs of different sites in one block, without conflicts, of so much likeness."""
-    f = features(products)
-    bearers = f.select("name", "product_id", "site", "block")
-    alike = alike_names(f, least).withColumnsRenamed({"block": "a_block"}).withColumn("b_block", F.col("a_block"))
-    pairs = _side(bearers, "a_").join(alike, ["a_name", "a_block"]).join(_side(bearers, "b_"), ["b_name", "b_block"]).where("a_site < b_site")
-    return pairs.select(F.col("a_product_id").alias("a"), F.col("b_product_id").alias("b"), F.col("a_site").alias("a_site"), F.col("b_site").alias("b_site"), "a_block", "score")
-
-
-def greedy(alike: pd.DataFrame, bearers: pd.DataFrame) -> pd.DataFrame:
-    """product_id, cluster of one block. Pairs of products are walked, not held: by score, then the product of the
-    smaller site, then the other; a product whose cluster has every site is done."""
-    site = dict(zip(bearers["product_id"], bearers["site"]))
-    bearing = bearers.groupby("name")["product_id"].apply(list).to_dict()
-    every = len(set(site.values()))
-    group = {p: p for p in site}
-    members = {p: {s: p} for p, s in site.items()}
-    for _, level in sorted(alike.groupby("score"), key=lambda x: -x[0]):
-        likes = level.groupby("a_name")["b_name"].apply(list).to_dict()
-        firsts = sorted((p, name) for name in likes for p in bearing.get(name, ()))
-        others = {name: sorted({p for x in found for p in bearing.get(x, ())}) for name, found in likes.items()}
-        for a, name in firsts:
-            for b in others[name]:
-                if len(members[group[a]]) == every:
-                    break
-                if site[a] < site[b]:
-                    x, y = sorted((group[a], group[b]))
-                    if x != y and not members[x].keys() & members[y].keys():
-                        for p in members[y].values():
-                            group[p] = x
-                        members[x] |= members.pop(y)
-    kept = {p: g for p, g in group.items() if len(members[g]) > 1}
-    return pd.DataFrame({"product_id": list(kept), "cluster": list(kept.values())}, dtype="int64")
-
-
-def clusters(products: DataFrame, least: float = 85.0) -> DataFrame:
-    """product_id, cluster: pairs of a block are taken by likeness, each joining two clusters unless both have a
-    product of one site. At most one product a site; the result does not depend on the order of rows."""
-    f = features(products)
-    alike, bearers = alike_names(f, least), f.select("block", "name", "product_id", "site").where("site is not null")
-    return alike.groupBy("block").cogroup(bearers.groupBy("block")).applyInPandas(greedy, "product_id long, cluster long")
-
+from ..functions import names
 
 def same_key_groups(products: DataFrame) -> DataFrame:
     """Products of equal folded key, of which each site has exactly one, in two sites or more."""
-    f = products.select("product_id", "site", text.fold(F.col("name")).alias("key"))
+    f = products.select("product_id", "site", names.fold(F.col("name")).alias("key"))
     g = f.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("site").alias("sites"), F.min("product_id").alias("cluster"))
     return g.where("n = sites and sites >= 2").select("key", "sites", "cluster")
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
 from ..operators import analytics, changes, ingest, matching, prices, trust, windows
 from ..sources import files
 from ..sources.adapter import NOW, events, observations, stock, table
@@ -293,16 +292,6 @@ def levenshtein_suggest(spark, d):
     return words
 
 
-@query(f"SELECT DISTINCT name, {text.fold_sql('name')} AS key FROM s")
-def fold_spelling(spark, d):
-    return products(spark, d).select("name", text.fold(F.col("name")).alias("key")).distinct()
-
-
-@query("SELECT DISTINCT name, CASE WHEN regexp_extract(name, '(?:#|№)\\s*(\\d{1,4})', 1) <> '' THEN CAST(regexp_extract(name, '(?:#|№)\\s*(\\d{1,4})', 1) AS BIGINT) END AS pack FROM s")
-def pack_count_extract(spark, d):
-    return products(spark, d).select("name", text.pack_count(F.col("name")).alias("pack")).distinct()
-
-
 @query(r"SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '([^/]*)/?$', 1) AS slug FROM pages", prelude=False)
 def url_parse(spark, d):
     return table(spark, d, "pages").select("page_id", *files.url_parts(F.col("url")))
@@ -318,21 +307,6 @@ def json_props(spark, d):
     return events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct(F.get_json_object("props", "$.k")).alias("kinds"))
 
 
-@query()
-def feature_struct(spark, d):
-    return matching.features(products(spark, d))
-
-
-@query()
-def token_set_pairs(spark, d):
-    return matching.candidate_pairs(products(spark, d)).drop("a_block")
-
-
-@query()
-def er_clusters(spark, d):
-    return matching.clusters(products(spark, d))
-
-
 @query("q AS (SELECT DISTINCT product_id, site, name FROM s) SELECT name AS key, count(DISTINCT site) AS sites, min(product_id) AS cluster FROM q GROUP BY name HAVING count(*) = count(DISTINCT site) AND count(*) >= 2")
 def same_name_groups(spark, d):
     """Exact names here, so that the oracle needs no folding; same_key_groups folds them."""
@@ -398,4 +372,4 @@ def stream_anchored(spark, d):
     return counts.select(F.date_format("w.start", windows.SECONDS).alias("start"), "event_type", "n")
 
 
-from . import lineage  # noqa: E402, F401 - registers its queries
+from . import lineage, names, resolution  # noqa: E402, F401 - registers its queries

@@ -78,9 +78,10 @@ def rolled_back(now: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def sale_fields(regular: Column, final: Column) -> Column:
-    """price, discount, percent and on_sale; a discount only if the final price is below the regular one."""
-    sale = (final > 0) & (final < regular)
-    return F.struct(regular.alias("price"), F.when(sale, final).alias("discount"), F.when(sale, (regular - final) * 100 / regular).alias("percent"), F.coalesce(sale, F.lit(False)).alias("on_sale"))
+    """price, discount, percent (to a tenth) and on_sale; a discount only if the final price is below the regular one.
+    A single price is the regular one."""
+    sale = F.coalesce(final < regular, F.lit(False))
+    return F.struct(F.coalesce(regular, final).alias("price"), F.when(sale, final).alias("discount"), F.when(sale, F.round((1 - final / regular) * 100, 1)).alias("percent"), sale.alias("on_sale"))
 
 
 def link_state(status: Column) -> Column:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from offerlens.functions import text
-from offerlens.operators import analytics, changes, ingest, matching
+from offerlens.functions import names
+from offerlens.operators import analytics, changes, ingest, matching, resolution
 from offerlens.sources import files
 from offerlens.streaming import twins
 
@@ -62,34 +62,51 @@ def test_orphans_include_null_keys(spark):
 def test_same_names_make_groups_and_packs_keep_apart(spark):
     products = sample(spark).select("product_id", "site", "name").distinct()
     assert rows(matching.same_key_groups(products), "sites", "cluster") == [(2, 1)]
-    assert rows(matching.candidate_pairs(products), "a", "b") == [(1, 2)]
-    assert rows(matching.clusters(products), "product_id", "cluster") == [(1, 1), (2, 1)]
+    found = resolution.resolved(products, ("client", "rival_a", "rival_b"))
+    assert rows(found, "product_id", "cluster") == [(1, 1), (2, 1)]
 
 
 def test_crowded_blocks_lose_no_pairs(spark, monkeypatch):
-    """Names that share their rarest word but no other are compared however many products the block has."""
-    monkeypatch.setattr(matching, "CROWDED", 3)
-    colours = [f"{c}mber" for c in "abcdefgh"]
-    products = [(10 * i + j, "pqrs"[j], f"Zylophonewood {colours[(i + j) % 8]}") for i in range(8) for j in range(4)]
-    products += [(1000 + i, "p", f"{c} stone {i // 8 + 10}") for i, c in enumerate(colours * 40)]
-    df = spark.createDataFrame(products, "product_id long, site string, name string")
-    f = {r.product_id: r for r in matching.features(df).collect()}
-    pairs = matching.candidate_pairs(df)
-    found = rows(pairs, "a", "b", "score")
-    wood = [p for p in products if p[0] < 1000]
-    assert {f[p[0]].block for p in wood} == {"zilofonevod"}
-    assert {(a, b) for a, b, _ in found if a < 1000} == {(p[0], q[0]) for p in wood for q in wood if p[1] < q[1]}
-    group, members = {}, {}
-    site = {p: s for p, s, _ in products}
-    for a, b, _ in sorted(found, key=lambda r: (-r[2], r[0], r[1])):
-        for p in (a, b):
-            if p not in group:
-                group[p], members[p] = p, {p}
-        x, y = sorted((group[a], group[b]))
-        if x != y and not {site[p] for p in members[x]} & {site[p] for p in members[y]}:
-            members[x] |= members.pop(y)
-            group |= dict.fromkeys(members[x], x)
-    assert rows(matching.clusters(df), "product_id", "cluster") == sorted(((p, g) for p, g in group.items() if len(members[g]) > 1), key=repr)
+    """However many names a block has, every pair in it is compared, against a plain version of the ratio."""
+    def ratio(a, b):
+        a, b = set(a.lower().split()), set(b.lower().split())
+        both, x, y = (" ".join(sorted(s)) for s in (a & b, a - b, b - a))
+        table = [[0] * (len(y) + 1)]
+        for c in x:
+            row = [0]
+            for j, d in enumerate(y):
+                row.append(max(row[-1], table[-1][j + 1], table[-1][j] + (c == d)))
+            table.append(row)
+        k, blank = len(both), bool(both)
+        found = [1 - (len(x) + len(y) - 2 * table[-1][-1]) / (2 * (k + blank) + len(x) + len(y))]
+        found += [1 - (blank + len(r)) / (2 * k + blank + len(r)) for r in (x, y)] * blank
+        return 100.0 if blank and not (x and y) else 100 * max(found)
+
+    monkeypatch.setattr(resolution, "CROWDED", 3)
+    named = [f"melo {a}{b}ra {c}" for a in ("ta", "te") for b in ("ni", "no", "na") for c in ("dol", "dal", "bed")]
+    df = spark.createDataFrame([(n, "Melo") for n in named], "name string, brand string")
+    got = {(r.a, r.b): r.score for r in resolution.links_in(resolution.blocks(df), ("brand_word",), 80.0, ()).collect()}
+    want = {(a, b): s for a in named for b in named if a < b and (s := ratio(a, b)) >= 80}
+    assert set(got) == set(want) and all(abs(got[p] - s) < 1e-9 for p, s in want.items())
+
+
+def test_products_are_resolved_one_a_site(spark):
+    made = [
+        (1, "a", "Loremol 500 mq №20", "Lor", "40000001"), (2, "b", "Loremol 500mg N20 tabletlər", "Lor", "40000001"), (3, "a", "Altay sampun malina 200 ml", "Altay", None),
+        (4, "b", "Altay şampun limon 200 ml", "Altay", None), (5, "c", "Altay shampun malina 200ml", "Altay", None), (6, "b", "Altay malina sampun 200 ml", "Altay", None),
+        (7, "a", "Same", "X", None), (8, "a", "Same", "X", None), (9, "b", "Same", "X", None), (10, "c", "Same", "X", None), (11, "c", "Same", "X", None), (12, "b", None, "X", None),
+    ]
+    df = spark.createDataFrame(made, "product_id long, site string, name string, brand string, barcode string")
+    found = resolution.resolved(df, ("a", "b", "c")).collect()
+    again = resolution.resolved(df.orderBy(F.desc("product_id")).repartition(3), ("a", "b", "c")).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, again))
+    groups = {}
+    for r in found:
+        groups.setdefault(r.cluster, []).append(r)
+    assert {frozenset(r.product_id for r in g) for g in groups.values() if g[0].strategy != "same_name"} == {frozenset({1, 2}), frozenset({3, 5, 6})}
+    same = [r.product_id for g in groups.values() if g[0].strategy == "same_name" for r in g]
+    assert sorted(same) == [7, 8, 9, 10, 11]
+    assert all(len({r.site for r in g}) == len(g) > 1 for g in groups.values())
 
 
 def test_search_ranks_whole_names_first(spark):
@@ -100,7 +117,7 @@ def test_search_ranks_whole_names_first(spark):
 
 def test_scalars(spark):
     df = spark.createDataFrame([("2 x 10", "3,50 €"), (None, None)], "name string, price string")
-    assert rows(df, text.pack_count(F.col("name")), text.price_cents(F.col("price"))) == [(20, 350), (None, None)]
+    assert rows(df, names.pack_count(F.lit(""), F.col("name"))["count"], names.price_cents(F.col("price"))) == [(1, None), (20, 350)]
     assert rows(spark.createDataFrame([("=1+1",), ("ok",), (None,)], "c string"), files.safe_cell(F.col("c"))) == [("'=1+1",), ("ok",), (None,)]
     assert rows(spark.createDataFrame([(404,), (200,), (500,)], "s int"), "s", files.link_state(F.col("s"))) == [(200, "alive"), (404, "dead"), (500, "error")]
 
