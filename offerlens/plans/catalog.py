@@ -372,4 +372,4 @@ def stream_anchored(spark, d):
     return counts.select(F.date_format("w.start", windows.SECONDS).alias("start"), "event_type", "n")
 
 
-from . import lineage, names, resolution  # noqa: E402, F401 - registers its queries
+from . import comparison, decisions, lineage, names, resolution  # noqa: E402, F401 - registers its queries

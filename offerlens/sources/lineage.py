@@ -107,3 +107,13 @@ products AS (
            product_id % 37 = 0 AS conflicted, product_id % 41 = 0 AS dead, CASE WHEN match_id % 3 <> 0 THEN CAST(4000000000000 + match_id AS VARCHAR) END AS barcode,
            1 + (match_id + product_id) % 4 * 10 AS pack, CASE WHEN match_id % 23 = 0 THEN 2 ELSE 1 END AS tenant_id
     FROM latest)"""
+
+
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """match_id, name, confidence and is_manual of every cluster."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select(F.col("p_partkey").alias("match_id"), F.col("p_name").alias("name"), F.expr("(50 + p_partkey % 50) / 100D").alias("confidence"), F.expr("p_partkey % 11 = 0").alias("is_manual"))
+
+
+#: The same clusters in SQL.
+MATCHES_SQL = "matches AS (SELECT p_partkey AS match_id, p_name AS name, CAST(50 + p_partkey % 50 AS DOUBLE) / 100 AS confidence, p_partkey % 11 = 0 AS is_manual FROM part)"
