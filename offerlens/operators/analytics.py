@@ -165,7 +165,7 @@ def missing_at(obs: DataFrame, site: str) -> DataFrame:
 def offer_rank(obs: DataFrame) -> DataFrame:
     """Rank, dense rank and row number of each site's price in its cluster."""
     w = Window.partitionBy("match_id").orderBy("eff")
-    now = prices.with_effective(prices.latest(obs))
+    now = prices.with_effective(prices.latest(obs.select("product_id", "match_id", "site", "price_cents", "discount_cents", "seq")))
     return now.select("match_id", "site", "eff", F.rank().over(w).cast("long").alias("rank"), F.dense_rank().over(w).cast("long").alias("dense"), F.row_number().over(w.orderBy("eff", "site")).cast("long").alias("number"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,14 +35,14 @@ def new_products(obs: DataFrame, run_id: int) -> DataFrame:
     return obs.groupBy("product_id", "site").agg(F.min("run_id").alias("first_run")).where(F.col("first_run") == run_id)
 
 
-def promotions(obs: DataFrame) -> DataFrame:
-    """run_id, site, title: a promotion is a category with a discount."""
-    return obs.where("discount_cents is not null").select("run_id", "site", F.col("category").alias("title")).distinct()
+def promotions(obs: DataFrame, title: str = "category") -> DataFrame:
+    """run_id, site, title: a promotion is a category (or what another column names) with a discount."""
+    return obs.where("discount_cents is not null").select("run_id", "site", F.col(title).alias("title")).distinct()
 
 
-def promo_diff(obs: DataFrame, run_id: int, before: int) -> DataFrame:
+def promo_diff(obs: DataFrame, run_id: int, before: int, title: str = "category") -> DataFrame:
     """Promotions that started or ended between two runs: a full outer join of two sets."""
-    promos = promotions(obs)
+    promos = promotions(obs, title)
     now, old = (promos.where(F.col("run_id") == r).select("site", "title", F.lit(True).alias(n)) for r, n in ((run_id, "now"), (before, "old")))
     both = now.join(old, ["site", "title"], "full_outer").where("now is null or old is null")
     return both.select("site", "title", F.when(F.col("old").isNull(), "started").otherwise("ended").alias("change"))
@@ -53,12 +56,27 @@ def mass_moves(obs: DataFrame, run_id: int, least: int = 10) -> DataFrame:
 
 
 def cooldown(events: DataFrame, keys: list[str], hours: int) -> DataFrame:
-    """Events that pass a cooldown per key, which runs from the last event that passed: a chain, so the times of
-    a key are folded in order. A key's times are held as one array of longs."""
+    """Events that pass a cooldown per key, which runs from the last event that passed: a chain.
+
+    Events are sorted by key and time in each task and read in one pass over batches, which carries the last time that
+    passed; no key's events are held together."""
     step = hours * 3600 * 1_000_000
-    times = F.array_sort(F.collect_list(F.unix_micros("ts")))
-    fold = F.aggregate("times", F.array().cast("array<bigint>"), lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= step), F.concat(kept, F.array(t))).otherwise(kept))
-    return events.groupBy(*keys).agg(times.alias("times")).select(*keys, F.explode(fold).alias("us"))
+    kinds = dict(events.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, 0
+        for batch in batches:
+            us = batch["us"].to_numpy()
+            marks = list(zip(*(batch[k].to_pylist() for k in keys)))
+            kept = []
+            for i, (mark, t) in enumerate(zip(marks, us.tolist())):
+                if mark != key or t - last >= step:
+                    key, last = mark, t
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    rows = events.select(*keys, F.unix_micros("ts").alias("us")).repartition(*keys).sortWithinPartitions(*keys, "us")
+    return rows.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", us long")
 
 
 def top_per_group(df: DataFrame, group: str, order: list, k: int) -> DataFrame:

@@ -13,15 +13,18 @@ def with_effective(obs: DataFrame) -> DataFrame:
 
 
 def latest(obs: DataFrame, by: tuple[str, ...] = ("product_id",)) -> DataFrame:
-    """The last observation of each key. One aggregation with partial maxima; no sort of whole groups."""
+    """The last observation of each key: one aggregation with partial maxima, which carries all columns of obs, so give it
+    those that are needed."""
     rest = [c for c in obs.columns if c not in by]
     return obs.groupBy(*by).agg(F.max_by(F.struct(*rest), "seq").alias("r")).select(*by, "r.*")
 
 
 def latest_by_match(obs: DataFrame) -> DataFrame:
     """match_id, category, brand and the current effective price at each site (null where not listed)."""
-    now = with_effective(latest(obs))
-    at = [F.max(F.when(F.col("site") == s, F.col("eff"))).alias(s) for s in SITES]
+    now = with_effective(latest(obs.select("product_id", "match_id", "site", "category", "brand", "price_cents", "discount_cents", "seq")))
+    # Of several products of a site in a cluster the mean counts, in whole cents.
+    mean = lambda s: F.expr(f"sum(if(site = '{s}', eff, null)) div count(if(site = '{s}', eff, null))")
+    at = [mean(s).alias(s) for s in SITES]
     return now.groupBy("match_id").agg(F.first("category").alias("category"), F.first("brand").alias("brand"), *at)
 
 
@@ -46,8 +49,9 @@ def journal(obs: DataFrame) -> DataFrame:
 
 
 def daily_last(obs: DataFrame) -> DataFrame:
-    """The last effective price of each product and day."""
-    return with_effective(latest(obs.withColumn("day", F.to_date("captured_at")), ("product_id", "day")))
+    """product_id, day, captured_at, eff: the last effective price of each product and day."""
+    narrow = with_effective(obs).select("product_id", F.to_date("captured_at").alias("day"), "captured_at", "eff", "seq")
+    return narrow.groupBy("product_id", "day").agg(F.max_by(F.struct("captured_at", "eff"), "seq").alias("r")).select("product_id", "day", "r.*")
 
 
 def client_pairs(obs: DataFrame) -> DataFrame:

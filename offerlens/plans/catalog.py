@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import analytics, changes, ingest, matching, prices, trust, windows
 from ..sources import files
 from ..sources.adapter import NOW, events, observations, stock, table
@@ -17,6 +18,15 @@ def obs(spark: SparkSession, d: str) -> DataFrame:
     return observations(spark, d)
 
 
+#: Since when observations are recent: a time in which not every site has shown everything.
+RECENT = "2001-06-01 00:00:00"
+
+
+def recent(spark: SparkSession, d: str) -> DataFrame:
+    return obs(spark, d).where(F.col("captured_at") >= F.lit(RECENT).cast("timestamp_ntz"))
+
+
+LATE = f"late AS (SELECT * FROM s WHERE captured_at >= TIMESTAMP '{RECENT}'), lm AS (SELECT match_id, any_value(category) AS category, max(eff) FILTER (site = 'client') AS client, max(eff) FILTER (site = 'rival_a') AS rival_a, max(eff) FILTER (site = 'rival_b') AS rival_b FROM latest WHERE captured_at >= TIMESTAMP '{RECENT}' GROUP BY match_id)"
 RIVAL_PAIRS = "(SELECT match_id, category, brand, client, 'rival_a' AS site, rival_a AS rival FROM m UNION ALL SELECT match_id, category, brand, client, 'rival_b', rival_b FROM m) WHERE client IS NOT NULL AND rival IS NOT NULL"
 CHEAPEST = f"q AS (SELECT * FROM {RIVAL_PAIRS} QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY rival, site) = 1), st AS (SELECT p_partkey AS match_id, CAST(round(p_retailprice * 100) AS BIGINT) * 80 // 100 AS cost_cents, p_size > 5 AS in_stock FROM part)"
 ASOF = f"""q AS (
@@ -34,7 +44,8 @@ COUNTS = "q AS (SELECT run_id, site, count(DISTINCT product_id) AS products FROM
 
 @query("SELECT product_id, site, match_id, price_cents, eff AS eff_cents, strftime(captured_at, '%Y-%m-%d') AS day FROM latest")
 def latest_snapshot(spark, d):
-    now = prices.with_effective(prices.latest(obs(spark, d)))
+    seen = obs(spark, d).select("product_id", "site", "match_id", "price_cents", "discount_cents", "captured_at", "seq")
+    now = prices.with_effective(prices.latest(seen))
     return now.select("product_id", "site", "match_id", "price_cents", F.col("eff").alias("eff_cents"), F.date_format("captured_at", "yyyy-MM-dd").alias("day"))
 
 
@@ -63,9 +74,9 @@ def new_products(spark, d):
     return changes.new_products(obs(spark, d), RUN)
 
 
-@query(f"q AS (SELECT DISTINCT run_id, site, category AS title FROM s WHERE discount_cents IS NOT NULL) SELECT coalesce(n.site, o.site) AS site, coalesce(n.title, o.title) AS title, CASE WHEN o.site IS NULL THEN 'started' ELSE 'ended' END AS change FROM (SELECT * FROM q WHERE run_id = {RUN}) n FULL JOIN (SELECT * FROM q WHERE run_id = {BEFORE}) o ON n.site = o.site AND n.title = o.title WHERE n.site IS NULL OR o.site IS NULL")
+@query(f"q AS (SELECT DISTINCT run_id, site, match_id AS title FROM s WHERE discount_cents IS NOT NULL) SELECT coalesce(n.site, o.site) AS site, coalesce(n.title, o.title) AS title, CASE WHEN o.site IS NULL THEN 'started' ELSE 'ended' END AS change FROM (SELECT * FROM q WHERE run_id = {RUN}) n FULL JOIN (SELECT * FROM q WHERE run_id = {BEFORE}) o ON n.site = o.site AND n.title = o.title WHERE n.site IS NULL OR o.site IS NULL")
 def promo_set_diff(spark, d):
-    return changes.promo_diff(obs(spark, d), RUN, BEFORE)
+    return changes.promo_diff(obs(spark, d), RUN, BEFORE, "match_id")
 
 
 @query("SELECT site, title, count(*) AS runs, min(run_id) AS first_run, max(run_id) AS last_run FROM (SELECT DISTINCT run_id, site, category AS title FROM s WHERE discount_cents IS NOT NULL) GROUP BY ALL")
@@ -97,9 +108,9 @@ def brand_share_pivot(spark, d):
     return analytics.brand_share(obs(spark, d))
 
 
-@query(f"{SHARE} SELECT brand, total FROM r WHERE exclusive")
+@query(f"{SHARE.replace('400 DAY', '2 DAY')} SELECT brand, total FROM r WHERE exclusive")
 def brand_exclusive(spark, d):
-    return analytics.brand_share(obs(spark, d)).where("exclusive").select("brand", "total")
+    return analytics.brand_share(obs(spark, d), days=2).where("exclusive").select("brand", "total")
 
 
 @query("SELECT sites, count(*) AS clusters FROM (SELECT match_id, string_agg(DISTINCT site, '+' ORDER BY site) AS sites FROM s GROUP BY match_id) GROUP BY sites")
@@ -151,9 +162,9 @@ def undercut_margin_aware(spark, d):
     return analytics.undercut_responses(obs(spark, d), stock(spark, d))
 
 
-@query("SELECT match_id, category, greatest(rival_a, rival_b) AS price FROM m WHERE client IS NULL ORDER BY price DESC, match_id LIMIT 50")
+@query("SELECT match_id, category, greatest(rival_a, rival_b) AS price FROM lm WHERE client IS NULL ORDER BY price DESC, match_id LIMIT 50", LATE)
 def assortment_gaps(spark, d):
-    return analytics.assortment_gaps(obs(spark, d))
+    return analytics.assortment_gaps(recent(spark, d))
 
 
 @query(f"{CHEAPEST}, l AS (SELECT * FROM s WHERE site = 'client' AND run_id <= {RUN} QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY k1 DESC, k2 DESC, k3 DESC, k4 DESC, k5 DESC, k6 DESC) = 1) SELECT match_id, eff, cost_cents, in_stock, sign(eff - cost_cents)::BIGINT * (abs(eff - cost_cents) * 10000 // eff) AS margin_bp FROM l JOIN st USING (match_id)")
@@ -191,9 +202,9 @@ def brand_overlap_self_join(spark, d):
     return analytics.brand_overlap(obs(spark, d))
 
 
-@query("SELECT DISTINCT match_id, category FROM s WHERE match_id NOT IN (SELECT match_id FROM s WHERE site = 'rival_b')")
+@query("SELECT DISTINCT match_id, category FROM late WHERE match_id NOT IN (SELECT match_id FROM late WHERE site = 'rival_b')", LATE)
 def missing_site_anti(spark, d):
-    return analytics.missing_at(obs(spark, d), "rival_b")
+    return analytics.missing_at(recent(spark, d), "rival_b")
 
 
 @query(f"{COUNTS}, e AS (SELECT run_id FROM quality GROUP BY run_id HAVING bool_and(quality = 'ok') AND count(*) = 3) SELECT run_id, site, count(*) AS n FROM s WHERE run_id IN (SELECT run_id FROM e) GROUP BY ALL")
@@ -281,14 +292,14 @@ def products(spark, d) -> DataFrame:
     return obs(spark, d).select("product_id", "site", "name").distinct()
 
 
-@query("SELECT DISTINCT product_id, site, name, CASE WHEN lower(name) = 'part 1' THEN 0 WHEN starts_with(lower(name), 'part 1') THEN 1 WHEN starts_with(lower(name), 'part') THEN 2 ELSE 3 END AS rank FROM s WHERE contains(' ' || lower(name), ' part') AND contains(' ' || lower(name), ' 1')")
+@query("SELECT DISTINCT product_id, site, name, CASE WHEN lower(name) = 'red bo' THEN 0 WHEN starts_with(lower(name), 'red bo') THEN 1 WHEN starts_with(lower(name), 'red') THEN 2 ELSE 3 END AS rank FROM s WHERE contains(' ' || lower(name), ' red') AND contains(' ' || lower(name), ' bo')")
 def search_prefix_rank(spark, d):
-    return matching.search(products(spark, d), "part 1")
+    return matching.search(products(spark, d), "red bo")
 
 
-@query("q AS (SELECT product_id, unnest(string_split(lower(name), ' ')) AS w FROM (SELECT DISTINCT product_id, name FROM s)), r AS (SELECT w, count(DISTINCT product_id) AS products, levenshtein(left(w, 4), 'prat') AS errors FROM q GROUP BY w) SELECT w, products, errors FROM r WHERE errors <= 2 ORDER BY errors, products DESC, w LIMIT 10")
+@query("q AS (SELECT product_id, unnest(string_split(lower(name), ' ')) AS w FROM (SELECT DISTINCT product_id, name FROM s)), r AS (SELECT w, count(DISTINCT product_id) AS products, levenshtein(left(w, 4), 'bult') AS errors FROM q GROUP BY w) SELECT w, products, errors FROM r WHERE errors <= 1 ORDER BY errors, products DESC, w LIMIT 10")
 def levenshtein_suggest(spark, d):
-    words = matching.suggest(products(spark, d), "prat", 10)
+    words = matching.suggest(products(spark, d), "bult", 10)
     return words
 
 
@@ -307,17 +318,18 @@ def json_props(spark, d):
     return events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct(F.get_json_object("props", "$.k")).alias("kinds"))
 
 
-@query("q AS (SELECT DISTINCT product_id, site, name FROM s) SELECT name AS key, count(DISTINCT site) AS sites, min(product_id) AS cluster FROM q GROUP BY name HAVING count(*) = count(DISTINCT site) AND count(*) >= 2")
+@query("q AS (SELECT DISTINCT product_id, site, name || ' ' || brand || ' ' || category AS name FROM s) SELECT name AS key, count(DISTINCT site) AS sites, min(product_id) AS cluster FROM q GROUP BY name HAVING count(*) = count(DISTINCT site) AND count(*) >= 2")
 def same_name_groups(spark, d):
     """Exact names here, so that the oracle needs no folding; same_key_groups folds them."""
-    p = products(spark, d)
+    p = obs(spark, d).select("product_id", "site", F.concat_ws(" ", "name", "brand", "category").alias("name")).distinct()
     g = p.groupBy(F.col("name").alias("key")).agg(F.count("*").alias("n"), F.countDistinct("site").alias("sites"), F.min("product_id").alias("cluster"))
     return g.where("n = sites and sites >= 2").drop("n")
 
 
-@query()
+@query(f"q AS (SELECT DISTINCT product_id, site, {text.fold_sql("name || ' ' || brand || ' ' || category")} AS key FROM s) SELECT key, count(DISTINCT site) AS sites, min(product_id) AS cluster FROM q GROUP BY key HAVING count(*) = count(DISTINCT site) AND count(*) >= 2")
 def same_key_groups(spark, d):
-    return matching.same_key_groups(products(spark, d))
+    p = obs(spark, d).select("product_id", "site", F.concat_ws(" ", "name", "brand", "category").alias("name")).distinct()
+    return matching.same_key_groups(p)
 
 
 @query(f"q AS (SELECT product_id, site, arg_max(eff, (k1, k2, k3, k4, k5, k6)) FILTER (run_id = {BEFORE}) AS old, arg_max(eff, (k1, k2, k3, k4, k5, k6)) FILTER (run_id = {RUN}) AS new FROM s WHERE run_id IN ({RUN}, {BEFORE}) GROUP BY ALL) SELECT product_id, site, CASE WHEN old IS NULL THEN 'new' WHEN new IS NULL THEN 'gone' ELSE 'price_changed' END AS state, old, new FROM q WHERE old IS DISTINCT FROM new")

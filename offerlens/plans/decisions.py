@@ -138,7 +138,7 @@ trend AS (SELECT product_id, n, first, last, change, CASE WHEN abs(change) < 1 T
 
 
 def points(spark, d):
-    daily = prices.with_effective(prices.latest(observations(spark, d).where("captured_at >= timestamp_ntz'1999-01-01'").withColumn("day", F.to_date("captured_at")), ("product_id", "day")))
+    daily = prices.daily_last(observations(spark, d).where("captured_at >= timestamp_ntz'1999-01-01'"))
     return daily.select("product_id", F.col("captured_at").alias("at"), F.col("eff").alias("price"))
 
 

@@ -73,6 +73,6 @@ latest AS (
     SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY k1 DESC, k2 DESC, k3 DESC, k4 DESC, k5 DESC, k6 DESC) = 1),
 m AS (
     SELECT match_id, any_value(category) AS category, any_value(brand) AS brand,
-           max(CASE WHEN site = 'client' THEN eff END) AS client, max(CASE WHEN site = 'rival_a' THEN eff END) AS rival_a,
-           max(CASE WHEN site = 'rival_b' THEN eff END) AS rival_b
+           CAST(sum(CASE WHEN site = 'client' THEN eff END) AS BIGINT) // count(CASE WHEN site = 'client' THEN eff END) AS client, CAST(sum(CASE WHEN site = 'rival_a' THEN eff END) AS BIGINT) // count(CASE WHEN site = 'rival_a' THEN eff END) AS rival_a,
+           CAST(sum(CASE WHEN site = 'rival_b' THEN eff END) AS BIGINT) // count(CASE WHEN site = 'rival_b' THEN eff END) AS rival_b
     FROM latest GROUP BY match_id)"""
