@@ -384,4 +384,4 @@ def stream_anchored(spark, d):
     return counts.select(F.date_format("w.start", windows.SECONDS).alias("start"), "event_type", "n")
 
 
-from . import comparison, decisions, intake, lineage, names, resolution  # noqa: E402, F401 - registers its queries
+from . import catalogue, comparison, decisions, intake, lineage, names, resolution  # noqa: E402, F401 - registers its queries
