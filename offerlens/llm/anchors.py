@@ -123,7 +123,7 @@ def text_bytes(docs: DataFrame) -> int:
 def repeated_anchors(docs: DataFrame, total_bytes: int, length: int, units_of, often: int = 2000) -> DataFrame:
     """chunk, hashes: packed short hashes of the anchors that a chunk shares with others or holds twice; hot is
     true for rows of anchors that more than so many chunks hold. units_of gives the units of a text."""
-    ranges = max(4, -(-total_bytes // RANGE_BYTES))
+    ranges = partitions_for(docs.sparkSession, -(-total_bytes // RANGE_BYTES))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
