@@ -71,7 +71,8 @@ def _matched(left: DataFrame, right: DataFrame, edges: DataFrame) -> DataFrame:
     """l, r, pass, score, n, l_from, r_from: how many of each class are matched, and from which place on, given counts
     (l, n), (r, n) and edges (l, r, pass, score)."""
     free_l, free_r, done, turn = left, right, None, 0
-    open_edges = stored(edges.withColumn("o", F.struct("pass", (-F.col("score")).alias("s"), "r", "l")))
+    present = edges.join(right.select("r"), "r", "left_semi")
+    open_edges = stored(present.withColumn("o", F.struct("pass", (-F.col("score")).alias("s"), "r", "l")))
     while True:
         best_l = open_edges.groupBy("l").agg(F.min("o").alias("o"))
         best_r = open_edges.groupBy("r").agg(F.min("o").alias("o"))

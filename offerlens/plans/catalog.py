@@ -375,13 +375,20 @@ def _event_stream(spark, d):
 
 @query(ORACLES["alert_dedup_cooldown"], prelude=False)
 def stream_cooldown(spark, d):
-    return twins.drained(twins.cooldown(_event_stream(spark, d), 12), "stream_cooldown", "append")
+    return twins.drained(twins.cooldown(_event_stream(spark, d), 12))
 
 
-@query("WITH w AS (SELECT time_bucket(INTERVAL 24 HOUR, ts, TIMESTAMP '1970-01-01 22:00:00') AS start, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, n FROM w", prelude=False)
+@query("WITH w AS (SELECT time_bucket(INTERVAL 24 HOUR, ts, TIMESTAMP '1970-01-01 22:00:00') AS start, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, n FROM w WHERE start + INTERVAL 25 HOUR <= (SELECT max(ts) FROM events)", prelude=False)
 def stream_anchored(spark, d):
-    counts = twins.drained(twins.anchored(_event_stream(spark, d)), "stream_anchored", "complete")
+    """Windows that the watermark, an hour behind the newest event, has closed."""
+    counts = twins.drained(twins.anchored(_event_stream(spark, d)))
     return counts.select(F.date_format("w.start", windows.SECONDS).alias("start"), "event_type", "n")
 
 
+@query("WITH q AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), r AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM q) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM r GROUP BY user_id, g HAVING max(ts) + INTERVAL 90 MINUTE <= (SELECT max(ts) FROM events)", prelude=False)
+def stream_sessions(spark, d):
+    counts = twins.drained(twins.sessions(_event_stream(spark, d)))
+    return counts.select("user_id", F.date_format("w.start", windows.SECONDS).alias("start"), "n")
+
+
 from . import catalogue, comparison, decisions, intake, lineage, names, resolution  # noqa: E402, F401 - registers its queries

@@ -126,5 +126,5 @@ def test_streamed_journal_keeps_changes_only(spark, tmp_path):
     made = [(1, 100, None, "2020-01-01 00:00:00"), (1, 100, None, "2020-01-02 00:00:00"), (1, 90, None, "2020-01-03 00:00:00"), (1, 90, 80, "2020-01-04 00:00:00"), (2, 5, None, "2020-01-01 00:00:00")]
     spark.createDataFrame(made, "product_id long, price_cents long, discount_cents long, at string").withColumn("at", F.col("at").cast("timestamp")).write.parquet(str(tmp_path / "in"))
     stream = twins.stream(spark, str(tmp_path / "in"), "product_id long, price_cents long, discount_cents long, at timestamp", files=1000)
-    got = twins.drained(twins.journal(stream), "journal_test", "append")
+    got = twins.drained(twins.journal(stream))
     assert rows(got, "product_id", "price_cents", "discount_cents") == [(1, 100, -1), (1, 90, -1), (1, 90, 80), (2, 5, -1)]
