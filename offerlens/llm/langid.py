@@ -9,12 +9,14 @@ the model knows any. The language with the largest sum wins.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ from .common import held_out, partitions_for, pick, slices, stored
 LETTERS = re.compile(r"[^\W\d_]+").findall
 #: Different words (or grams) that a task counts before it hands its counts on.
 FLUSH = 300_000
-CACHE_LIMIT = 500_000
+#: Words that a worker process keeps beside those of the model.
+CACHE_LIMIT = 200_000
 
 
 @dataclass(frozen=True)
@@ -181,7 +184,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         """The likeliest language and its share; 'und' and 0 without a letter, or if nothing was learned."""
         lists = [LETTERS(t.lower()) if t and self.langs else [] for t in texts]
-        if len(self.known) > CACHE_LIMIT:
+        if len(self.known) > CACHE_LIMIT + len(self.rows[0]):
             self.forget()
         if new := set().union(*lists).difference(self.known):
             self.back_off(sorted(new))
@@ -194,6 +197,17 @@ class Model:
             yield self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
+_models: dict[str, Model] = {}
+
+
+def model_of(name: str, given: Broadcast) -> Model:
+    """One model a worker process, so that it is unpacked once and what it knows serves later tasks too."""
+    if name not in _models:
+        _models.clear()
+        _models[name] = Model(*given.value)
+    return _models[name]
+
+
 def identify_language(docs: DataFrame, setting: Setting = Setting(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred and score (the winner's share, 0 to 1) of every row.
 
@@ -203,10 +217,12 @@ def identify_language(docs: DataFrame, setting: Setting = Setting(), id_col: str
     columns are not read.
     """
     docs = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("held_out", held_out(F.col("doc_id")))
-    parts = learn(docs.where("not held_out"), setting)
+    # Bounded by the setting's entries, languages and kinds.
+    given = docs.sparkSession.sparkContext.broadcast(learn(docs.where("not held_out"), setting))
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*parts)
+        model = model_of(name, given)
         for batch in slices(batches):
             found = list(model.predict(batch["text"].to_pylist()))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
