@@ -11,9 +11,9 @@ from . import prices
 RIVALS = [s for s in SITES if s != CLIENT]
 
 
-def brand_share(obs: DataFrame, days: int = 400) -> DataFrame:
+def brand_share(obs: DataFrame, days: int = 400, now: str = NOW) -> DataFrame:
     """Products of each brand seen in so many days, by site; exclusive if one site has them all."""
-    seen = obs.groupBy("product_id", "brand", "site").agg(F.max("captured_at").alias("last")).where(F.col("last") >= F.lit(NOW).cast("timestamp_ntz") - F.expr(f"interval {days} days"))
+    seen = obs.groupBy("product_id", "brand", "site").agg(F.max("captured_at").alias("last")).where(F.col("last") >= F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {days} days"))
     counts = seen.groupBy("brand").pivot("site", list(SITES)).count().na.fill(0)
     listed = sum((F.col(s) > 0).cast("int") for s in SITES)
     return counts.withColumn("total", sum(F.col(s) for s in SITES)).withColumn("exclusive", listed == 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.adapter import NOW
+from ..sources.adapter import NOW, SITES
 
 
 def run_counts(obs: DataFrame) -> DataFrame:
@@ -24,9 +24,10 @@ def baselines(obs: DataFrame, last: int = 5) -> DataFrame:
     return df.select("run_id", "site", "products", (F.col("twice") / 2).alias("baseline"), quality.alias("quality"))
 
 
-def eligible_runs(obs: DataFrame) -> DataFrame:
-    """Runs with every site present and none degraded."""
-    return baselines(obs).groupBy("run_id").agg(F.bool_and(F.col("quality") == "ok").alias("ok"), F.count("*").alias("n")).where("ok and n = 3").select("run_id")
+def eligible_runs(obs: DataFrame, sites: int = len(SITES)) -> DataFrame:
+    """Runs with so many sites present and none degraded."""
+    a = baselines(obs).groupBy("run_id").agg(F.bool_and(F.col("quality") == "ok").alias("ok"), F.count("*").alias("n"))
+    return a.where(F.col("ok") & (F.col("n") == sites)).select("run_id")
 
 
 def trusted(obs: DataFrame) -> DataFrame:
@@ -34,22 +35,22 @@ def trusted(obs: DataFrame) -> DataFrame:
     return obs.join(eligible_runs(obs), "run_id", "left_semi")
 
 
-def coverage(obs: DataFrame) -> DataFrame:
+def coverage(obs: DataFrame, now: str = NOW) -> DataFrame:
     """By site, in one pass: distinct products, those of discounts and those of the last year."""
-    recent = F.col("captured_at") >= F.lit(NOW).cast("timestamp_ntz") - F.expr("interval 365 days")
+    recent = F.col("captured_at") >= F.lit(now).cast("timestamp_ntz") - F.expr("interval 365 days")
     a = obs.groupBy("site").agg(F.countDistinct("product_id").alias("products"), F.countDistinct(F.when(F.col("discount_cents").isNotNull(), F.col("product_id"))).alias("promoted"), F.countDistinct(F.when(recent, F.col("product_id"))).alias("recent"))
     return a.withColumn("recent_pct", F.col("recent") * 100 / F.col("products"))
 
 
-def freshness(obs: DataFrame) -> DataFrame:
+def freshness(obs: DataFrame, now: str = NOW) -> DataFrame:
     """By site: the last observation and whole days since."""
-    days = F.floor((F.unix_seconds(F.lit(NOW).cast("timestamp")) - F.unix_seconds(F.col("last").cast("timestamp"))) / 86400)
+    days = F.floor((F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("last").cast("timestamp"))) / 86400)
     return obs.groupBy("site").agg(F.max("captured_at").alias("last")).select("site", F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last"), F.greatest(F.lit(0), days).cast("long").alias("days"))
 
 
-def site_drop(obs: DataFrame, days: int = 60) -> DataFrame:
+def site_drop(obs: DataFrame, days: int = 60, now: str = NOW) -> DataFrame:
     """By site: products of the last days against those of as many days before; dropped below half."""
-    age = F.datediff(F.lit(NOW).cast("date"), F.to_date("captured_at"))
+    age = F.datediff(F.lit(now).cast("date"), F.to_date("captured_at"))
     a = obs.groupBy("site").agg(F.countDistinct(F.when(age <= days, F.col("product_id"))).alias("now"), F.countDistinct(F.when((age > days) & (age <= 2 * days), F.col("product_id"))).alias("before"))
     return a.withColumn("dropped", F.col("now") * 2 < F.col("before"))
 
