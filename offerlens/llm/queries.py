@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import oracles
 from .byte_bpe import byte_bpe
+from .clustering import cluster_vectors
 from .common import read_table
+from .fill_middle import fill_in_middle, restore_middle
 from .langid import identify_language
 from .mixing import mix_sources
 from .near_dup import near_duplicates
@@ -59,9 +63,20 @@ def op10_suffix_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(read_table(spark, sf_dir, "documents"), length=100)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = restore_middle(fill_in_middle(read_table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50))
+    digest = lambda c: F.sha2(F.col(c), 256).alias(f"{c}_sha256")
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(read_table(spark, sf_dir, "embeddings"), clusters=40, rounds=5, width=64, seed=2)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_langid, op3_mixing, op4_near_dup, op5_neighbours, op6_token_counts, op7_window_dups, op8_quality_rules, op9_byte_bpe, op10_suffix_dups)}
+    found = (op1_quality, op2_langid, op3_mixing, op4_near_dup, op5_neighbours, op6_token_counts, op7_window_dups, op8_quality_rules, op9_byte_bpe, op10_suffix_dups, op11_fill_middle, op13_clustering)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_fill_middle": oracles.FILL_MIDDLE, "op13_clustering": oracles.clustering()}
