@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .license_scan import PHRASES, TEMPLATES, WORD, needed, words_in
+
 FILL_MIDDLE = r"""
 WITH hashed AS (
     SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines, sha256('7:' || doc_id) AS hex FROM documents
@@ -46,3 +48,35 @@ def clustering(clusters: int = 40, rounds: int = 5, width: int = 64, seed: int =
 SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
        sha256(array_to_string(c, ',')) AS centroid_sha256
 FROM a{rounds} JOIN c{rounds} USING (k)"""
+
+
+def license_scan(threshold: float = 0.8) -> str:
+    """Every block of every text against every template."""
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    places = [f"list_filter(range(n_words), lambda i: words[i + 1:i + {len(words_in(p))}] = {listed(words_in(p))})" for p, _ in PHRASES]
+    # Texts without the phrase's last word have no place of it.
+    places = [f"CASE WHEN contains(text, '{words_in(p)[-1]}') THEN {at} ELSE [] END" for at, (p, _) in zip(places, PHRASES)]
+    named = [f"CASE WHEN len({at}) > 0 THEN '{label}' END" for at, (_, label) in zip(places, PHRASES)]
+    templates = ", ".join(f"('{t.label}', {len(t.words)}, {len(set(t.words))}, {needed(t, threshold)}, {listed(sorted(set(t.words)))})" for t in TEMPLATES)
+    return f"""
+WITH lowered AS (
+    SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text, row_number() OVER () AS key FROM documents
+), cut AS MATERIALIZED (
+    SELECT key, doc_id, text, regexp_extract_all(text, '{WORD}') AS words FROM lowered
+), counted AS (
+    SELECT *, len(words) AS n_words FROM cut
+), templates(label, m, size, least, theirs) AS (
+    VALUES {templates}
+), met AS (
+    SELECT key, label, len(list_intersect(list_distinct(words[b * m + 1:(b + 2) * m]), theirs)) AS shared, size, least
+    FROM (SELECT key, label, words, m, size, least, theirs, unnest(range((n_words - 1) // m + 1)) AS b FROM counted, templates WHERE n_words > 0)
+), best AS (
+    SELECT key, list(DISTINCT label) AS more, max(shared / size) AS share FROM met WHERE shared >= least GROUP BY key
+), placed AS (
+    SELECT key, doc_id, n_words, list_concat({", ".join(places)}) AS spots, list_filter([{", ".join(named)}], lambda x: x IS NOT NULL) AS named FROM counted
+)
+SELECT doc_id, n_words::BIGINT AS n_words, len(spots)::BIGINT AS n_base, list_min(spots)::BIGINT AS first_word, list_max(spots)::BIGINT AS last_word,
+       array_to_string(list_sort(list_distinct(named)), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(named, coalesce(more, [])))), ',') AS labels,
+       CASE WHEN len(spots) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+FROM placed LEFT JOIN best USING (key)"""

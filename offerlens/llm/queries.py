@@ -12,6 +12,7 @@ from .clustering import cluster_vectors
 from .common import read_table
 from .fill_middle import fill_in_middle, restore_middle
 from .langid import identify_language
+from .license_scan import scan_licenses
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .neighbours import nearest
@@ -69,14 +70,18 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(read_table(spark, sf_dir, "embeddings"), clusters=40, rounds=5, width=64, seed=2)
 
 
 def queries() -> dict:
-    found = (op1_quality, op2_langid, op3_mixing, op4_near_dup, op5_neighbours, op6_token_counts, op7_window_dups, op8_quality_rules, op9_byte_bpe, op10_suffix_dups, op11_fill_middle, op13_clustering)
+    found = (op1_quality, op2_langid, op3_mixing, op4_near_dup, op5_neighbours, op6_token_counts, op7_window_dups, op8_quality_rules, op9_byte_bpe, op10_suffix_dups, op11_fill_middle, op12_license_scan, op13_clustering)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_fill_middle": oracles.FILL_MIDDLE, "op13_clustering": oracles.clustering()}
+    return {"op11_fill_middle": oracles.FILL_MIDDLE, "op12_license_scan": oracles.license_scan(), "op13_clustering": oracles.clustering()}
