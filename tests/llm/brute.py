@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 from math import log
@@ -157,3 +158,71 @@ def nearest(vectors: list[tuple], every: int = 20, k: int = 20) -> list[tuple]:
                 found.append((-score, i))
         out += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(found)[:k], 1)]
     return out
+
+
+def fill_in_middle(rows: list[tuple], seed: int = 7) -> list[tuple]:
+    out = []
+    for doc_id, text in rows:
+        text = text or ""
+        lines = re.findall("[^\n]*\n|[^\n]+", text)
+        n, digest = len(lines), sha(f"{seed}:{'' if doc_id is None else doc_id}".encode())
+        h = [int(digest[k : k + 8], 16) for k in range(0, 32, 8)]
+        a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+        p, m, s = ("".join(part) for part in (lines[:a], lines[a:b], lines[b:]))
+        if not text or any(mark in text for mark in ("<P>", "<S>", "<M>")):
+            out.append((doc_id, n, "plain", None, None, sha(text.encode()), sha(text.encode())))
+        else:
+            form, made = ("spm", f"<S>{s}<P>{p}<M>{m}") if h[3] % 100 < 50 else ("psm", f"<P>{p}<S>{s}<M>{m}")
+            out.append((doc_id, n, form, len(p), len(m), sha(made.encode()), sha(text.encode())))
+    return out
+
+
+def license_blocks(rows: list[tuple], templates: list[tuple[str, list[str]]], threshold: float) -> list[tuple]:
+    """doc_id, template, first word, share of the template's words, of every block that reaches the threshold."""
+    out = []
+    for doc_id, text in rows:
+        w = license_words(text)
+        for t, (_, words_of_it) in enumerate(templates):
+            m, wanted = len(words_of_it), set(words_of_it)
+            for at in range(0, len(w), m):
+                share = len(wanted & set(w[at : at + 2 * m])) / len(wanted)
+                if share >= threshold - 1e-12:
+                    out.append((doc_id, t, at, share))
+    return out
+
+
+def license_words(text: str | None) -> list[str]:
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower)
+
+
+def licenses(rows: list[tuple], templates: list[tuple[str, list[str]]], threshold: float) -> list[tuple]:
+    out = []
+    for doc_id, text in rows:
+        w = license_words(text)
+        places = [(i, label) for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")) for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+        at, named = [i for i, _ in places], {label for _, label in places}
+        met = license_blocks([(doc_id, text)], templates, threshold)
+        more = named | {templates[t][0] for _, t, _, _ in met}
+        score = 1.0 if at else max((s for *_, s in met), default=0.0)
+        out.append((doc_id, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(named)), ",".join(sorted(more)), score))
+    return out
+
+
+def clusters(rows: list[tuple], k: int, rounds: int, width: int, seed: int = 2) -> list[tuple]:
+    """Every vector against every centroid, in whole numbers of any size."""
+    kept = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and len(v) == width and all(x is not None and math.isfinite(x) for x in v)]
+    name = lambda i: "" if i is None else i
+    c = [v for _, v in sorted(kept, key=lambda r: (sha(f"{seed}:{name(r[0])}".encode()), r[1]))[:k]]
+    far = lambda v, o: sum((a - b) ** 2 for a, b in zip(v, o))
+    nearest = lambda v: min((far(v, o), j) for j, o in enumerate(c))
+    for _ in range(rounds):
+        held = defaultdict(list)
+        for _, v in kept:
+            held[nearest(v)[1]].append(v)
+        c = [[sum(col) // len(held[j]) for col in zip(*held[j])] if j in held else o for j, o in enumerate(c)]
+    found = [(i, *nearest(v)) for i, v in kept]
+    total = Counter()
+    for _, d, j in found:
+        total[j] += d
+    return [(i, j, d, total[j], sum(total.values()), sha(",".join(map(str, c[j])).encode())) for i, d, j in found]
