@@ -15,19 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from .anchors import parts
 from .common import pick, slices
-from .token_counts import SPACE, merges_done
+from .token_counts import SPACE, Cutter, merges_done
 
 #: Pieces met lately whose encoding a worker process keeps; it keeps as many again that it met before those.
 CACHE_LIMIT = 200_000
 #: Bytes of the longest piece that goes through DuckDB. There each merge rewrites the rows of the piece, which
 #: takes the square of its length; longer pieces are merged, with the same result, on a heap.
 LONGEST = 400
-#: Bytes of the pieces that one query encodes, which bounds its rows.
+#: Bytes of the pieces that one query encodes, and tokens that one decodes, which bounds its rows.
 ROUND = 400_000
 
 #: A row has a token t at position p, the position q and token u that follow, and, in k, the token that the two
@@ -84,7 +83,7 @@ class Codec:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
         unicode_space = pattern.replace("[^\\s", f"[^{SPACE}").replace("\\s", f"[{SPACE}]").replace("\\S", f"[^{SPACE}]")
-        self.pieces = regex.compile(unicode_space).findall
+        self.pieces = Cutter(unicode_space)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         #: By piece: its ids, joined by commas, and the bytes that they decode to. The same, of pieces met longer ago.
         self.ids: dict[str, str] = {}
@@ -147,15 +146,15 @@ class Codec:
 
     def decode(self, ids: list[str]) -> list[bytes]:
         """The bytes of each list of ids (joined by commas; none of them empty)."""
-        if not ids:
-            return []
+        out: list[bytes] = []
         lists = [i.split(",") for i in ids]
-        t = np.array([x for one in lists for x in one], np.int32)
-        w = np.repeat(np.arange(len(lists), dtype=np.int32), [len(one) for one in lists])
-        self.db.register("coded", pa.table({"w": w, "p": np.arange(len(t), dtype=np.int32), "t": t}))
-        out = self.db.execute(DECODE).fetchall()
-        self.db.unregister("coded")
-        return [bytes.fromhex(b) for b, in out]
+        for a, b in parts(list(map(len, lists)), ROUND):
+            t = np.array([x for one in lists[a:b] for x in one], np.int32)
+            w = np.repeat(np.arange(b - a, dtype=np.int32), list(map(len, lists[a:b])))
+            self.db.register("coded", pa.table({"w": w, "p": np.arange(len(t), dtype=np.int32), "t": t}))
+            out += [bytes.fromhex(x) for x, in self.db.execute(DECODE).fetchall()]
+            self.db.unregister("coded")
+        return out
 
 
 _codecs: dict[int, Codec] = {}

@@ -77,35 +77,42 @@ def coarse(lengths: np.ndarray, counts: np.ndarray, taken: np.ndarray, budget: i
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded knapsack: documents whose words sum to the largest reachable number up to the budget, or to the
-    least above it if that is nearer. Lengths are added from the commonest on until the budget is hit."""
-    top = budget * 2 + 1
-    reached = np.full(top, -1, np.int64)  # the step at which a sum was first reached
-    reached[0] = 0
-    steps = [i for i in np.argsort(-counts, kind="stable") if counts[i] > 0 and 0 < lengths[i] < top]
-    used: list[np.ndarray] = []
+    """Bounded knapsack: documents whose words sum to the reachable number nearest to the budget (the smaller of two).
+
+    Sums are in units of the lengths' common divisor. Each is kept with the length that first reached it and how many
+    documents that took, so memory goes with the budget, not with the number of lengths. Lengths are added from the
+    commonest on until the multiple nearest to the budget is hit."""
+    out = np.zeros(len(lengths), np.int64)
+    useful = np.flatnonzero((counts > 0) & (lengths > 0) & (lengths <= 2 * budget))
+    if not len(useful):
+        return out
+    unit = int(np.gcd.reduce(lengths[useful]))
+    aim = (budget + (unit - 1) // 2) // unit  # the nearest multiple, the smaller of two
+    top = 2 * aim + 2
+    step, copies_at = np.full(top, -1, np.int32), np.zeros(top, np.int32)  # the length that first reached a sum, and how many of it
+    step[0] = 0
+    steps = useful[np.argsort(-counts[useful], kind="stable")]
     for number, i in enumerate(steps, 1):
-        n, have = int(lengths[i]), reached >= 0
+        n, have = int(lengths[i]) // unit, step >= 0
+        if n >= top:
+            continue
         # Along each residue of the length, a new sum is reached from the last old one at most counts[i] steps back.
         rows = -(-top // n)
         grid = np.zeros(rows * n, bool)
         grid[:top] = have
         grid = grid.reshape(rows, n)
-        last = np.maximum.accumulate(np.where(grid, np.arange(rows)[:, None], -1), axis=0)
-        copies = np.where(last >= 0, np.arange(rows)[:, None] - last, 0).ravel()[:top]
+        last = np.maximum.accumulate(np.where(grid, np.arange(rows, dtype=np.int32)[:, None], -1), axis=0)
+        copies = np.where(last >= 0, np.arange(rows, dtype=np.int32)[:, None] - last, 0).ravel()[:top]
         new = ~have & (copies > 0) & (copies <= counts[i])
-        reached[new] = number
-        used.append(np.where(new, copies, 0))
-        if reached[budget] >= 0:
+        step[new], copies_at[new] = number, copies[new]
+        if step[aim] >= 0:
             break
-    sums = np.flatnonzero(reached >= 0)
-    at = int(sums[np.argmin(np.abs(sums - budget))])
-    out = np.zeros(len(lengths), np.int64)
+    sums = np.flatnonzero(step >= 0)
+    at = int(sums[np.argmin(np.abs(sums * unit - budget))])
     while at:
-        number = reached[at]
-        i, copies = steps[number - 1], int(used[number - 1][at])
-        out[i] += copies
-        at -= copies * int(lengths[i])
+        i = steps[step[at] - 1]
+        out[i] += copies_at[at]
+        at -= int(copies_at[at]) * (int(lengths[i]) // unit)
     return out
 
 

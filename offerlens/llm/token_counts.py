@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -20,10 +21,60 @@ from .common import pick, slices
 
 #: White space as Unicode defines it; Python's own \s has four control characters more.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+# Ranges of characters that the regex module holds for letters or for numbers and the tokenizer libraries, whose
+# tables end with Unicode 16, do not; and marks that the libraries' composition, whose tables are older, takes for characters alone.
+NEWER_LETTERS = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d\U000107bb-\U000107bf"
+    "\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011df1\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3"
+    "\U00016ff2-\U00016ff3\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2"
+    "\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
+    "\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e"
+    "\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+NEWER_NUMBERS = (
+    "\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ff4-\U00016ff6"
+)
+NEWER_MARKS = (
+    "\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c\U00010d24-\U00010d27\U00010eab-\U00010eac"
+    "\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070\U0001133b\U0001145e\U00011839-\U0001183a\U00011930\U00011938"
+    "\U0001193d-\U0001193e\U00011943\U000119e0\U00011a34\U00011a47\U00011a99\U00011d42\U00011d44-\U00011d45\U00011d97\U00011f41-\U00011f42"
+    "\U00016ff0-\U00016ff1\U0001e08f\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef"
+)
+# Capital letters that the libraries know and str.lower() does not, as (first, last, distance to the small letter).
+NEWER_CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -0xA567), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -0xA641), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
+#: What no character before U+0558 can be.
+NEWER = regex.compile(f"[{NEWER_LETTERS}{NEWER_NUMBERS}]")
+FAR = re.compile("[\u0558-\U0010ffff]")
+SPLIT_MARK = re.compile(f"([{NEWER_MARKS}])")
+SMALL = {c: c + step for first, last, step in NEWER_CAPITALS for c in range(first, last + 1)}
+CAPITAL = re.compile("[" + "".join(map(chr, SMALL)) + "]")
 #: Counts kept in a worker process: of stretches, and of pieces.
 CACHE_LIMIT = 500_000
 
 
+class Cutter:
+    """Finds the pieces of a text by a pattern as the libraries do. Few texts hold characters that the module takes otherwise;
+    these go by a pattern that leaves such characters out of its classes."""
+
+    def __init__(self, pattern: str):
+        self.usual = regex.compile(pattern).findall
+        for name, newer in (("L", NEWER_LETTERS), ("N", NEWER_NUMBERS)):
+            pattern = pattern.replace(f"\\p{{{name}}}", f"[\\p{{{name}}}--[{newer}]]")
+        self.exact = regex.compile(pattern, regex.V1).findall
+
+    def __call__(self, text: str) -> list[str]:
+        if text.isascii() or not FAR.search(text) or not NEWER.search(text):
+            return self.usual(text)
+        return self.exact(text)
+
+
+def folded(text: str) -> str:
+    """Composed and in small letters. A mark that the libraries do not know composes and moves with none."""
+    parts = SPLIT_MARK.split(text) if FAR.search(text) else [text]
+    text = "".join(unicodedata.normalize("NFC", x) for x in parts).replace("Σ", "σ").lower()
+    return text.translate(SMALL) if CAPITAL.search(text) else text
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in the vocabulary."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -72,7 +123,7 @@ class Counter:
         model, steps = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
         self.ranks = {tuple(p): i for i, p in enumerate(map(lambda m: m.split(" ") if isinstance(m, str) else m, model["merges"]))}
         self.end = model["end_of_word_suffix"] or ""
-        self.pieces = regex.compile(steps[0]["pattern"]["Regex"].replace("\\s", SPACE)).findall
+        self.pieces = Cutter(steps[0]["pattern"]["Regex"].replace("\\s", SPACE))
         self.controls = regex.compile("[\x1c-\x1f]").search
         self.blank = regex.compile(f"[{SPACE}]+")
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
@@ -95,8 +146,7 @@ class Counter:
         parts = self.special.split(chunk) if "<|" in chunk else [chunk]
         n = len(parts) - 1
         for part in parts:
-            part = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            n += sum(map(self.piece, self.pieces(part.lower())))
+            n += sum(map(self.piece, self.pieces(part.lower() if part.isascii() else folded(part))))
         keep(self.known, chunk, n)
         return n
 

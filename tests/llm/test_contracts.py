@@ -17,7 +17,7 @@ from offerlens.llm import anchors
 from offerlens.llm.byte_bpe import byte_bpe
 from offerlens.llm.langid import Setting as LanguageSetting
 from offerlens.llm.langid import identify_language, learn
-from offerlens.llm.mixing import fit, mix_sources
+from offerlens.llm.mixing import fit, knapsack, mix_sources
 from offerlens.llm.near_dup import near_duplicates
 from offerlens.llm.neighbours import Search, Setting, built, lifted, nearest
 from offerlens.llm.quality import Network, bucket_ids, index_vectors, labelled_sample, pool, score_quality, word_vectors
@@ -241,6 +241,38 @@ def test_fit_of_few_very_long_documents(lengths, budget, total):
     assert lengths @ fit(lengths, np.ones(len(lengths), np.int64), budget) == total
 
 
+def test_knapsack_against_all_sums():
+    """With repeated lengths and common divisors: the nearest sum, the smaller of two."""
+    rng = random.Random(2)
+    for _ in range(200):
+        unit = rng.choice([1, 2, 6])
+        lengths = np.array(sorted(rng.sample(range(1, 20), 5))) * unit
+        counts, budget = np.array([rng.randrange(4) for _ in lengths]), rng.randrange(1, 150)
+        sums = {0}
+        for n, c in zip(lengths.tolist(), counts.tolist()):
+            sums = {x + k * n for x in sums for k in range(c + 1)}
+        taken = knapsack(lengths, counts, budget)
+        assert (taken >= 0).all() and (taken <= counts).all()
+        assert int(lengths @ taken) == min((x for x in sums if x <= 2 * budget), key=lambda x: (abs(x - budget), x))
+
+
+@pytest.mark.parametrize("n, odd", [(20_000, 0), (6_000, 1)])
+def test_fit_of_very_many_lengths(n, odd):
+    """What the fit holds goes with the words it fits, not with the number of lengths, also where the budget can't be hit."""
+    import tracemalloc
+
+    lengths = np.arange(1, n + 1) * 2
+    if odd:  # but for one document too long to use, all are even
+        lengths[-1] = 10**9 + 1
+    counts = np.ones(n, np.int64)
+    budget = int(lengths[:-1].sum()) // 2 | 1
+    tracemalloc.start()
+    taken = fit(lengths, counts, budget)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert abs(int(lengths @ taken) - budget) == 1 and peak < 100 << 20, peak
+
+
 def test_near_duplicates(docs):
     assert rows_of(near_duplicates(docs), "doc_id", "fingerprint", "component_id") == sorted(brute.near_duplicates(texts_of(docs)), key=repr)
 
@@ -426,3 +458,53 @@ def test_repeated_passages_of_repeated_rows(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     got = rows_of(remove_repeated_passages(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == sorted(brute.repeated_passages(rows), key=repr)
+
+
+def blocks_of_code_points(size: int = 2048):
+    """Code points between letters, before a digit and after a mark, in texts of so many: all but most of the ideographs, Hangul
+    syllables, private ones and planes without any characters, of which there is one in 97."""
+    alike = ((0x3400, 0x9FFF), (0xAC00, 0xD7A3), (0xD800, 0xF8FF), (0x20000, 0x2A6D0), (0x2A700, 0x2B730), (0x2B740, 0x2B810), (0x2B820, 0x2CEA0), (0x2CEB0, 0x32000), (0x34000, 0x3CFFF), (0x40000, 0x10FFFF))
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and (c % 97 == 0 or not any(a <= c <= b for a, b in alike))]
+    for i in range(0, len(every), size):
+        yield " ".join(f"a{c}b {c}1 ẹ{c}́" for c in every[i : i + size])
+
+
+def test_token_counts_of_every_code_point():
+    from tokenizers import Tokenizer
+
+    from offerlens.llm.token_counts import Counter as Tokens
+
+    t, mine = Tokenizer.from_file(WORD_BPE), Tokens(open(WORD_BPE, "rb").read())
+    for text in blocks_of_code_points():
+        assert mine.text(text) == len(t.encode(text, add_special_tokens=False).ids), text[:4]
+
+
+def test_byte_bpe_of_every_code_point():
+    import tiktoken
+
+    from offerlens.llm.byte_bpe import Codec, parse_ranks
+
+    raw = open(BPE, "rb").read()
+    t = tiktoken.Encoding("all", pat_str=public_tokenizers.PATTERN, mergeable_ranks=parse_ranks(raw), special_tokens={})
+    codec = Codec(raw, public_tokenizers.PATTERN)
+    for text in blocks_of_code_points(16384):
+        ((ids, n, _),) = codec.encode([text])
+        assert ids == ",".join(map(str, t.encode_ordinary(text))) and n == ids.count(",") + 1, text[:4]
+
+
+def test_tokenizers_agree_on_random_strings():
+    """Rare letters, marks and numbers next to each other, in all orders."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    from offerlens.llm import token_counts
+    from offerlens.llm.byte_bpe import Codec, parse_ranks
+
+    rng = random.Random(11)
+    rare = [c for c in map(chr, range(0x300, 0x20000)) if re.match(f"[{token_counts.NEWER_LETTERS}{token_counts.NEWER_NUMBERS}{token_counts.NEWER_MARKS}]", c)] + list("ΣσỊ̇́ͅaB1 '") + list(map(chr, token_counts.SMALL))
+    texts = ["".join(rng.choice(rare) if rng.random() < 0.7 else chr(rng.choice((rng.randrange(0x250), rng.randrange(0xD800), rng.randrange(0xE000, 0x110000)))) for _ in range(rng.randrange(1, 30))) for _ in range(6000)]
+    t, mine = Tokenizer.from_file(WORD_BPE), token_counts.Counter(open(WORD_BPE, "rb").read())
+    assert [x for x in texts if mine.text(x) != len(t.encode(x, add_special_tokens=False).ids)] == []
+    raw = open(BPE, "rb").read()
+    other = tiktoken.Encoding("rare", pat_str=public_tokenizers.PATTERN, mergeable_ranks=parse_ranks(raw), special_tokens={})
+    assert [x for x, (ids, _, _) in zip(texts, Codec(raw, public_tokenizers.PATTERN).encode(texts)) if ids != ",".join(map(str, other.encode_ordinary(x)))] == []
