@@ -45,10 +45,11 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Of each group of near-duplicates the document of smallest id, unchanged.
 
     Only fingerprints link: rows of one id with unlike texts both stay. Of rows of the smallest id that are in one
-    group, the one of least hash stays; rows without an id come last. Null, empty and blank texts are one group."""
+    group, the one of least hash stays; rows without an id come last. Maps, which have no hash, don't count in it. Null, empty and blank texts are one group."""
     rows, key = keyed(docs)
     groups = near_duplicates(rows, id_col=key).select(F.col("doc_id").alias("k"), F.col("component_id").alias("g"))
-    order = rows.select(F.col(key).alias("k"), F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), F.col(key).alias("row")).alias("o"))
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    order = rows.select(F.col(key).alias("k"), F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", F.xxhash64(*hashed).alias("hash"), F.col(key).alias("row")).alias("o"))
     stay = groups.join(order, "k").groupBy("g").agg(F.min("o")["row"].alias("row"))
     return rows.join(stay, rows[key] == stay["row"], "left_semi").select(*docs.columns)
 
