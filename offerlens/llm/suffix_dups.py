@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .anchors import anchor_places, candidates, chunked, mixed, parts, repeated_anchors, short, text_bytes, unpack
 from .common import partitions_for, pick, stored
@@ -330,9 +331,10 @@ def remove_repeated_passages(docs: DataFrame, length: int = 100, id_col: str = "
         made = {"doc_id": left["doc_id"]} | {c: pa.array(out[c], k) for c, k in kinds.items()} | {c: left[c] for c in extra}
         return pa.table(made)
 
-    types = dict(docs.dtypes)
-    schema = ["doc_id long", "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *(["kept string"] if with_text else []), *(f"{c} {types[c]}" for c in extra)]
-    found = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(remove, ", ".join(schema))
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else ""))
+    for c in extra:
+        schema.add(c, docs.schema[c].dataType)
+    found = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(remove, schema)
     return found.withColumnsRenamed(dict(zip(extra, carry)))
 
 

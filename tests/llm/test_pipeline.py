@@ -146,3 +146,18 @@ def test_stages_of_an_empty_table(spark):
     for _, f in corpus_pipeline.STAGES:
         docs = f(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_columns_of_any_type_come_along(spark):
+    """Maps, arrays and structs, also with nulls in them, as far as the fourth stage."""
+    prose = lambda k: " ".join(f"word{k * 100 + i} and" for i in range(60))
+    text = ["same " + prose(1), "same " + prose(1), prose(2), prose(3), None]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(text)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "if(doc_id = 2, null, map('k', doc_id)) tags", "array(struct(map(doc_id, text) as m)) nested", "struct(doc_id as `a.b`) s", "array(doc_id, null) list")
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        found = function(spark, docs, SF)
+        assert found.columns == docs.columns, name
+        docs = spark.createDataFrame(found.collect(), docs.schema)
+        rows = {r.doc_id: r for r in docs.collect()}
+        assert set(rows) == ({0, 1, 2, 3} if name == "quality_rules" else {0, 2, 3}), name
+        assert rows[0].tags == {"k": 0} and rows[2].tags is None and rows[3].s["a.b"] == 3 and rows[3].list == [3, None]
