@@ -9,12 +9,12 @@ likeness gives, without a list of pairs of products and without a group that one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, text
 from ..sources.shared import stored
-from . import guards
+from . import guards, near
 
 #: A block of more names than this is compared in cells of about so many by so many, which together hold all its pairs.
 CROWDED = 250
@@ -31,24 +31,28 @@ def blocks(products: DataFrame) -> DataFrame:
     first = F.get(F.split(names.fold(F.col("norm")), " "), F.lit(0))
     brand = F.get(F.split(names.fold(F.col("brand")), " "), F.lit(0))
     f = f.withColumn("first_word", F.nullif(first, F.lit(""))).withColumn("brand_word", F.coalesce(F.nullif(brand, F.lit("")), F.col("first_word")))
+    f = f.withColumn("strict", F.filter("key", lambda w: (F.length(w) > 1) & ~w.rlike("^[0-9]+$")))
     return f.withColumn("pack_key", F.when(F.col("pack")["sure"], F.col("pack")["count"].cast("string")).otherwise(F.coalesce("volume", F.lit(""))))
 
 
 def links_in(f: DataFrame, keys: tuple[str, ...], least: float, rules: tuple[str, ...] = guards.HARD) -> DataFrame:
     """a, b (names, a before b) and score: pairs of one block that no rule tells apart and that are so much alike."""
+    if "crowded" not in f.columns:
+        f = f.withColumn("crowded", F.lit(False))
     f = f.where(" and ".join(f"{k} is not null" for k in keys)).withColumn("block", F.xxhash64(*keys)).dropDuplicates(["block", "name"])
     sizes = f.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block", F.ceil(F.col("n") / CROWDED).cast("int").alias("cells"))
     f = f.join(sizes, "block").withColumn("own", F.pmod(F.xxhash64("name"), "cells").cast("int"))
     dealt = f.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     a, b = guards.side(dealt, "a_"), guards.side(dealt, "b_")
     met = a.join(b, (F.col("a_block") == F.col("b_block")) & (F.col("a_own") == F.col("b_other")) & (F.col("a_other") == F.col("b_own")) & (F.col("a_name") < F.col("b_name")))
+    # Where very many products begin with a word, the rest of the name tells what they are.
+    met = met.where((~F.col("a_crowded") & ~F.col("b_crowded")) | (F.col("a_strict") == F.col("b_strict")))
     met = met.where(~guards.conflict("a_", "b_", rules)).where(text.token_set_bound(F.col("a_key"), F.col("b_key")) >= least)
     return met.select(F.col("a_name").alias("a"), F.col("b_name").alias("b"), text.token_set_ratio(F.col("a_key"), F.col("b_key")).alias("score")).where(F.col("score") >= least)
 
 
-def name_links(products: DataFrame, passes: tuple = PASSES) -> DataFrame:
-    """a, b, pass (from 1), score: links between different names, each by the first pass that makes it."""
-    f = stored(blocks(products))
+def name_links(f: DataFrame, passes: tuple = PASSES) -> DataFrame:
+    """a, b, pass (from 1), score: links between different names (features f), each by the first pass that makes it."""
     found = None
     for number, (_, keys, least, _) in enumerate(passes, 1):
         one = links_in(f, keys, least).withColumn("pass", F.lit(number))
@@ -57,6 +61,49 @@ def name_links(products: DataFrame, passes: tuple = PASSES) -> DataFrame:
     return best.select("a", "b", F.col("x.pass").alias("pass"), (-F.col("x.s")).alias("score"))
 
 
+def with_crowds(f: DataFrame, products: DataFrame, least: int) -> DataFrame:
+    """f with crowded: whether so many products have names of the same first word."""
+    words = products.select("name").join(f.select("name", "first_word").dropDuplicates(["name"]), "name")
+    crowds = near.crowded(words.where("first_word is not null"), least).select("first_word", F.lit(True).alias("crowded"))
+    return f.join(crowds, "first_word", "left").na.fill(False, ["crowded"])
+
+
+def kind(site: str, name: str, country: str) -> Column:
+    """What products have in common that no rule tells apart: site, name and country, if known."""
+    return F.concat_ws("\x01", site, name, F.coalesce(country, F.lit("")))
+
+
+def kind_links(products: DataFrame, passes: tuple = PASSES, crowd: int = 25) -> DataFrame:
+    """a, b (kinds, each way), pass (0 for one name), score: links between kinds of different sites that nothing speaks against.
+
+    products: product_id, site, name, brand, country_code, kind. Beside the rules over two names these count: the countries; what
+    else the two sites list (forms that a sibling has, orders of doses); and whether one of the names fits several."""
+    f = stored(with_crowds(blocks(products), products, crowd))
+    one_name = f.dropDuplicates(["name"])
+    pairs = name_links(f, passes)
+    same = one_name.select(F.col("name").alias("a"), F.col("name").alias("b"), F.lit(0).alias("pass"), F.lit(100.0).alias("score"))
+    every = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "pass", "score")).unionByName(same)
+    kinds = products.select("kind", "site", "name", "country_code").distinct()
+    of = lambda p: kinds.select(F.col("kind").alias(f"{p}_kind"), F.col("site").alias(f"{p}_site"), F.col("name").alias(p), F.col("country_code").alias(f"{p}_country_code"))
+    links = stored(every.join(of("a"), "a").join(of("b"), "b").where("a_site <> b_site").where(~guards.country("a_", "b_")))
+    told = kinds.select("site", "name").distinct().join(one_name.select("name", "form", "brand_word", F.split(names.dosage(F.col("name")), "/").alias("parts"), F.concat_ws("|", "brand_word", F.array_join("doses", "/"), "pack_key").alias("bucket"), F.array_join(F.filter("key", lambda w: ~w.rlike("[0-9]")), " ").alias("key")), "name")
+    links = links.join(near.vetoed(links.select("a_site", "a", "b_site", "b").distinct(), told), ["a_site", "a", "b_site", "b"], "left_anti")
+    unclear = near.ambiguous(fits(links, one_name), one_name, lambda a, b: guards.conflict(a, b))
+    for p in "ab":
+        links = links.join(unclear.select(F.col("name").alias(p), F.col("site").alias(f"{p}_site")), [p, f"{p}_site"], "left_anti")
+    return links.select(F.col("a_kind").alias("a"), F.col("b_kind").alias("b"), "pass", "score").distinct()
+
+
+def fits(links: DataFrame, f: DataFrame) -> DataFrame:
+    """name, site, other, other_site, gap, extra of links of the first pass, as near.ambiguous takes them."""
+    words = f.select("name", "key", F.filter("key", lambda w: (F.length(w) >= 4) & ~w.rlike("[0-9]")).alias("said"))
+    w = lambda p: words.select(F.col("name").alias(p), F.col("key").alias(f"{p}_key"), F.col("said").alias(f"{p}_said"))
+    both = links.where("pass <= 1").select("a", "a_site", "b", "b_site").distinct().join(w("a"), "a").join(w("b"), "b")
+    gap = F.size(F.array_except("a_key", "b_key")) + F.size(F.array_except("b_key", "a_key"))
+    extra = F.when(F.size(F.array_except("a_said", "b_said")) == 0, F.array_except("b_said", "a_said"))
+    return stored(both.select(F.col("a").alias("name"), F.col("a_site").alias("site"), F.col("b").alias("other"), F.col("b_site").alias("other_site"), gap.alias("gap"), extra.alias("extra")))
+
+
 def numbered(df: DataFrame, key: str, item: str) -> DataFrame:
     """df with place: its rows of one key numbered from 0, in salted parts, so that no key is sorted in one task."""
     df = df.withColumn("salt", F.pmod(F.xxhash64(item), F.lit(SALTS)).cast("int"))
@@ -100,23 +147,24 @@ def by_barcode(products: DataFrame, least: int = 8) -> DataFrame:
     return one.join(groups.select("code", "cluster"), "code").select("product_id", "cluster")
 
 
-def resolved(products: DataFrame, sites: tuple[str, ...], passes: tuple = PASSES, use_barcodes: bool = True) -> DataFrame:
+def resolved(products: DataFrame, sites: tuple[str, ...], passes: tuple = PASSES, use_barcodes: bool = True, crowd: int = 25) -> DataFrame:
     """product_id, site, cluster, strategy, confidence of every product that has a counterpart at another site.
 
-    products: product_id, site, name, and if there are any brand and barcode. A cluster has one product a site at
-    most and is named by its smallest product. A product joins a cluster only if its name is linked to those of all
-    members. Products without a name or of another site take no part."""
+    products: product_id, site, name, and if there are any brand, country_code and barcode. A cluster has one product a
+    site at most and is named by its smallest product. A product joins a cluster only if its kind (site, name, country) is
+    linked to those of all members. Names that fit several others are linked to none. Products without a name or of
+    another site take no part."""
     everything = products.where(F.col("site").isin(*sites) & F.col("name").isNotNull() & F.col("product_id").isNotNull())
     coded = stored(by_barcode(everything)) if use_barcodes and "barcode" in products.columns else None
-    rest = stored((everything if coded is None else everything.join(coded, "product_id", "left_anti")).select("product_id", "site", "name", *(["brand"] if "brand" in products.columns else [])))
-    found = name_links(rest, passes).select("a", "b", "pass", "score")
-    same = rest.select(F.col("name").alias("a"), F.col("name").alias("b")).distinct().select("a", "b", F.lit(0).alias("pass"), F.lit(100.0).alias("score"))
-    links = stored(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "pass", "score")).unionByName(same))
+    rest = everything if coded is None else everything.join(coded, "product_id", "left_anti")
+    known = lambda c: F.col(c) if c in products.columns else F.lit(None).cast("string").alias(c)
+    rest = stored(rest.select("product_id", "site", "name", known("brand"), known("country_code")).withColumn("kind", kind("site", "name", "country_code")))
+    links = stored(kind_links(rest, passes, crowd))
     start = lambda s: rest.where(F.col("site") == s)
-    clusters = stored(start(sites[0]).select(F.col("product_id").alias("cluster"), F.array("name").alias("l")))
+    clusters = stored(start(sites[0]).select(F.col("product_id").alias("cluster"), F.array("kind").alias("l")))
     members = start(sites[0]).select("product_id", "site", F.col("product_id").alias("cluster"), F.lit(None).cast("int").alias("pass"), F.lit(None).cast("double").alias("score"))
     for site in sites[1:]:
-        new = start(site).select("product_id", F.col("name").alias("r"))
+        new = start(site).select("product_id", F.col("kind").alias("r"))
         classes = stored(clusters.groupBy("l").agg(F.count("*").alias("n")))
         each = classes.select("l", F.explode("l").alias("a")).join(links, "a")
         edges = each.groupBy("l", F.col("b").alias("r")).agg(F.count("*").alias("k"), F.max("pass").alias("pass"), F.min("score").alias("score")).where("k = size(l)").drop("k")

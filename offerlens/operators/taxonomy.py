@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import strip_accents
+from ..sources.shared import stored
 
 # Sections that are too broad or only name a form, as they read after folding.
 FORM_SLUGS = ("inyeksiyalar", "inyeksiyalar ve infuziyalar", "infuziyalar", "samlar", "xarici vasiteler", "xarici vasiteler ve inyeksiyalar", "yerli vasiteler", "peroral vasiteler tabletler kapsullar", "tabletler", "kapsullar", "mehlullar", "guclu tesiredici vasiteler")
@@ -51,12 +52,24 @@ def classified(categories: DataFrame, rules: DataFrame, broad: DataFrame, segmen
     return out.select("site", "slug", F.when(F.col("_blocked").isNull(), F.col("key")).alias("key"), F.coalesce("_blocked", "why", F.lit("no_signal")).alias("reason"))
 
 
+def in_circles(over: DataFrame) -> DataFrame:
+    """id of every rule that supersedes itself, directly or by others (over: id, other).
+
+    Ways are doubled in length until no new ones come, so that the rounds go with the logarithm of the longest."""
+    ways, n = stored(over.select("id", "other").distinct()), -1
+    while (more := ways.count()) > n:
+        n = more
+        longer = ways.select("id", F.col("other").alias("by")).join(ways.select(F.col("id").alias("by"), "other"), "by").select("id", "other")
+        ways = stored(ways.union(longer).distinct())
+    return ways.where("id = other").select("id")
+
+
 def rule_faults(rules: DataFrame) -> DataFrame:
     """id, fault: rules of one id or signal twice, signals that folding changes, and supersedes that name no rule or go in a circle."""
     same = lambda c, fault: rules.withColumn("n", F.count("*").over(Window.partitionBy(c))).where("n > 1").select("id", F.lit(fault).alias("fault"))
     over = rules.select("id", F.explode(F.filter(F.split(F.coalesce("supersedes", F.lit("")), ","), lambda x: x != "")).alias("other"))
     unknown = over.join(rules.select(F.col("id").alias("other")), "other", "left_anti").select("id", F.lit("supersedes no rule").alias("fault"))
-    circle = over.join(over.select(F.col("id").alias("other"), F.col("other").alias("id")), ["id", "other"], "left_semi").select("id", F.lit("circle").alias("fault"))
+    circle = in_circles(over).withColumn("fault", F.lit("circle"))
     unfolded = rules.where(folded(F.col("signal")) != F.col("signal")).select("id", F.lit("signal is not folded").alias("fault"))
     return same("id", "id twice").union(same("signal", "signal twice")).union(unknown).union(circle).union(unfolded).distinct()
 

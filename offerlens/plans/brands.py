@@ -48,7 +48,7 @@ def known_brands(spark, d):
     return brands.known(source.products(spark, d), rows(spark, [("red", "Red"), ("GEAR", "Gear")], "alias string, brand string"))
 
 
-@query("SELECT string_split(name, ' ')[1] AS first_word, count(*) AS products FROM products GROUP BY 1 HAVING count(*) >= 100", source.PRODUCTS_SQL)
+@query("SELECT string_split(name, ' ')[1] AS first_word, count(*) AS products FROM products GROUP BY 1 HAVING count(*) >= 25", source.PRODUCTS_SQL)
 def crowded_first_words(spark, d):
     named = source.products(spark, d)
-    return brands.crowded_words(named, 100).withColumn("first_word", F.when(F.col("first_word") == "kold", "cold").when(F.col("first_word") == "smal", "small").when(F.col("first_word") == "nev", "new").otherwise(F.col("first_word")))
+    return brands.crowded_words(named, 25).withColumn("first_word", F.when(F.col("first_word") == "kold", "cold").when(F.col("first_word") == "smal", "small").when(F.col("first_word") == "nev", "new").otherwise(F.col("first_word")))

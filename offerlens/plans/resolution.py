@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import guards, resolution
 from ..sources import lineage as source
 from ..sources.adapter import SITES
+from ..sources.listings import listings
 from .literal import rows, values
 from .registry import query
 
@@ -42,7 +43,8 @@ def token_set_pairs(spark, d):
 
 @query()
 def er_clusters(spark, d):
-    p = source.products(spark, d).select("product_id", "site", "name", F.split("name", " ")[0].alias("brand"), "barcode")
+    """Clusters of listings, by barcodes and names, without those that other listings speak against or whose names fit several."""
+    p = listings(spark, d).select("product_id", "site", "name", F.col("maker").alias("brand"), "country_code", "barcode")
     return resolution.resolved(p, SITES)
 
 
