@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, text
+from .workbooks import read_workbook
 
 # Header names that catalogue files use, after folding, words for stock, and the longest value of a field.
 HEADERS = {
@@ -60,12 +61,15 @@ def columns_of(titles: list[str]) -> dict[str, str]:
 
 
 def read_catalogue(spark: SparkSession, path: str, site: str) -> tuple[DataFrame, DataFrame]:
-    """products and problems of a catalogue file in CSV.
+    """products and problems of a catalogue file in CSV or of a workbook with one sheet.
 
     products: external_id, url, name, category, price_cents, discount_cents, availability, copies (equal rows). problems:
     external_id, problem, for every row that has one: no name or address, an address or a price that can't be read, a
     value that is too long, or an id that stands for different rows."""
-    raw = spark.read.option("header", True).option("sep", separator(spark, path)).option("encoding", "UTF-8").option("multiLine", True).csv(path)
+    if path.lower().endswith(".xlsx"):
+        raw = read_workbook(spark, path)
+    else:
+        raw = spark.read.option("header", True).option("sep", separator(spark, path)).option("encoding", "UTF-8").option("multiLine", True).csv(path)
     role = columns_of(raw.columns)
     cell = lambda r: F.trim(F.regexp_replace(F.coalesce(raw[role[r]], F.lit("")), r"\s+", " ")) if r in role else F.lit("")
     df = raw.select(*(cell(r).alias(r) for r in HEADERS)).where("concat(name, url, price, sku) <> ''")
