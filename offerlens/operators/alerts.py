@@ -103,7 +103,7 @@ def collapsed(events: DataFrame, movers: DataFrame, kinds: tuple[str, ...] = LOC
     groups = e.where("way is not null").groupBy("rule_type", "site", "way").agg(F.count("*").alias("n"), F.max("severity").alias("severity"), F.avg("size_bp").cast("long").alias("size_bp"))
     mass = groups.join(movers.select("site", "movers"), "site").where((F.col("n") >= least) & (F.col("n") >= share * F.col("movers")))
     gone = mass.select(F.col("rule_type").alias("_t"), F.col("site").alias("_s"), F.col("way").alias("_w"))
-    kept = e.join(F.broadcast(gone), (F.col("rule_type") == F.col("_t")) & (F.col("site") == F.col("_s")) & (F.col("way") == F.col("_w")), "left_anti")
+    kept = e.join(gone, (F.col("rule_type") == F.col("_t")) & (F.col("site") == F.col("_s")) & (F.col("way") == F.col("_w")), "left_anti")
     summary = mass.select("rule_type", F.concat_ws(":", F.lit("mass"), "rule_type", "site", F.col("way").cast("string")).alias("dedup_key"), "site", "n")
     return kept.select("rule_type", "dedup_key", "site", F.lit(1).cast("long").alias("n")).unionByName(summary)
 

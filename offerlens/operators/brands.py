@@ -11,7 +11,7 @@ from ..functions import names, text
 NO_BRAND = "vitamin krem gel sirop tablet kapsul damci sprey uzluk maska sampun dis usaq bez su cay yag derman test set no n"
 COMPANIES = "mmc asc llc ltd gmbh inc sa srl spa ag co corp kft oao ooo zao zavod fabrik pharma pharmaceuticals laboratories laboratory lab farmasevtika ilac sanayi"
 COMMODITIES = "pambiq bint spirt yod sprislar spris elcek maska plastir termometr qlukoza peroksid"
-LEAST_LIKE, LONGEST_ALIAS = 72.0, 3
+LEAST_LIKE = 72.0
 
 
 def is_no_brand(word: Column) -> Column:
@@ -49,11 +49,12 @@ def brands_conflict(a: Column, b: Column) -> Column:
 def known(products: DataFrame, catalogue: DataFrame) -> DataFrame:
     """product_id, brand of products in whose name a known alias stands (catalogue: alias, brand): the earliest, of those the longest.
 
-    Every run of one to three words of a name meets the aliases in an equi-join."""
+    Every run of words of a name, as long as the longest alias, meets the aliases in an equi-join."""
     aliases = catalogue.select(names.fold(F.col("alias")).alias("k"), F.col("brand").alias("known_brand")).where("k <> ''").distinct()
     words = F.filter(F.split(names.fold(F.col("name")), " "), lambda w: w != "")
-    runs = F.flatten(F.transform("w", lambda x, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST_ALIAS), F.size("w") - i)), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("w", i + 1, n), " ").alias("k")))))
-    each = products.select("product_id", words.alias("w")).where("size(w) > 0").select("product_id", F.explode(runs).alias("r")).select("product_id", "r.*")
+    runs = F.flatten(F.transform("w", lambda x, i: F.transform(F.sequence(F.lit(1), F.least("longest", F.size("w") - i)), lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("w", i + 1, n), " ").alias("k")))))
+    longest = F.coalesce(aliases.agg(F.max(F.size(F.split("k", " ")))).scalar(), F.lit(1))
+    each = products.select("product_id", words.alias("w"), longest.alias("longest")).where("size(w) > 0").select("product_id", F.explode(runs).alias("r")).select("product_id", "r.*")
     met = each.join(aliases, "k")
     return met.groupBy("product_id").agg(F.min_by("known_brand", F.struct("at", (-F.col("n")).alias("n"), "known_brand")).alias("brand"))
 

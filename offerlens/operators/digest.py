@@ -81,7 +81,7 @@ def selected(events: DataFrame) -> DataFrame:
     plan = [(k, b, q) for (k, b), q in quotas([tuple(r) for r in counts]).items()]
     room = events.sparkSession.createDataFrame(plan, "_kind string, _bucket string, quota int")
     place = F.row_number().over(Window.partitionBy("rule_type", "bucket").orderBy(F.desc("size"), "id"))
-    met = e.join(F.broadcast(room), (F.col("rule_type") == F.col("_kind")) & (F.col("bucket") == F.col("_bucket"))).withColumn("place", place)
+    met = e.join(room, (F.col("rule_type") == F.col("_kind")) & (F.col("bucket") == F.col("_bucket"))).withColumn("place", place)
     return met.where(F.col("place") <= F.col("quota")).select("id", "rule_type", "bucket", "place")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import strip_accents
+from ..sources.shared import stored
 
 # Brands whose code ends in a market, colours, and how far prices of one product may lie apart.
 REGION_TAILS = ("apple", "lenovo", "hp")
@@ -25,10 +26,10 @@ def signature(name: Column) -> Column:
     screen = F.nullif(F.regexp_extract(x, r"\b(\d{2}(?:\.\d)?)\s*(?:\"|''|inch|dyum)", 1), F.lit(""))
     parts = F.filter(F.split(x, r"[\s,()]+"), lambda w: w != "")
     is_code = lambda w: (F.length(w) >= 4) & w.rlike("[a-z]") & w.rlike("[0-9]") & ~w.rlike(r"^\d+(?:gb|tb|mm|sm|cm|w|v|mah|hz|ml|l|kg|inch)$")
-    coded = F.get(F.filter(F.slice(parts, 2, 60), is_code), F.lit(0))
+    coded = F.get(F.filter(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), is_code), F.lit(0))
     colours = F.array_sort(F.array_intersect(parts, F.array(*map(F.lit, COLOURS.split()))))
-    plain = F.array_sort(F.array_distinct(F.filter(F.slice(parts, 2, 60), lambda w: w.rlike("^[a-z]{3,}$") & ~F.array_contains(colours, w) & ~w.isin("ram", "inch", "dyum"))))
-    numbers = F.array_sort(F.filter(F.slice(parts, 2, 60), lambda w: w.rlike(r"^[a-z]?\d{1,3}[a-z]?$")))
+    plain = F.array_sort(F.array_distinct(F.filter(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda w: w.rlike("^[a-z]{3,}$") & ~F.array_contains(colours, w) & ~w.isin("ram", "inch", "dyum"))))
+    numbers = F.array_sort(F.filter(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda w: w.rlike(r"^[a-z]?\d{1,3}[a-z]?$")))
     return F.struct(F.get(parts, F.lit(0)).alias("brand"), F.regexp_extract(coded, r"^([a-z0-9]+)", 1).alias("code"), F.nullif(F.regexp_extract(coded, r"^[a-z0-9]+[-/.](.+)$", 1), F.lit("")).alias("tail"), ram.alias("ram"), storage.alias("storage"), screen.alias("screen"), colours.alias("colours"), plain.alias("words"), numbers.alias("numbers"))
 
 
@@ -51,7 +52,11 @@ def pairs(products: DataFrame) -> DataFrame:
     """a, b, strategy: products of two sites that are one, of prices not too far apart, each the other's only candidate there.
 
     Candidates share a brand and a code, or a brand and all words of a series: equi-joins, never all against all."""
-    s = products.where("name is not null").select("product_id", "site", "price_cents", signature(F.col("name")).alias("s"))
+    # Written once, so that no filter or key works the signatures out anew.
+    s = stored(products.where("name is not null").select("product_id", "site", "price_cents", signature(F.col("name")).alias("s")))
+    # Without a code a name needs words and something beside them, or it is no one's like.
+    told = F.col("s.storage").isNotNull() | (F.size("s.colours") > 0) | (F.size("s.numbers") > 0)
+    s = s.where(F.col("s.code").isNotNull() | ((F.size("s.words") > 0) & told))
     keyed = s.withColumn("key", F.when(F.col("s.code").isNotNull(), F.concat_ws("|", F.lit("c"), "s.brand", "s.code")).otherwise(F.concat_ws("|", F.lit("s"), "s.brand", F.array_join("s.words", " "), F.array_join("s.numbers", " "))))
     a = keyed.select("key", *(F.col(c).alias(f"a_{c}") for c in ("product_id", "site", "price_cents", "s")))
     b = keyed.select("key", *(F.col(c).alias(f"b_{c}") for c in ("product_id", "site", "price_cents", "s")))

@@ -117,7 +117,7 @@ def confirmed_journal(obs: DataFrame, eligible: DataFrame) -> DataFrame:
     by_time = Window.partitionBy("product_id").orderBy("seq")
     df = obs.withColumn("before", F.lag(state).over(by_time)).withColumn("written", F.col("before").isNull() | ~state.eqNullSafe(F.col("before"))).drop("before")
     df = df.withColumn("number", F.sum(F.col("written").cast("long")).over(by_time)).withColumn("wrote", F.max("written").over(Window.partitionBy("product_id", "run_id")))
-    df = df.join(F.broadcast(ids), "run_id", "left").withColumn("eligible", F.coalesce("eligible", F.lit(False)))
+    df = df.join(ids, "run_id", "left").withColumn("eligible", F.coalesce("eligible", F.lit(False)))
     seen = F.min(F.when(F.col("eligible") & ~F.col("wrote"), F.col("run_id"))).over(Window.partitionBy("product_id", "number"))
     return df.withColumn("confirmed_run_id", F.when(~F.col("eligible"), seen)).where("written").drop("written", "wrote")
 

@@ -37,9 +37,18 @@ def blocks(products: DataFrame) -> DataFrame:
 
 def links_in(f: DataFrame, keys: tuple[str, ...], least: float, rules: tuple[str, ...] = guards.HARD) -> DataFrame:
     """a, b (names, a before b) and score: pairs of one block that no rule tells apart and that are so much alike."""
+    return name_links(f, (("", keys, least, 1.0),), rules).select("a", "b", "score")
+
+
+def name_links(f: DataFrame, passes: tuple = PASSES, rules: tuple[str, ...] = guards.HARD) -> DataFrame:
+    """a, b, pass (from 1), score: links between different names (features f), each by the first pass that makes it.
+
+    A name has a block for each pass of which it has all keys; all passes meet in one join."""
     if "crowded" not in f.columns:
         f = f.withColumn("crowded", F.lit(False))
-    f = f.where(" and ".join(f"{k} is not null" for k in keys)).withColumn("block", F.xxhash64(*keys)).dropDuplicates(["block", "name"])
+    block = lambda n, keys: F.when(F.expr(" and ".join(f"{k} is not null" for k in keys)), F.struct(F.lit(n).alias("pass"), F.xxhash64(F.lit(n), *keys).alias("block")))
+    placed = F.array_compact(F.array(*(block(n, keys) for n, (_, keys, _, _) in enumerate(passes, 1))))
+    f = f.withColumn("x", F.explode(placed)).withColumns({"pass": F.col("x.pass"), "block": F.col("x.block")}).drop("x").dropDuplicates(["block", "name"])
     sizes = f.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block", F.ceil(F.col("n") / CROWDED).cast("int").alias("cells"))
     f = f.join(sizes, "block").withColumn("own", F.pmod(F.xxhash64("name"), "cells").cast("int"))
     dealt = f.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
@@ -47,18 +56,10 @@ def links_in(f: DataFrame, keys: tuple[str, ...], least: float, rules: tuple[str
     met = a.join(b, (F.col("a_block") == F.col("b_block")) & (F.col("a_own") == F.col("b_other")) & (F.col("a_other") == F.col("b_own")) & (F.col("a_name") < F.col("b_name")))
     # Where very many products begin with a word, the rest of the name tells what they are.
     met = met.where((~F.col("a_crowded") & ~F.col("b_crowded")) | (F.col("a_strict") == F.col("b_strict")))
+    least = F.element_at(F.array(*(F.lit(float(p[2])) for p in passes)), F.col("a_pass"))
     met = met.where(~guards.conflict("a_", "b_", rules)).where(text.token_set_bound(F.col("a_key"), F.col("b_key")) >= least)
-    return met.select(F.col("a_name").alias("a"), F.col("b_name").alias("b"), text.token_set_ratio(F.col("a_key"), F.col("b_key")).alias("score")).where(F.col("score") >= least)
-
-
-def name_links(f: DataFrame, passes: tuple = PASSES) -> DataFrame:
-    """a, b, pass (from 1), score: links between different names (features f), each by the first pass that makes it."""
-    found = None
-    for number, (_, keys, least, _) in enumerate(passes, 1):
-        one = links_in(f, keys, least).withColumn("pass", F.lit(number))
-        found = one if found is None else found.unionByName(one)
-    best = found.groupBy("a", "b").agg(F.min(F.struct("pass", (-F.col("score")).alias("s"))).alias("x"))
-    return best.select("a", "b", F.col("x.pass").alias("pass"), (-F.col("x.s")).alias("score"))
+    scored = met.select(F.col("a_name").alias("a"), F.col("b_name").alias("b"), F.col("a_pass").alias("pass"), least.alias("least"), text.token_set_ratio(F.col("a_key"), F.col("b_key")).alias("score"))
+    return scored.where("score >= least").groupBy("a", "b").agg(F.min("pass").alias("pass"), F.max("score").alias("score"))
 
 
 def with_crowds(f: DataFrame, products: DataFrame, least: int) -> DataFrame:

@@ -35,7 +35,7 @@ def classified(categories: DataFrame, rules: DataFrame, broad: DataFrame, segmen
     of it says so; else none, as with sections that are broad or name a form."""
     c = categories.withColumns({"_slug": folded("slug"), "_ru": folded("label_ru"), "_az": folded("label_az")}).withColumn("_bare", F.regexp_replace("_slug", r"\s+\d+$", ""))
     b = broad.select("site", folded("slug").alias("_bare"), F.lit(True).alias("_broad"))
-    c = c.join(F.broadcast(b), ["site", "_bare"], "left")
+    c = c.join(b, ["site", "_bare"], "left")
     blocked = F.when(F.coalesce("slug", F.lit("")) == "", "no_slug").when(F.col("_broad"), "blocked_broad_bucket").when(F.col("_bare").isin(*FORM_SLUGS), "blocked_dosage_form")
     c = c.withColumn("_blocked", blocked)
     distinct = c.where("_blocked is null").select("_slug", "_ru", "_az").distinct()
@@ -97,5 +97,5 @@ def country(raw: Column) -> Column:
 
 def coverage(products: DataFrame, mapped: DataFrame) -> DataFrame:
     """site, products, mapped: how many products lie in sections that have a key (mapped: site, slug, key)."""
-    df = products.join(F.broadcast(mapped.where("key is not null").select("site", F.col("slug").alias("category"), F.lit(1).alias("k")).distinct()), ["site", "category"], "left")
+    df = products.join(mapped.where("key is not null").select("site", F.col("slug").alias("category"), F.lit(1).alias("k")).distinct(), ["site", "category"], "left")
     return df.groupBy("site").agg(F.count("*").alias("products"), F.count("k").alias("mapped"))
