@@ -65,8 +65,10 @@ def resolved(products: DataFrame, catalogue: DataFrame) -> DataFrame:
     capitals = F.nullif(F.regexp_extract("name", r"(?U)\b(\p{Lu}{3,})\b", 1), F.lit(""))
     first = F.get(F.split(F.trim("name"), r"[\s,]+"), F.lit(0))
     good = lambda w: F.when(~is_no_brand(w), w)
-    brand = F.coalesce("_known", good(capitals), good(first))
-    how = F.when(F.col("_known").isNotNull(), "known").when(good(capitals).isNotNull(), "capitals").when(good(first).isNotNull(), "first_word")
+    # Columns of their own, so that each is worked out once.
+    df = df.withColumns({"_capitals": good(capitals), "_first": good(first)})
+    brand = F.coalesce("_known", "_capitals", "_first")
+    how = F.when(F.col("_known").isNotNull(), "known").when(F.col("_capitals").isNotNull(), "capitals").when(F.col("_first").isNotNull(), "first_word")
     return df.select("product_id", brand.alias("brand"), how.alias("how"))
 
 

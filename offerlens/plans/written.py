@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import digest, guards, intake, taxonomy
+from ..operators import brands, digest, electronics, guards, intake, taxonomy
 from ..sources import files
 from ..sources.adapter import events, table
 from ..sources.lineage import PRODUCTS_SQL, products
-from ..sources.listings import LISTINGS_SQL, listings
+from ..sources.listings import LISTINGS_SQL, MAKERS, listings
 from ..sources.shared import stored
 from .registry import query
 
@@ -87,3 +87,40 @@ def countries_of_customers(spark, d):
     """Countries as sources write them: codes and names in several languages, numbers, and words that name none."""
     raw = F.element_at(F.array(*map(F.lit, (*NATIONS.values(), "17", "Atlantis"))), (F.col("c_custkey") % 10 + 1).cast("int"))
     return table(spark, d, "customer").select("c_custkey", taxonomy.country(raw).alias("c")).select("c_custkey", "c.*")
+
+
+
+
+@query("SELECT product_id, coalesce(upper(maker), string_split(words, ' ')[1]) AS brand, CASE WHEN maker IS NOT NULL THEN 'known' ELSE 'first_word' END AS how FROM listings", LISTED)
+def brands_of_listings(spark, d):
+    """Makers known by their names, else the first word of the listing."""
+    known = spark.createDataFrame([(m, m.upper()) for m in MAKERS], "alias string, brand string")
+    return brands.resolved(listings(spark, d).select("product_id", "name"), known)
+
+
+@query("SELECT product_id, upper(maker) AS brand FROM listings WHERE maker IS NOT NULL AND product_id % 2 = 0", LISTED)
+def brands_in_addresses(spark, d):
+    """Makers in the last part of an address; half of the addresses have numbers there."""
+    known = spark.createDataFrame([(m, m.upper()) for m in MAKERS], "alias string, brand string")
+    slug = F.when(F.col("product_id") % 2 == 0, F.regexp_replace("norm", " ", "-")).otherwise(F.col("product_id").cast("string"))
+    return brands.of_address(listings(spark, d).select("product_id", F.concat(F.lit("https://x.example/p/"), slug, F.lit("/?a=1")).alias("url")), known)
+
+
+@query("SELECT 2 * p_partkey AS a, 2 * p_partkey + 1 AS b, 'code' AS strategy FROM part WHERE p_size % 4 <> 0", prelude=False)
+def electronics_of_parts(spark, d):
+    """Parts sold at two shops by code, a quarter of them at prices too far apart, and names that nothing tells by."""
+    part = table(spark, d, "part")
+    cents = F.round(F.col("p_retailprice") * 100).cast("long")
+    sold = part.select((2 * F.col("p_partkey")).alias("product_id"), F.lit("a").alias("site"), F.concat(F.lit("Boss WAT"), "p_partkey", F.lit(" pralka white")).alias("name"), cents.alias("price_cents"))
+    other = part.select((2 * F.col("p_partkey") + 1).alias("product_id"), F.lit("b").alias("site"), F.concat(F.lit("Boss WAT"), "p_partkey", F.lit(" white pralka")).alias("name"), (cents * F.when(F.col("p_size") % 4 == 0, 2).otherwise(1)).alias("price_cents"))
+    plain = part.select((-1 - F.col("p_partkey")).alias("product_id"), F.concat(F.lit("s"), F.col("p_partkey") % 2).alias("site"), F.lit("Boss").alias("name"), cents.alias("price_cents"))
+    return electronics.pairs(sold.union(other).union(plain))
+
+
+@query("SELECT DISTINCT site, CASE match_id % 4 WHEN 0 THEN 'goz-xestelikleri-' || match_id WHEN 1 THEN 'tabletler' WHEN 2 THEN 'other-' || match_id ELSE 'seker-vitaminleri-' || match_id END AS slug, CASE match_id % 4 WHEN 0 THEN 'eye' END AS key, CASE match_id % 4 WHEN 0 THEN 'matched' WHEN 1 THEN 'blocked_dosage_form' WHEN 2 THEN 'no_signal' ELSE 'ambiguous' END AS reason FROM products", PRODUCTS_SQL)
+def sections_of_products(spark, d):
+    """Sections with one signal, with two, with none, and those that only name a form."""
+    slug = F.expr("case match_id % 4 when 0 then concat('goz-xestelikleri-', match_id) when 1 then 'tabletler' when 2 then concat('other-', match_id) else concat('seker-vitaminleri-', match_id) end")
+    sections = products(spark, d).select("site", slug.alias("slug"), F.lit(None).cast("string").alias("label_ru"), F.lit(None).cast("string").alias("label_az")).distinct()
+    rules = spark.createDataFrame([("e", "eye", "goz xest", "prefix", None, False), ("v", "vitamins", "vitamin", "prefix", None, False), ("d", "diabetes", "seker", "prefix", None, False)], "id string, key string, signal string, mode string, supersedes string, segment_override boolean")
+    return taxonomy.classified(sections, rules, spark.createDataFrame([], "site string, slug string"), "baby")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerlens.operators import curation
+from offerlens.sources.shared import stored
 
 NOW = "2020-02-01 00:00:00"
 NEW, OLD = datetime(2020, 1, 31), datetime(2019, 12, 1)
@@ -34,7 +35,7 @@ def no_gap(a, b):
 
 
 def fresh(spark, rows):
-    return curation.with_freshness(spark.createDataFrame(rows, SCHEMA), NOW)
+    return stored(curation.with_freshness(spark.createDataFrame(rows, SCHEMA), NOW))
 
 
 def moves(df):
@@ -90,9 +91,9 @@ def test_dead_members_are_replaced_in_order_of_clusters(spark):
             want += [(dead, m, None), (new, None, m)]
     score = lambda a, b: F.col(b + "price_cents").cast("double")
     df = spark.createDataFrame(state, SCHEMA)
-    found = curation.dead_moves(df, clash, score)
+    found = stored(curation.dead_moves(df, clash, score))
     assert want and moves(found) == sorted(want, key=repr)
-    assert moves(curation.dead_moves(curation.applied(df, found), clash, score)) == []
+    assert moves(curation.dead_moves(stored(curation.applied(df, found)), clash, score)) == []
 
 
 def test_lost_rows_hand_over_to_their_only_twin(spark):
@@ -107,9 +108,9 @@ def test_lost_rows_hand_over_to_their_only_twin(spark):
     ]
     df = fresh(spark, state + [row(100 + i, "a", None, name=f"x{i}") for i in range(9)])
     assert {r.product_id for r in df.where("unknown").collect()} == {61, 62, 64}
-    found = curation.lost_moves(df, clash)
+    found = stored(curation.lost_moves(df, clash))
     assert moves(found) == sorted([(1, 1, None), (3, None, 1), (11, 2, None), (13, None, 2)], key=repr)
-    assert moves(curation.lost_moves(curation.applied(df, found), clash)) == []
+    assert moves(curation.lost_moves(stored(curation.applied(df, found)), clash)) == []
 
 
 def test_clusters_of_a_lost_row_and_its_twin_are_joined(spark):
@@ -121,9 +122,9 @@ def test_clusters_of_a_lost_row_and_its_twin_are_joined(spark):
         row(40, "a", 9), row(42, "b", 9, seen=OLD, name="t"), row(43, "b", 10, name="t"), row(44, "c", 10), row(45, "b", None, name="t"),  # another twin, free
     ]
     df = fresh(spark, state + [row(100 + i, "b", None, name=f"q{i}") for i in range(9)])
-    found = curation.merge_moves(df, no_clash)
+    found = stored(curation.merge_moves(df, no_clash))
     assert moves(found) == sorted([(2, 1, None), (1, 1, 2), (22, 5, None), (21, 5, 6)], key=repr)
-    after = curation.applied(df, found)
+    after = stored(curation.applied(df, found))
     assert moves(curation.merge_moves(after, no_clash)) == []
     assert curation.rollback_faults(after, curation.logged(found, 1), 0).count() == 0
 
@@ -138,9 +139,9 @@ def test_price_strangers_are_replaced(spark):
     ]
     df = fresh(spark, state)
     journal = df.select("product_id", "price_cents").union(spark.createDataFrame([(22, 500)], "product_id long, price_cents long"))
-    found = curation.stranger_moves(df, journal, no_clash, no_gap)
+    found = stored(curation.stranger_moves(df, journal, no_clash, no_gap))
     assert moves(found) == sorted([(3, 1, None), (4, None, 1)], key=repr)
-    assert moves(curation.stranger_moves(curation.applied(df, found), journal, no_clash, no_gap)) == []
+    assert moves(curation.stranger_moves(stored(curation.applied(df, found)), journal, no_clash, no_gap)) == []
 
 
 def test_rollback_refuses_what_the_log_does_not_tell(spark):
