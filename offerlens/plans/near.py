@@ -24,9 +24,10 @@ def near_names(spark, d):
     return near.near_names(near.keyed(listings(spark, d), "norm"), most=2)
 
 
-@query(f"SELECT name, arg_min(word, spot) AS word FROM (SELECT DISTINCT norm AS name, unnest(string_split(norm, ' ')) AS word, unnest(range(len(string_split(norm, ' ')))) AS spot FROM listings) JOIN (SELECT word FROM (SELECT DISTINCT product_id, unnest(string_split(norm, ' ')) AS word FROM listings) GROUP BY word HAVING count(*) < greatest({near.COMMON_LEAST}, (SELECT count(*) // {near.COMMON_SHARE} FROM listings))) USING (word) WHERE length(word) >= {near.BRAND_LETTERS} GROUP BY name", LISTED)
+@query(f"SELECT name, arg_min(word, spot) AS word FROM (SELECT DISTINCT norm AS name, unnest(string_split(norm, ' ')) AS word, unnest(range(len(string_split(norm, ' ')))) AS spot FROM coded) JOIN (SELECT word FROM (SELECT DISTINCT product_id, unnest(string_split(norm, ' ')) AS word FROM coded) GROUP BY word HAVING count(*) < greatest({near.COMMON_LEAST}, (SELECT count(*) // {near.COMMON_SHARE} FROM coded))) USING (word) WHERE length(word) >= {near.BRAND_LETTERS} GROUP BY name", f"{LISTED}, coded AS (SELECT product_id, norm || ' kod' || match_id // 8 AS norm FROM listings)")
 def rare_first_words(spark, d):
-    return near.rare_first_words(listings(spark, d))
+    """Of names that end in a word of a few parts the first word that is not common."""
+    return near.rare_first_words(listings(spark, d).withColumn("norm", F.expr("concat(norm, ' kod', match_id div 8)")))
 
 
 def kinds_of(spark, d):
