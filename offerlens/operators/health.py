@@ -105,3 +105,44 @@ def streaks(runs: DataFrame, tenant_id: int = 1) -> DataFrame:
     w = Window.orderBy("id")
     own = runs.where(F.col("tenant_id") == tenant_id).select("id", "status").withColumn("new", (~F.col("status").eqNullSafe(F.lag("status").over(w))).cast("int"))
     return own.withColumn("g", F.sum("new").over(w)).groupBy("g", "status").agg(F.min("id").alias("first_run"), F.max("id").alias("last_run"), F.count("*").alias("runs")).drop("g")
+
+
+def staleness(products: DataFrame, ages: dict[str, int], now: str, otherwise: int = 30) -> DataFrame:
+    """site, last_seen_at, seconds since (null where never seen), hours allowed and stale of every site that has products."""
+    hours = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in ages.items() for x in pair)), F.col("site")), F.lit(otherwise)) if ages else F.lit(otherwise)
+    seconds = F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("last_seen_at").cast("timestamp"))
+    seen = products.groupBy("site").agg(F.max("last_seen_at").alias("last_seen_at")).select("*", seconds.alias("seconds"), hours.alias("hours"))
+    return seen.withColumn("stale", F.coalesce(F.col("seconds") > F.col("hours") * 3600, F.lit(False)))
+
+
+def snapshot(runs: DataFrame, products: DataFrame, sites: tuple[str, ...], ages: dict[str, int], now: str, tenant_id: int = 1) -> DataFrame:
+    """One row of how things stand: status (up or degraded), the last run, whether a site is stale, and the full catalogues: missing,
+    ok, degraded or failed, verified (each site's newest attempt went well, is verified and may be relied on), source_complete
+    (each may be relied on, be it with a part set apart), when the last ended, and products set apart and trusted.
+
+    Without a verified catalogue of every site the answer is degraded, a new installation included. A policy that isn't ready, that is
+    a site whose catalogue may not be relied on, degrades too."""
+    run = F.struct("finished_at", "id", "started_at", "status")
+    tried = lineage.full_attempts(runs, tenant_id).where(F.col("site").isin(*sites)).select("site", F.col("run_id").alias("id"))
+    well = (F.col("status") == "ok") & F.coalesce("verified", F.lit(False)) & F.coalesce("eligible_flag", F.lit(False)) & F.coalesce(F.element_at("site_status", F.col("site")) == "ok", F.lit(False))
+    full = tried.join(runs, "id").select(
+        F.lit(None).cast(f"struct<finished_at:{dict(runs.dtypes)['finished_at']},id:bigint,started_at:{dict(runs.dtypes)['started_at']},status:string>").alias("last"),
+        well.alias("well"), lineage.is_eligible().alias("relied"), (F.col("status") == "failed").alias("failed"), F.coalesce("finished_at", "started_at").alias("ended"),
+        *(F.lit(None).cast(t).alias(c) for c, t in (("stale", "boolean"), ("apart", "bigint"), ("trusted", "bigint"))),
+    )
+    none = [F.lit(None).cast(t).alias(c) for c, t in full.dtypes]
+    with_ = lambda df, **made: df.select(*(made.get(c, none[i]).alias(c) for i, c in enumerate(full.columns)))
+    own = products.where(F.col("tenant_id") == tenant_id).agg(F.count_if("conflicted").alias("apart"), F.count_if(~F.col("conflicted")).alias("trusted"))
+    parts = [full, with_(lineage.latest_terminal(runs, tenant_id), last=run), with_(staleness(products, ages, now), stale=F.col("stale")), with_(own, apart=F.col("apart"), trusted=F.col("trusted"))]
+    # A few rows each, brought together by a union and one aggregation.
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    a = every.agg(F.max("last").alias("last"), F.count("well").alias("n"), F.bool_and("well").alias("well"), F.bool_and("relied").alias("relied"), yes(F.bool_or("failed")).alias("failed"), F.max("ended").alias("ended"), yes(F.bool_or("stale")).alias("stale"), F.coalesce(F.max("apart"), F.lit(0)).alias("apart"), F.coalesce(F.max("trusted"), F.lit(0)).alias("trusted"))
+    all_there = F.col("n") == len(sites)
+    verified, complete = yes(F.col("well") & all_there), yes(F.col("relied") & all_there)
+    bad = F.col("stale") | yes(F.col("last.status").isin("degraded", "failed")) | ~verified | ~complete
+    return a.select(
+        F.when(bad, "degraded").otherwise("up").alias("status"), F.col("last.id").alias("last_run_id"), F.col("last.status").alias("last_run_status"), "stale",
+        F.when(F.col("n") == 0, "missing").when(F.col("failed"), "failed").when(verified, "ok").otherwise("degraded").alias("full_status"),
+        verified.alias("verified"), complete.alias("source_complete"), F.col("ended").alias("full_ended_at"), "apart", "trusted",
+    )

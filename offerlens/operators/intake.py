@@ -235,3 +235,43 @@ def isolated(associations: DataFrame, conflicts: DataFrame, stored, most: int =
         if now == n or n > most:
             return grown
         reached, n = grown, now
+
+
+def country_dictionary(known: DataFrame, found: DataFrame) -> DataFrame:
+    """tenant_id, country_id, country_code, country_raw, source_url, sample_count, version, changed: a dictionary of a site's own
+    country ids (known) after verified discoveries (found: the same without version, and seq).
+
+    Discoveries without a code, a name as written or an address are passed over. One that says what is known changes nothing, its
+    address and count included; any other takes over and raises the version, several in a row by one each. Rows of one seq go by
+    their values."""
+    key, said = ["tenant_id", "country_id"], ["country_code", "country_raw", "source_url", "sample_count"]
+    blank = F.lit(" \t\r\n\f\x0b")
+    good = found.select(*key, "seq", F.lower("country_code").alias("country_code"), *(F.btrim(c, blank).alias(c) for c in ("country_raw", "source_url")), F.coalesce(F.nullif("sample_count", F.lit(0)), F.lit(1)).cast("long").alias("sample_count"))
+    good = good.where("country_code <> '' and country_raw <> '' and source_url <> ''").withColumn("version", F.lit(None).cast("long"))
+    every = known.select(*key, F.lit(None).cast("long").alias("seq"), *said, F.col("version").cast("long").alias("version")).unionByName(good)
+    order = F.struct("seq", *said)
+    value = F.struct("country_code", "country_raw")
+    before = F.lag(value).over(Window.partitionBy(*key).orderBy(F.asc_nulls_first("seq"), *said))
+    new = F.col("seq").isNotNull() & ~value.eqNullSafe(before)
+    steps = every.withColumn("new", new).where(F.col("new") | F.col("seq").isNull())
+    last = steps.groupBy(*key).agg(F.max_by(F.struct(*said), order).alias("r"), (F.coalesce(F.max("version"), F.lit(0)) + F.count_if("new")).alias("version"), F.bool_or("new").alias("changed"))
+    return last.select(*key, "r.*", "version", "changed")
+
+
+def continuity_faults(batch: DataFrame, known: DataFrame, tenant_id: int, native: str = ".") -> DataFrame:
+    """external_id, url, fault: why a partial batch (external_id, url) may not be written before a full catalogue has been seen.
+
+    Faults: ambiguous (no address, or an id or address that comes with several of the other), rebound (the id is known with another
+    address, or to another tenant) and taken (another id or tenant has the address). known: external_id, url, tenant_id. Only ids like
+    `native` take part, and known rows without an address bind none. A batch is written whole if there is no fault."""
+    b = batch.where(F.col("external_id").rlike(native)).select("external_id", "url").distinct()
+    k = known.where(F.col("external_id").rlike(native)).select("external_id", "url", "tenant_id").distinct()
+    several = lambda c: b.where("url is not null").groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(c)
+    fault = lambda df, name: df.select("external_id", "url", F.lit(name).alias("fault"))
+    stranger = F.col("tenant_id") != tenant_id
+    by_id = b.join(k.select("external_id", F.col("url").alias("_url"), "tenant_id"), "external_id").where(stranger | (F.col("_url") != F.col("url")))
+    by_url = b.join(k.select("url", F.col("external_id").alias("_id"), "tenant_id"), "url").where(stranger | (F.col("_id") != F.col("external_id")))
+    return (
+        fault(b.where("url is null"), "ambiguous").union(fault(b.join(several("external_id"), "external_id", "left_semi"), "ambiguous"))
+        .union(fault(b.join(several("url"), "url", "left_semi"), "ambiguous")).union(fault(by_id, "rebound")).union(fault(by_url, "taken")).distinct()
+    )
