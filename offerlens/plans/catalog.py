@@ -391,4 +391,4 @@ def stream_sessions(spark, d):
     return counts.select("user_id", F.date_format("w.start", windows.SECONDS).alias("start"), "n")
 
 
-from . import brands, catalogue, comparison, curation, decisions, feeds, intake, lineage, names, near, resolution, review, settings, state, written  # noqa: E402, F401 - registers its queries
+from . import brands, catalogue, comparison, curation, decisions, feeds, intake, lineage, names, near, resolution, review, scans, settings, state, written  # noqa: E402, F401 - registers its queries
