@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -32,12 +35,13 @@ def query_words(spark, query: str) -> list[list[str]]:
     raw = [w for w in re.findall(r"[^\W_]+", query)][: 2 * MOST_WORDS]
     if not raw:
         return []
-    folded = spark.createDataFrame(list(enumerate(raw)), "i int, w string").select("i", "w", names.fold(F.col("w")).alias("k")).orderBy("i").collect()
+    # Literals over one row: folded while the plan is made, without a job.
+    keys = spark.sql("SELECT 1").select(F.array(*(names.fold(F.lit(w)) for w in raw))).first()[0]
     out: list[list[str]] = []
-    for r in folded:
-        for part in r.k.split():
+    for w, key in zip(raw, keys):
+        for part in key.split():
             readings = [part]
-            if len(part) > 1 and part.endswith("k") and r.w.lower().endswith("c"):
+            if len(part) > 1 and part.endswith("k") and w.lower().endswith("c"):
                 readings.append(part[:-1] + "s")
             if readings[0] not in [o[0] for o in out]:
                 out.append(readings)
@@ -53,42 +57,100 @@ def near_words(words: DataFrame, word: str) -> DataFrame:
     return words.where(F.startswith("word", F.lit(word[0]))).withColumn("errors", errors).where(F.col("errors") <= most)
 
 
+def needles(known: DataFrame, wanted: list[list[str]]) -> tuple[list[list[str]], bool]:
+    """For each word of a query the beginnings to look for, and whether any of them is only nearly what was asked for.
+
+    One job over the vocabulary says which readings are known, and one more, if any word has none, which are near."""
+    asked = sorted({r for readings in wanted for r in readings if len(r) >= 3})
+    begin = {r: F.startswith("word", F.lit(r)) for r in asked}
+    row = known.where(_any(list(begin.values()))).agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(f"r{i}") for i, c in enumerate(begin.values()))).first() if asked else ()
+    there = dict(zip(asked, row))
+    hits = [[r for r in readings if there.get(r, True)] for readings in wanted]
+    lost = {i: readings[0] for i, readings in enumerate(wanted) if not hits[i]}
+    if lost:
+        # At most a dozen words come back for each word of the query.
+        near = [near_words(known, w).orderBy("errors", F.desc("products"), "word").limit(12).select(F.lit(i).alias("i"), "errors", "products", "word") for i, w in lost.items()]
+        for r in sorted(reduce(DataFrame.union, near).collect(), key=lambda r: (r.errors, -r.products, r.word)):
+            hits[r.i].append(r.word)
+    return [h or readings[:1] for h, readings in zip(hits, wanted)], any(hits[i] for i in lost)
+
+
+def _rank(groups: list[list[str]], fuzzy: bool, phrase: str) -> Column:
+    name = F.concat(F.lit(" "), F.col("key"))
+    in_name = reduce(lambda a, g: a & _any([F.contains(name, F.lit(" " + w)) for w in g]), groups, F.lit(True))
+    return F.lit(4) if fuzzy else F.when(F.startswith(name, F.lit(" " + phrase)), 0).when(F.contains(name, F.lit(" " + phrase)), 1).when(in_name, 2).otherwise(3)
+
+
 def search(products: DataFrame, query: str) -> DataFrame:
     """product_id, site, name, rank of products that have all words of the query as beginnings of words.
 
     Rank 0: the name starts with the query; 1: has it; 2: has its words; 3: found by brand; 4: by words that are nearly those
-    asked for; 5: a single word inside of words."""
-    spark = products.sparkSession
+    asked for; 5: a single word inside of words. Names are folded for every query; `keep` does so once for many."""
     indexed = index(products)
-    wanted = query_words(spark, query)
+    wanted = query_words(products.sparkSession, query)
     if not wanted:
         return indexed.where("false").select("product_id", "site", "name", F.lit(0).alias("rank"))
-    known = vocabulary(indexed)
-    needles: list[list[str]] = []
-    fuzzy = False
-    for readings in wanted:
-        # At most a dozen words come back for each word of the query.
-        hits = [r for r in readings if len(r) < 3 or not known.where(F.startswith("word", F.lit(r))).isEmpty()]
-        if not hits:
-            hits = [r.word for r in near_words(known, readings[0]).orderBy("errors", F.desc("products"), "word").limit(12).collect()]
-            fuzzy = fuzzy or bool(hits)
-        needles.append(hits or readings[:1])
-    begins = lambda text, group: F.lit(False) if not group else _any([F.contains(text, F.lit(" " + w)) for w in group])
-    name = F.concat(F.lit(" "), F.col("key"))
-    found, in_name = F.lit(True), F.lit(True)
-    for group in needles:
-        found, in_name = found & begins(F.col("full"), group), in_name & begins(name, group)
+    groups, fuzzy = needles(vocabulary(indexed), wanted)
+    found = reduce(lambda a, g: a & _any([F.contains("full", F.lit(" " + w)) for w in g]), groups, F.lit(True))
     phrase = " ".join(r[0] for r in wanted)
-    rank = F.lit(4) if fuzzy else F.when(F.startswith(name, F.lit(" " + phrase)), 0).when(F.contains(name, F.lit(" " + phrase)), 1).when(in_name, 2).otherwise(3)
     inside = F.contains("key", F.lit(phrase)) if len(wanted) == 1 and len(phrase) >= 4 else F.lit(False)
-    return indexed.where(found | inside).select("product_id", "site", "name", F.when(found, rank).otherwise(5).cast("int").alias("rank"))
+    return indexed.where(found | inside).select("product_id", "site", "name", F.when(found, _rank(groups, fuzzy, phrase)).otherwise(5).cast("int").alias("rank"))
+
+
+class Kept(NamedTuple):
+    """A stored index: rows (product_id, site, name, key), postings (word, product_id), words (word, products) and the stamp of what
+    it was made of."""
+
+    rows: DataFrame
+    postings: DataFrame
+    words: DataFrame
+    stamp: DataFrame
+
+
+def keep(products: DataFrame, runs: DataFrame, folder: str) -> Kept:
+    """Writes the index of products (product_id must be unique) into a folder of its own that all executors share.
+
+    Postings and words are dealt and sorted by word, so that a scan for beginnings reads only the row groups that can hold them, and a word
+    that very many products have is spread over several files."""
+    spark = products.sparkSession
+    index(products).select("product_id", "site", "name", "key", "words").write.parquet(f"{folder}/rows")
+    each = spark.read.parquet(f"{folder}/rows").select(F.explode("words").alias("word"), "product_id")
+    each.repartitionByRange("word", "product_id").sortWithinPartitions("word", "product_id").write.parquet(f"{folder}/postings")
+    counted = spark.read.parquet(f"{folder}/postings").groupBy("word").agg(F.count("*").alias("products"))
+    counted.repartitionByRange("word").sortWithinPartitions("word").write.parquet(f"{folder}/words")
+    stamp(products, runs).write.parquet(f"{folder}/stamp")
+    return kept(spark, folder)
+
+
+def kept(spark: SparkSession, folder: str) -> Kept:
+    return Kept(*(spark.read.parquet(f"{folder}/{t}") for t in Kept._fields))
+
+
+def is_current(made: Kept, products: DataFrame, runs: DataFrame) -> bool:
+    """Whether an index still stands for the products: if not, `keep` it anew in another folder."""
+    return made.stamp.first() == stamp(products, runs).first()
+
+
+def search_kept(made: Kept, query: str) -> DataFrame:
+    """What `search` finds, from a stored index."""
+    none = made.rows.where("false").select("product_id", "site", "name", F.lit(0).alias("rank"))
+    wanted = query_words(made.rows.sparkSession, query)
+    if not wanted:
+        return none
+    groups, fuzzy = needles(made.words, wanted)
+    begins = [_any([F.startswith("word", F.lit(w)) for w in g]) for g in groups]
+    all_of = reduce(lambda a, c: a & c, (F.bool_or(c) for c in begins))
+    hits = made.postings.where(_any(begins)).groupBy("product_id").agg(all_of.alias("all_of")).where("all_of").select("product_id")
+    phrase = " ".join(r[0] for r in wanted)
+    found = made.rows.join(hits, "product_id", "left_semi").select("product_id", "site", "name", _rank(groups, fuzzy, phrase).cast("int").alias("rank"))
+    if len(wanted) > 1 or len(phrase) < 4:
+        return found
+    inside = made.rows.where(F.contains("key", F.lit(phrase))).join(hits, "product_id", "left_anti")
+    return found.unionByName(inside.select("product_id", "site", "name", F.lit(5).alias("rank")))
 
 
 def _any(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
+    return reduce(or_, conditions)
 
 
 def heads(products: DataFrame) -> DataFrame:

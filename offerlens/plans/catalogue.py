@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_sql
@@ -9,6 +11,7 @@ from ..operators import catalogue_search as search
 from ..operators import electronics, marketplace, taxonomy
 from ..sources import lineage as source
 from ..sources.adapter import NOW
+from ..sources.shared import shared_folder
 from .literal import rows, values
 from .registry import query
 
@@ -39,6 +42,24 @@ def search_one_word(spark, d):
     return found(spark, d, "gear")
 
 
+# Queries of which every second word is one of a brand, turned, misspelt or inside of words; the oracle works ranks out from plain names.
+ASKED = ("widget", "gear red", "bult", "idge", "brand", "red gear", "zzzz", "co wi")
+ANSWERS = """asked(query, first, second, brand) AS (VALUES ('widget', 'widget', NULL, 0), ('gear red', 'gear', 'red', 0), ('bult', 'bolt', NULL, 4), ('brand', 'brand', NULL, 3), ('red gear', 'red', 'gear', 0), ('co wi', 'co', 'wi', 0)),
+worded AS (SELECT product_id, site, name, ' ' || name || ' ' || lower(replace(brand, '#', ' ')) AS every FROM products),
+hits AS (SELECT query, product_id, CASE WHEN brand > 0 THEN brand WHEN starts_with(name, concat_ws(' ', first, second)) THEN 0 WHEN contains(' ' || name, ' ' || concat_ws(' ', first, second)) THEN 1 ELSE 2 END AS rank FROM worded JOIN asked ON contains(every, ' ' || first) AND (second IS NULL OR contains(every, ' ' || second)))"""
+
+
+@query("SELECT query, rank, count(*) AS products, sum(product_id) AS ids FROM hits GROUP BY ALL UNION ALL SELECT 'idge', 5, count(*), sum(product_id) FROM products WHERE contains(name, 'idge') HAVING count(*) > 0", f"{PRODUCTS}, {ANSWERS}")
+def search_kept_index(spark, d):
+    """Several queries from one stored index."""
+    made = search.keep(source.products(spark, d), source.runs(spark, d), f"{shared_folder(spark)}/offerlens-search-{uuid.uuid4().hex}")
+    every = [search.search_kept(made, q).select(F.lit(q).alias("query"), "rank", "product_id") for q in ASKED]
+    out = every[0]
+    for more in every[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("query", "rank").agg(F.count("*").alias("products"), F.sum("product_id").alias("ids"))
+
+
 @query(f"SELECT word, count(*) AS products FROM (SELECT product_id, unnest(list_distinct(string_split({fold_sql("name || ' ' || brand")}, ' '))) AS word FROM products) GROUP BY word", PRODUCTS)
 def search_vocabulary(spark, d):
     return search.vocabulary(search.index(source.products(spark, d)))
