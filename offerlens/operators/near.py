@@ -70,6 +70,26 @@ def closest_first(candidates: DataFrame, top: int = 1) -> DataFrame:
     return candidates.withColumn("place", place).where(F.col("place") <= top)
 
 
+def nearest_by_facts(mine: DataFrame, other: DataFrame, links: DataFrame) -> DataFrame:
+    """For each p and site one or two candidates, among them the one that closest_first puts first of all that are not together.
+
+    mine: p, name, p_price, p_country. other: q, other (its name), q_site, current, q_price, q_country. links: name, other, q_site,
+    gap. Beside the gap only three facts count, so none is met but at the least gap, current if any there is: the first q of
+    equal price and of a country known no less by equality, and the first q of all."""
+    least = F.min("gap").over(Window.partitionBy("name", "q_site"))
+    nearest = links.join(other.select("other", "q_site").distinct(), ["other", "q_site"], "left_semi").withColumn("least", least).where("gap = least").drop("least")
+    one = F.struct((~F.col("current")).alias("late"), "q", "q_price", "q_country")
+    firsts = other.groupBy("other", "q_site").agg(F.min(one).alias("r"))
+    first = nearest.join(firsts, ["other", "q_site"]).groupBy("name", "q_site", "gap").agg(F.min("r").alias("r")).select("name", "q_site", "gap", (~F.col("r.late")).alias("current"), "r.q", "r.q_price", "r.q_country")
+    alike = other.groupBy("other", "q_site", "current", "q_price", "q_country").agg(F.min("q").alias("q"))
+    facts = nearest.join(alike, ["other", "q_site"]).join(first.select("name", "q_site", "current"), ["name", "q_site", "current"], "left_semi")
+    told = facts.groupBy("name", "q_site", "gap", "current", "q_price", F.col("q_country").alias("asked")).agg(F.min(F.struct("q", "q_country")).alias("r")).where("asked is not null")
+    untold = facts.groupBy("name", "q_site", "gap", "current", "q_price").agg(F.min(F.struct("q", "q_country")).alias("r")).withColumn("asked", F.lit(None).cast("string"))
+    known = told.unionByName(untold).withColumnRenamed("name", "_name")
+    equal = mine.join(known, F.expr("name = _name and p_price = q_price and p_country <=> asked")).select(mine["*"], "q_site", "gap", "current", "r.q", "q_price", "r.q_country")
+    return equal.unionByName(mine.join(first, "name").select(equal.columns))
+
+
 def ambiguous(links: DataFrame, features: DataFrame, conflict: Callable[[str, str], Column]) -> DataFrame:
     """name, site of names that fit two different ones, so that nothing tells which is meant.
 

@@ -30,15 +30,15 @@ def rare_first_words(spark, d):
     return near.rare_first_words(listings(spark, d).withColumn("norm", F.expr("concat(norm, ' kod', match_id div 8)")))
 
 
-def kinds_of(spark, d):
+def kinds_of(items):
     """name, site and significant words of everything listed, once each."""
-    key = text.tokens(names.fold(F.col("norm")))
-    return listings(spark, d).select(F.col("norm").alias("name"), "site", key.alias("key")).distinct()
+    kinds = items.select(F.col("norm").alias("name"), "site").distinct()
+    return kinds.withColumn("key", text.tokens(names.fold(F.col("name"))))
 
 
-def linked(spark, d):
+def linked(items):
     """Names of other sites that differ in two words at most, each way round, with the words beside those of the first."""
-    kinds = stored(kinds_of(spark, d))
+    kinds = stored(kinds_of(items))
     pairs = near.near_names(kinds.select("name", "key").distinct())
     every = pairs.union(pairs.select("b", "a", "gap")).union(kinds.select("name", F.col("name").alias("o"), F.lit(0).cast("long")).distinct()).toDF("name", "other", "gap")
     other = kinds.withColumnsRenamed({"name": "other", "site": "other_site", "key": "other_key"})
@@ -55,8 +55,9 @@ TIED = "x.gap = y.gap AND x.gap = (SELECT min(gap) FROM links z WHERE z.name = x
 @query(f"SELECT DISTINCT x.name, x.site FROM links x JOIN links y ON x.name = y.name AND x.site = y.site AND (x.other, x.other_site) <> (y.other, y.other_site) WHERE (x.other_site = y.other_site AND {TIED} AND {CLASH}) OR (len(x.extra) > 0 AND len(y.extra) > 0 AND x.extra <> y.extra AND (x.other_site = y.other_site OR ({CLASH})))", LINKED)
 def ambiguous_names(spark, d):
     """Names that fit several others, where a pair conflicts if each name has a word that the other lacks."""
-    links = stored(linked(spark, d))
-    return near.ambiguous(links, near.keyed(listings(spark, d), "norm"), lambda a, b: text.one_sided(F.col(a + "key"), F.col(b + "key")))
+    items = stored(listings(spark, d))
+    links = stored(linked(items))
+    return near.ambiguous(links, near.keyed(items, "norm"), lambda a, b: text.one_sided(F.col(a + "key"), F.col(b + "key")))
 
 
 CANDIDATES = f"{LINKED}, candidates AS (SELECT c.product_id AS p, r.product_id AS q, r.site AS q_site, gap, c.match_id = r.match_id AND c.product_id % 3 = r.product_id % 3 AS together, r.availability = 'in_stock' AS current, c.price_cents = r.price_cents AS same_price, c.country_code IS NULL OR c.country_code IS NOT DISTINCT FROM r.country_code AS same_country FROM links JOIN listings c ON c.norm = links.name AND c.site = links.site JOIN listings r ON r.norm = other AND r.site = other_site WHERE c.site = 'client')"
@@ -64,18 +65,17 @@ CANDIDATES = f"{LINKED}, candidates AS (SELECT c.product_id AS p, r.product_id A
 
 @query("SELECT p, q_site, q, gap FROM candidates QUALIFY row_number() OVER (PARTITION BY p, q_site ORDER BY together DESC, gap, current DESC, (same_price AND same_country) DESC, q) = 1", CANDIDATES)
 def closest_candidates(spark, d):
-    """The likest product at each rival of every product of the client. Of products alike in all that counts the first stands for all."""
+    """The likest product at each rival of every product of the client. Products alike in all that counts are one candidate."""
     items = stored(listings(spark, d))
-    links = linked(spark, d).where("site = 'client'").select("name", "other", "other_site", "gap")
+    links = stored(linked(items).where("site = 'client'").select("name", "other", F.col("other_site").alias("q_site"), "gap"))
     mine = items.where("site = 'client'").select(F.col("product_id").alias("p"), F.col("norm").alias("name"), F.col("price_cents").alias("p_price"), F.col("country_code").alias("p_country"), F.col("match_id").alias("p_match"))
-    alike = items.groupBy(F.col("norm").alias("other"), F.col("site").alias("other_site"), (F.col("availability") == "in_stock").alias("current"), F.col("price_cents").alias("q_price"), F.col("country_code").alias("q_country")).agg(F.min("product_id").alias("q"))
-    other = mine.join(links, "name").join(alike, ["other", "other_site"]).withColumn("together", F.lit(False))
-    # A cluster has one product a site, so its own members are few and come beside the rest.
-    own = items.select(F.col("match_id").alias("p_match"), F.col("site").alias("other_site"), F.col("norm").alias("other"), (F.col("availability") == "in_stock").alias("current"), F.col("price_cents").alias("q_price"), F.col("country_code").alias("q_country"), F.col("product_id").alias("q"))
-    together = mine.join(links, "name").join(own, ["p_match", "other", "other_site"]).where("p % 3 = q % 3").withColumn("together", F.lit(True))
-    every = other.unionByName(together.select(other.columns)).withColumnRenamed("other_site", "q_site")
-    judged = every.withColumns({"same_price": F.col("p_price") == F.col("q_price"), "same_country": F.col("p_country").isNull() | F.col("p_country").eqNullSafe(F.col("q_country"))})
-    return near.closest_first(judged).select("p", "q_site", "q", "gap")
+    other = items.where("site <> 'client'").select(F.col("norm").alias("other"), F.col("site").alias("q_site"), (F.col("availability") == "in_stock").alias("current"), F.col("price_cents").alias("q_price"), F.col("country_code").alias("q_country"), F.col("match_id").alias("p_match"), F.col("product_id").alias("q"))
+    # A cluster has one product a site, so its own members are few; they meet by cluster, the rest by name.
+    own = mine.join(other, "p_match").where("p % 3 = q % 3").join(links, ["name", "other", "q_site"]).withColumn("together", F.lit(True))
+    rest = near.nearest_by_facts(mine, other, links).withColumn("together", F.lit(False))
+    same = {"same_price": F.col("p_price") == F.col("q_price"), "same_country": F.col("p_country").isNull() | F.col("p_country").eqNullSafe(F.col("q_country"))}
+    columns = ["p", "q_site", "q", "gap", "current", "same_price", "same_country", "together"]
+    return near.closest_first(own.withColumns(same).select(columns).unionByName(rest.withColumns(same).select(columns))).select("p", "q_site", "q", "gap")
 
 
 KINDS = f"{NAMED}, kinds AS (SELECT DISTINCT site, norm AS name, form, norm || '|' || dose AS bucket, norm AS key, maker AS brand_word, string_split(dose, '/') AS parts FROM listings)"

@@ -128,3 +128,30 @@ def test_streamed_journal_keeps_changes_only(spark, tmp_path):
     stream = twins.stream(spark, str(tmp_path / "in"), "product_id long, price_cents long, discount_cents long, at timestamp", files=1000)
     got = twins.drained(twins.journal(stream))
     assert rows(got, "product_id", "price_cents", "discount_cents") == [(1, 100, -1), (1, 90, -1), (1, 90, 80), (2, 5, -1)]
+
+
+def test_nearest_by_facts_against_all_candidates(spark):
+    """Few rows stand for all pairs: the first of them is the first of all, and products alike do not multiply."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from offerlens.operators import near
+
+    rng = random.Random(8)
+    mine = [(p, rng.choice("xyz"), rng.randrange(3), rng.choice([None, "de", "fr"])) for p in range(60)]
+    other = [(1000 + q, rng.choice("xyzuv"), rng.choice("ab"), rng.random() < 0.3, rng.randrange(4), rng.choice([None, "de", "fr"])) for q in range(90)]
+    links = [(n, o, s, rng.randrange(3)) for n in "xyz" for o in "xyzuvw" for s in "ab" if rng.random() < 0.5]
+    want = {}
+    for p, name, price, country in mine:
+        for n, o, s, gap in links:
+            for q, on, os, current, q_price, q_country in other:
+                if n == name and (on, os) == (o, s):
+                    key = (gap, not current, not (price == q_price and (country is None or country == q_country)), q)
+                    want[p, s] = min(want.get((p, s), key), key)
+    m = spark.createDataFrame(mine, "p long, name string, p_price long, p_country string")
+    o = spark.createDataFrame(other, "q long, other string, q_site string, current boolean, q_price long, q_country string")
+    found = near.nearest_by_facts(m, o, spark.createDataFrame(links, "name string, other string, q_site string, gap long"))
+    assert found.groupBy("p", "q_site").count().where("count > 2").count() == 0
+    judged = found.withColumns({"together": F.lit(False), "same_price": F.col("p_price") == F.col("q_price"), "same_country": F.col("p_country").isNull() | F.col("p_country").eqNullSafe(F.col("q_country"))})
+    assert want and {(r.p, r.q_site): (r.gap, r.q) for r in near.closest_first(judged).collect()} == {k: (v[0], v[3]) for k, v in want.items()}
