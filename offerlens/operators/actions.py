@@ -17,8 +17,9 @@ def promo_responses(obs: DataFrame, runs: DataFrame, client: str, top: int = 10)
     return changes.promotions(obs).join(F.broadcast(at), ["site", "run_id"]).orderBy("site", "title").limit(top).select("site", "title")
 
 
-def merged(obs: DataFrame, stock: DataFrame, runs: DataFrame, client: str, per_type: int = 10) -> DataFrame:
-    """type, severity, match_id, site, target, gap_bp, gap_cents of the best of each kind, the gravest and widest first."""
+def merged(obs: DataFrame, stock: DataFrame, runs: DataFrame, client: str, per_type: int = 10, with_gaps: bool = True) -> DataFrame:
+    """type, severity, match_id, site, target, gap_bp, gap_cents of the best of each kind, the gravest and widest first;
+    clusters that the client lacks are a kind of their own, which can be left out."""
     rank = lambda df, *by: df.orderBy(*by).limit(per_type)
     columns = ("type", "severity", "match_id", "site", "target", "gap_bp", "gap_cents")
     none = F.lit(None).cast("long")
@@ -26,7 +27,8 @@ def merged(obs: DataFrame, stock: DataFrame, runs: DataFrame, client: str, per_t
     down = rank(analytics.undercut_responses(obs, stock), F.desc("gap_bp"), "match_id").select(F.lit("undercut").alias("type"), "severity", "match_id", "site", "target", "gap_bp", (F.col("rival") - F.col("client")).alias("gap_cents"))
     gaps = analytics.assortment_gaps(obs, per_type).select(F.lit("assortment_gap").alias("type"), F.lit("info").alias("severity"), "match_id", F.lit(None).cast("string").alias("site"), F.col("price").alias("target"), none.alias("gap_bp"), none.alias("gap_cents"))
     promos = promo_responses(obs, runs, client, per_type).select(F.lit("promo_response").alias("type"), F.lit("warning").alias("severity"), none.alias("match_id"), "site", none.alias("target"), none.alias("gap_bp"), none.alias("gap_cents"))
-    every = up.select(*columns).unionByName(down.select(*columns)).unionByName(gaps.select(*columns)).unionByName(promos.select(*columns))
+    every = up.select(*columns).unionByName(down.select(*columns)).unionByName(promos.select(*columns))
+    every = every.unionByName(gaps.select(*columns)) if with_gaps else every
     place = F.array_position(F.array(*map(F.lit, ORDER)), F.col("severity"))
     return every.orderBy(place, F.desc(F.abs(F.coalesce("gap_bp", F.lit(0)))), "type", "match_id", "site")
 
