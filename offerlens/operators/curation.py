@@ -7,8 +7,12 @@ more to do. Clusters have a product a site, so pairs within one are few. Cluster
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,24 +152,88 @@ def first_come(edges: DataFrame) -> DataFrame:
         left = stored(left.join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti"))
 
 
-def dead_moves(state: DataFrame, conflict: Conflict, score: Callable[[str, str], Column], least: float = 80.0, block: str = "block") -> DataFrame:
+#: Lists of candidates are looked at in tiles of so many rows: two at first, four times as many in each further round.
+TILE = 16
+
+
+def by_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b (or none): what each a takes, of rows in order of group, turn, a and place; those that can't be told yet are left out.
+
+    A row is a place of the list of a's kind: b stands there, ok says whether a can take it, begin and stop which places came and
+    size how long the list is. An a is sure of its b if all places before its window are known to be taken. After the first that is
+    not, the rest of its group waits. Held are the rows of one a, what was taken in its group, and places that are still free."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    group, found = None, []
+    for (grp, _, a), lot in groupby(rows, key=itemgetter(0, 1, 2)):
+        if grp != group:
+            group, taken, lists, waits = grp, set(), {}, False
+        if waits:
+            continue
+        lot = list(lot)
+        _, _, _, kind, _, _, _, begin, stop, size = lot[0]
+        first, places = lists.get(kind, (0, {}))
+        places.update({place: b for _, _, _, _, place, b, *_ in lot if place >= first})
+        while places.get(first) in taken:
+            del places[first]
+            first += 1
+        lists[kind] = first, places
+        b = next((x[5] for x in lot if x[6] and x[5] not in taken), None)
+        if first < begin or (b is None and stop < size):
+            waits = True
+            continue
+        if b is not None:
+            taken.add(b)
+        found.append((a, b))
+        if len(found) == 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+            found = []
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+
+def dead_moves(state: DataFrame, conflict: Conflict, score: Callable[[str, str], Column], least: float = 80.0, block: str = "block", alike: tuple[str, ...] | None = None) -> DataFrame:
     """Moves that put a living row of the same site in the place of a dead one.
 
     state: product_id, site, match_id, is_manual, dead, pack, strengths (an array), a block that a substitute shares, and what
     conflict and score (of the dead row and its substitute) read. A substitute is alive, unmatched, of equal pack and strengths,
-    and does not conflict with the anchor, the first living member of another site. Clusters choose in order of id."""
+    and does not conflict with the anchor, the first living member of another site. Clusters choose in order of id.
+
+    alike: the columns that score reads, if not all. Dead rows of equal ones share a list of candidates, best first, of which each
+    sees a window about the place that is its turn; those who need another one come again in the next round."""
     dead = state.where("dead and match_id is not null and not is_manual")
     # Of several dead rows of one site in a cluster the first is replaced.
     dead = dead.join(dead.groupBy("match_id", "site").agg(F.min("product_id").alias("product_id")), ["match_id", "site", "product_id"], "left_semi")
     living = state.where("not dead and match_id is not null")
-    d = side(dead, "d_")
-    met = d.join(side(living, "m_"), (F.col("d_match_id") == F.col("m_match_id")) & (F.col("d_site") != F.col("m_site")))
-    anchor = met.groupBy("d_product_id").agg(F.min("m_product_id").alias("m_product_id"))
-    free = side(state.where("not dead and match_id is null"), "c_")
-    cand = d.join(anchor, "d_product_id").join(free, (F.col("d_site") == F.col("c_site")) & (F.col("d_pack") == F.col("c_pack")) & F.col("d_strengths").eqNullSafe(F.col("c_strengths")) & (F.col(f"d_{block}") == F.col(f"c_{block}")))
-    cand = cand.withColumn("score", score("d_", "c_")).where(F.col("score") >= least).join(side(living, "m_"), "m_product_id").where(~F.coalesce(conflict("m_", "c_"), F.lit(False)))
-    taken = first_come(cand.select(F.col("d_product_id").alias("a"), F.struct("d_match_id", "d_site").alias("turn"), F.col("c_product_id").alias("b"), (-F.col("score")).alias("wish")))
-    return exchanged(taken, dead, "dead")
+    met = side(dead, "d_").join(side(living, "m_"), (F.col("d_match_id") == F.col("m_match_id")) & (F.col("d_site") != F.col("m_site")))
+    anchor = met.groupBy(F.col("d_product_id").alias("product_id")).agg(F.min("m_product_id").alias("m_product_id"))
+    shared = ("site", "pack", "strengths", block)
+    kinds = tuple(dict.fromkeys((*shared, *(alike or state.columns))))
+    named = lambda df: df.withColumn("kind", F.min("product_id").over(Window.partitionBy(*kinds)))
+    free = stored(named(state.where("not dead and match_id is null")))
+    asking = stored(named(dead.join(anchor, "product_id")).withColumn("grp", F.min("kind").over(Window.partitionBy(*shared))))
+    of_kind = lambda df, p: side(df.where("kind = product_id").select("kind", *kinds), p)
+    both = F.expr(f"d_site = c_site and d_pack = c_pack and d_strengths <=> c_strengths and d_{block} = c_{block}")
+    meet = of_kind(asking, "d_").join(of_kind(free, "c_"), both).withColumn("score", score("d_", "c_")).where(F.col("score") >= least)
+    lists = stored(meet.select(F.col("d_kind").alias("kind"), "score", "c_kind").join(free.select(F.col("kind").alias("c_kind"), F.col("product_id").alias("b")), "c_kind").select("kind", "score", "b"))
+    left = asking.select("grp", "kind", F.col("match_id").alias("turn"), F.col("product_id").alias("a"), "m_product_id")
+    done, tiles = None, 2
+    while True:
+        listed = stored(lists.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "b")).cast("long") - 1).withColumn("tile", F.expr(f"place div {TILE}")))
+        sizes = listed.groupBy("kind").agg(F.count("*").alias("size"))
+        turn = F.row_number().over(Window.partitionBy("kind").orderBy("turn", "a")) - 1 - TILE // 2
+        # The window begins at the tile of a's turn, less half a tile, or ends with the list.
+        left = stored(left.join(sizes, "kind").withColumn("first", F.greatest(F.lit(0), F.least(F.floor(turn / TILE), F.ceil(F.col("size") / TILE) - tiles))))
+        asked = left.withColumn("tile", F.explode(F.sequence("first", F.col("first") + tiles - 1)))
+        seen = asked.join(listed.select("kind", "tile", "place", "b"), ["kind", "tile"])
+        pairs = seen.join(side(living, "m_"), "m_product_id").join(side(free, "c_"), F.col("b") == F.col("c_product_id"))
+        ok = ~F.coalesce(conflict("m_", "c_"), F.lit(False))
+        rows = pairs.select("grp", "turn", "a", "kind", "place", "b", ok.alias("ok"), (F.col("first") * TILE).alias("begin"), ((F.col("first") + tiles) * TILE).alias("stop"), "size")
+        found = stored(rows.repartition("grp").sortWithinPartitions("grp", "turn", "a", "place").mapInArrow(by_turn, "a long, b long"))
+        done = found if done is None else done.unionByName(found)
+        left = stored(left.drop("size", "first").join(found.select("a"), "a", "left_anti"))
+        if left.isEmpty():
+            return exchanged(done.where("b is not null"), dead, "dead")
+        lists, tiles = listed.select("kind", "score", "b").join(found.select("b"), "b", "left_anti"), tiles * 4
 
 
 def exchanged(taken: DataFrame, gone: DataFrame, reason: str) -> DataFrame:

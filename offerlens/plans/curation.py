@@ -177,7 +177,7 @@ def price_stranger_moves(spark, d):
 @query()
 def dead_members(spark, d):
     """Places of members with dead addresses, given to living rows in order of clusters; tests hold it against a plain version."""
-    return curation.dead_moves(stored(state_of(spark, d)), clash, score)
+    return curation.dead_moves(stored(state_of(spark, d)), clash, score, alike=("key",))
 
 
 @query()
@@ -191,7 +191,7 @@ def rolled_back_topology(spark, d):
     """Three steps of upkeep, each logged, undone from the log: the state is what it was."""
     start = fresh(spark, d)
     state, log = start, None
-    for seq, step in enumerate((lambda s: curation.lost_moves(s, clash), lambda s: curation.dead_moves(s, clash, score), lambda s: curation.stranger_moves(s, s.select("product_id", "price_cents"), clash, gap)), 1):
+    for seq, step in enumerate((lambda s: curation.lost_moves(s, clash), lambda s: curation.dead_moves(s, clash, score, alike=("key",)), lambda s: curation.stranger_moves(s, s.select("product_id", "price_cents"), clash, gap)), 1):
         moves = stored(curation.logged(step(state), seq))
         log = moves if log is None else log.unionByName(moves)
         state = stored(curation.applied(state, moves))
