@@ -246,6 +246,16 @@ def exchanged(taken: DataFrame, gone: DataFrame, reason: str) -> DataFrame:
 IDENTITY = ("site", "norm", "dose", "pack")
 
 
+def same(columns: tuple[str, ...]) -> Column:
+    return F.expr(" and ".join(f"l_{c} <=> t_{c}" for c in columns))
+
+
+def alone(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The rows that are the only ones of their values."""
+    ids = rows.groupBy(*columns).agg(F.min("product_id").alias("product_id"), F.count("*").alias("n")).where("n = 1")
+    return rows.join(ids.select("product_id"), "product_id", "left_semi")
+
+
 def lost_moves(state: DataFrame, conflict: Conflict) -> DataFrame:
     """Moves that give the place of a lost row to its twin: a living, unmatched row of equal site, norm, dose and pack.
 
@@ -253,10 +263,11 @@ def lost_moves(state: DataFrame, conflict: Conflict) -> DataFrame:
     several the only one of equal address, knows a known country no less, and conflicts with no other member."""
     lost = state.where("lost and match_id is not null and not is_manual")
     free = state.where("match_id is null and not lost and not unknown and not dead and matchable")
-    pairs = side(lost, "l_").join(side(free, "t_"), F.expr(" and ".join(f"l_{c} <=> t_{c}" for c in IDENTITY)))
-    alone = Window.partitionBy("l_product_id")
-    same_url = F.coalesce(F.col("l_url") == F.col("t_url"), F.lit(False))
-    pairs = pairs.withColumn("n", F.count("*").over(alone)).withColumn("u", F.count(F.when(same_url, 1)).over(alone)).where((F.col("n") == 1) | (F.col("l_url").isNotNull() & (F.col("u") == 1) & same_url))
+    # Identities with several twins are dropped as groups, so that no pair is made but with the one that can be meant.
+    twin, at_url = alone(free, IDENTITY), alone(free.where("url is not null"), (*IDENTITY, "url"))
+    lonely = side(lost, "l_").join(side(twin, "t_"), same(IDENTITY))
+    several = side(lost.where("url is not null"), "l_").join(side(at_url, "t_"), same((*IDENTITY, "url"))).join(lonely.select("l_product_id"), "l_product_id", "left_anti")
+    pairs = lonely.unionByName(several)
     pairs = pairs.where("l_country_code is null or l_country_code <=> t_country_code").where(~F.coalesce(conflict("l_", "t_"), F.lit(False)))
     others = side(state.where("match_id is not null"), "o_")
     met = pairs.join(others, F.expr("l_match_id = o_match_id and l_site <> o_site")).where(F.coalesce(conflict("o_", "t_"), F.lit(False)))

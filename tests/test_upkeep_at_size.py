@@ -34,3 +34,16 @@ def test_dead_members_of_a_kind_share_a_list(spark):
     score = lambda a, b: F.when(F.col(a + "norm") == F.col(b + "norm"), F.when(F.col(a + "norm") != "p", 100)).when((F.col(a + "norm") != "p") & (F.col(b + "norm") != "p"), 90)
     assert len(taken) < len(places)
     assert moves(curation.dead_moves(spark.createDataFrame(state + frees, SCHEMA), conflict, score, alike=("norm",))) == sorted(want, key=repr)
+
+
+def shape(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lost_rows_meet_no_twins_but_the_only_one(spark):
+    lost = [row(i, "a", i, seen=OLD, url=f"u{i}") for i in range(20)]
+    df = fresh(spark, lost + [row(100 + i, "a", None, url=f"u{i % 30}") for i in range(40)])
+    found = curation.lost_moves(df, clash)
+    assert "Window" not in shape(found)
+    # Twins 100 to 109 share their addresses with 130 to 139; of the others each has its own.
+    assert moves(stored(found)) == sorted([m for i in range(10, 20) if (2 * i + 100) % 7 for m in ((i, i, None), (100 + i, None, i))], key=repr)
