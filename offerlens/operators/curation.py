@@ -285,8 +285,7 @@ def merge_moves(state: DataFrame, conflict: Conflict) -> DataFrame:
     one join at a time; what else there is to join the next step finds."""
     lost = state.where("lost and match_id is not null and not is_manual")
     living = state.where("not lost and not unknown and not dead and matchable")
-    pairs = side(lost, "l_").join(side(living, "t_"), F.expr(" and ".join(f"l_{c} <=> t_{c}" for c in IDENTITY)))
-    pairs = pairs.withColumn("n", F.count("*").over(Window.partitionBy("l_product_id"))).where("n = 1 and t_match_id is not null and not t_is_manual and t_match_id <> l_match_id")
+    pairs = side(lost, "l_").join(side(alone(living, IDENTITY), "t_"), same(IDENTITY)).where("t_match_id is not null and not t_is_manual and t_match_id <> l_match_id")
     pairs = pairs.where("l_country_code is null or l_country_code <=> t_country_code").where(~F.coalesce(conflict("l_", "t_"), F.lit(False)))
     joins = pairs.select(F.col("l_product_id").alias("gone"), F.col("l_match_id").alias("here"), F.col("t_match_id").alias("there"))
     members = state.where("match_id is not null")

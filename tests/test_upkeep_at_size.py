@@ -47,3 +47,11 @@ def test_lost_rows_meet_no_twins_but_the_only_one(spark):
     assert "Window" not in shape(found)
     # Twins 100 to 109 share their addresses with 130 to 139; of the others each has its own.
     assert moves(stored(found)) == sorted([m for i in range(10, 20) if (2 * i + 100) % 7 for m in ((i, i, None), (100 + i, None, i))], key=repr)
+
+
+def test_merges_meet_no_twins_but_the_only_one(spark):
+    state = [row(1, "a", 1), row(2, "b", 1, seen=OLD, name="x"), row(3, "b", 2, name="x"), row(4, "c", 2)]
+    crowd = [row(100 + i, "b", 100 + i, name="y", seen=OLD if i % 3 == 0 else row(0, "b", 0)[13]) for i in range(30)]
+    found = curation.merge_moves(fresh(spark, state + crowd), clash)
+    assert "count(1) windowspecdefinition" not in shape(found).lower() and "l_product_id#" not in "".join(x for x in shape(found).splitlines() if "Window [" in x)
+    assert moves(stored(found)) == sorted([(2, 1, None), (1, 1, 2)], key=repr)
