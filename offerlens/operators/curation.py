@@ -312,13 +312,16 @@ def apart(a: Column, b: Column) -> Column:
     return F.abs(a - b) > APART * F.greatest(a, b)
 
 
-def stranger_moves(state: DataFrame, journal: DataFrame, conflict: Conflict, gap: Callable[[str, str], Column], block: str = "block") -> DataFrame:
+def stranger_moves(state: DataFrame, journal: DataFrame, conflict: Conflict, gap: Callable[[str, str], Column], block: str = "block", alike: tuple[str, ...] | None = None) -> DataFrame:
     """Moves that put, in the place of a member whose price fits none of the others, the one row of its site whose price fits all.
 
     state: with_freshness and price_cents, matchable, country_code, is_manual, block and what conflict and gap read; journal:
     product_id, price_cents, all prices there were. Only clusters of one row a site without rows of unknown state. The new row is
     alive, unmatched, of one block with a living member, no farther by name from any of the others than the old one, compatible with all, of
-    a country no less known; and the old row has never had the price of any member."""
+    a country no less known; and the old row has never had the price of any member.
+
+    alike: the columns that gap reads, if not all. Rows of equal ones, of one site, block, price and country are one kind, and rows
+    are looked at one by one, a few of the kinds at a time, only until a second fits."""
     live = F.expr("not lost and not unknown and not dead and matchable and price_cents > 0")
     members = state.where("match_id is not null and not is_manual").withColumn("live", F.coalesce(live, F.lit(False)))
     sound = members.groupBy("match_id").agg(F.count("*").alias("n"), F.count_distinct("site").alias("sites"), F.max("unknown").alias("u"), F.count(F.when(F.col("live"), 1)).alias("alive")).where("n = sites and not u and alive >= 2")
@@ -329,13 +332,36 @@ def stranger_moves(state: DataFrame, journal: DataFrame, conflict: Conflict, gap
     pairs = pairs.join(odd, "d_product_id", "left_semi")
     # The least and the greatest of the living prices: a price that is one with both is one with all.
     rest = pairs.groupBy("d_product_id").agg(F.min(F.when(F.col("o_live"), F.col("o_price_cents"))).alias("low"), F.max(F.when(F.col("o_live"), F.col("o_price_cents"))).alias("high"), F.collect_set(F.when(F.col("o_live"), F.col(f"o_{block}"))).alias("blocks"))
-    free = side(state.where("match_id is null").where(live), "c_")
-    asked = rest.select("d_product_id", "low", "high", F.explode("blocks").alias("b")).join(side(members, "d_"), "d_product_id")
-    cand = asked.join(free, (F.col("b") == F.col(f"c_{block}")) & (F.col("d_site") == F.col("c_site"))).where(same_price(F.col("low"), F.col("c_price_cents")) & same_price(F.col("high"), F.col("c_price_cents"))).where("d_country_code is null or d_country_code <=> c_country_code")
-    cand = cand.dropDuplicates(["d_product_id", "c_product_id"]).drop("low", "high", "b")
-    checked = cand.join(side(members, "o_"), F.expr("d_match_id = o_match_id and d_product_id <> o_product_id"))
-    bad = checked.where(F.coalesce(conflict("o_", "c_"), F.lit(False)) | (gap("o_", "c_") > gap("o_", "d_"))).select("d_product_id", "c_product_id").distinct()
-    fit = cand.join(bad, ["d_product_id", "c_product_id"], "left_anti").withColumn("k", F.count("*").over(Window.partitionBy("d_product_id"))).where("k = 1").select("d_product_id", "d_match_id", "c_product_id")
+    kinds = tuple(dict.fromkeys(("site", block, "price_cents", "country_code", *(alike or state.columns))))
+    free = state.where("match_id is null").where(live).withColumn("kind", F.min("product_id").over(Window.partitionBy(*kinds)))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("product_id")).cast("long") - 1
+    free = stored(side(free.withColumn("place", place).withColumn("tile", F.expr(f"place div {TILE}")), "c_"))
+    # Prices that are one are of one step or of two next to each other; the steps are a little wider than need be.
+    step = lambda c: F.floor(F.log(c) / math.log(1 + 1.1 * SAME_PRICE))
+    each = free.where("c_place = 0").join(free.groupBy("c_kind").agg(F.count("*").alias("n")), "c_kind").withColumn("s", step(F.col("c_price_cents")))
+    asked = rest.select("d_product_id", "low", "high", F.explode("blocks").alias("b")).join(side(members, "d_"), "d_product_id").withColumn("s", F.explode(F.sequence(step(F.col("low")) - 1, step(F.col("low")) + 1)))
+    cand = asked.join(each, (F.col("b") == F.col(f"c_{block}")) & (F.col("d_site") == F.col("c_site")) & (asked["s"] == each["s"])).drop("s")
+    cand = cand.where(same_price(F.col("low"), F.col("c_price_cents")) & same_price(F.col("high"), F.col("c_price_cents"))).where("d_country_code is null or d_country_code <=> c_country_code")
+    others = side(members, "o_")
+    beside = F.expr("d_match_id = o_match_id and d_product_id <> o_product_id")
+    far = cand.join(others, beside).where(gap("o_", "c_") > gap("o_", "d_")).select("d_product_id", "c_kind").distinct()
+    near = cand.select("d_product_id", "d_match_id", "c_kind", "n").join(far, ["d_product_id", "c_kind"], "left_anti")
+    before = F.sum("n").over(Window.partitionBy("d_product_id").orderBy("c_kind")) - F.col("n")
+    left = stored(near.withColumn("before", before))
+    fit, start, many = None, 0, TILE
+    while True:
+        part = left.where((F.col("before") < start + many) & (F.col("before") + F.col("n") > start))
+        tiles = F.sequence(F.expr(f"greatest({start} - before, 0) div {TILE}"), F.expr(f"(least({start + many} - before, n) - 1) div {TILE}"))
+        rows = part.withColumn("c_tile", F.explode(tiles)).join(free, ["c_kind", "c_tile"]).where((F.col("before") + F.col("c_place")).between(start, start + many - 1))
+        bad = rows.join(others, beside).where(F.coalesce(conflict("o_", "c_"), F.lit(False))).select("d_product_id", "c_product_id").distinct()
+        found = stored(rows.select("d_product_id", "d_match_id", "c_product_id").join(bad, ["d_product_id", "c_product_id"], "left_anti"))
+        fit = found if fit is None else fit.unionByName(found)
+        start, many = start + many, many * 8
+        several = fit.groupBy("d_product_id").agg(F.count("*").alias("k")).where("k > 1").select("d_product_id")
+        left = stored(left.where(F.col("before") + F.col("n") > start).join(several, "d_product_id", "left_anti"))
+        if left.isEmpty():
+            break
+    fit = fit.join(several, "d_product_id", "left_anti")
     past = journal.where("price_cents > 0").select("product_id", "price_cents").distinct()
     mine = fit.select("d_product_id", "d_match_id").join(past.withColumnsRenamed({"product_id": "d_product_id", "price_cents": "p"}), "d_product_id")
     theirs = fit.select("d_product_id", "d_match_id").join(members.select(F.col("match_id").alias("d_match_id"), "product_id"), "d_match_id").where("product_id <> d_product_id").join(past, "product_id").select("d_product_id", F.col("price_cents").alias("q"))

@@ -171,7 +171,7 @@ won AS (SELECT new, arg_min(gone, (match_id, gone)) AS gone, min(match_id) AS ma
 def price_stranger_moves(spark, d):
     """Members whose price fits no other, replaced by the one row of their site whose price does. Their journal here is the present price."""
     s = fresh(spark, d)
-    return curation.stranger_moves(s, s.select("product_id", "price_cents"), clash, gap)
+    return curation.stranger_moves(s, s.select("product_id", "price_cents"), clash, gap, alike=("key",))
 
 
 @query()
@@ -191,7 +191,7 @@ def rolled_back_topology(spark, d):
     """Three steps of upkeep, each logged, undone from the log: the state is what it was."""
     start = fresh(spark, d)
     state, log = start, None
-    for seq, step in enumerate((lambda s: curation.lost_moves(s, clash), lambda s: curation.dead_moves(s, clash, score, alike=("key",)), lambda s: curation.stranger_moves(s, s.select("product_id", "price_cents"), clash, gap)), 1):
+    for seq, step in enumerate((lambda s: curation.lost_moves(s, clash), lambda s: curation.dead_moves(s, clash, score, alike=("key",)), lambda s: curation.stranger_moves(s, s.select("product_id", "price_cents"), clash, gap, alike=("key",))), 1):
         moves = stored(curation.logged(step(state), seq))
         log = moves if log is None else log.unionByName(moves)
         state = stored(curation.applied(state, moves))

@@ -36,6 +36,21 @@ def test_dead_members_of_a_kind_share_a_list(spark):
     assert moves(curation.dead_moves(spark.createDataFrame(state + frees, SCHEMA), conflict, score, alike=("norm",))) == sorted(want, key=repr)
 
 
+def test_strangers_are_looked_at_until_a_second_row_fits(spark):
+    """Of 300 rows alike one fits a member, two another, none a third: only the first is replaced."""
+    state = []
+    for m, sites in enumerate("xyz", 1):
+        state += [row(m * 10, "a", m), row(m * 10 + 1, "b", m, price=150, name=sites)]
+    frees = [row(1000 + i, "b", None) for i in range(300)]
+    fits = {10: {1290}, 20: {1003, 1295}, 30: set()}
+    conflict = lambda a, b: ~F.expr(" or ".join([f"{a}product_id = {o} and {b}product_id = {c}" for o, cs in fits.items() for c in cs]))
+    state += [row(m * 10 + 2, "c", m) for m in (1, 2, 3)]
+    both = lambda a, b: F.when(F.col(a + "site") == "a", conflict(a, b)).otherwise(False)
+    df = fresh(spark, state + frees)
+    found = curation.stranger_moves(df, df.select("product_id", "price_cents"), both, no_gap, alike=("norm",))
+    assert moves(found) == sorted([(11, 1, None), (1290, None, 1)], key=repr)
+
+
 def shape(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
