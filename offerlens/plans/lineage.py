@@ -106,7 +106,9 @@ def trusted_snapshots(spark, d):
 
 @query("SELECT product_id, run_id, price_cents, eff AS eff_cents FROM trusted QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY k1 DESC, k2 DESC, k3 DESC, k4 DESC, k5 DESC, k6 DESC) = 1", f"{BOTH}, {CONFIRMED}, {TRUSTED}")
 def latest_trusted_prices(spark, d):
-    t = prices.with_effective(prices.latest(lineage.trusted(confirmed(spark, d), source.products(spark, d))))
+    seen = confirmed(spark, d).select("product_id", "run_id", "price_cents", "discount_cents", "seq", "eligible", "confirmed_run_id")
+    # The columns of trust are not carried on.
+    t = prices.with_effective(prices.latest(lineage.trusted(seen, source.products(spark, d)).drop("eligible", "confirmed_run_id")))
     return t.select("product_id", "run_id", "price_cents", F.col("eff").alias("eff_cents"))
 
 

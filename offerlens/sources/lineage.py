@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .adapter import SITES, observations
+from .adapter import SITES, latest_observations, observations
 
 #: Country codes that products get in turn; the second stands for an unresolved one.
 COUNTRIES = ("de", None, "tr", "az", "fr")
@@ -75,9 +75,9 @@ elig AS (
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a listed product: product_id, match_id, site, name, brand, category, price_cents, country_code, country_status,
     availability, observed_at, last_seen_at, conflicted, dead, barcode, pack and tenant_id. The price is the last effective one."""
-    from ..operators.prices import latest, with_effective
+    from ..operators.prices import with_effective
 
-    now = with_effective(latest(observations(spark, sf_dir)))
+    now = with_effective(latest_observations(spark, sf_dir))
     code = _nth(COUNTRIES, "(match_id + product_id div 7) % 5")
     return now.select(
         "product_id", "match_id", "site", "name", "brand", "category",
