@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..sources.shared import stored
 
 # Words of a query that count, and units that never continue a head.
 MOST_WORDS = 8
@@ -21,7 +22,11 @@ def index(products: DataFrame) -> DataFrame:
     """products with key (folded name), full (name and brand, each word after a blank) and words."""
     key = names.fold(F.col("name"))
     full = F.concat(F.lit(" "), key, F.lit(" "), names.fold(F.coalesce("brand", F.lit(""))))
-    return products.withColumns({"key": key, "full": full}).withColumn("words", F.array_distinct(F.filter(F.split("full", " "), lambda w: w != "")))
+    return products.withColumns({"key": key, "full": full}).withColumn("words", words_in("full"))
+
+
+def words_in(full: str) -> Column:
+    return F.array_distinct(F.filter(F.split(full, " "), lambda w: w != ""))
 
 
 def vocabulary(indexed: DataFrame) -> DataFrame:
@@ -86,11 +91,12 @@ def search(products: DataFrame, query: str) -> DataFrame:
 
     Rank 0: the name starts with the query; 1: has it; 2: has its words; 3: found by brand; 4: by words that are nearly those
     asked for; 5: a single word inside of words. Names are folded for every query; `keep` does so once for many."""
-    indexed = index(products)
     wanted = query_words(products.sparkSession, query)
     if not wanted:
-        return indexed.where("false").select("product_id", "site", "name", F.lit(0).alias("rank"))
-    groups, fuzzy = needles(vocabulary(indexed), wanted)
+        return products.where("false").select("product_id", "site", "name", F.lit(0).alias("rank"))
+    # Written once, so that neither products nor folded names are worked out again for every look at the vocabulary.
+    indexed = stored(index(products).select("product_id", "site", "name", "key", "full"))
+    groups, fuzzy = needles(vocabulary(indexed.withColumn("words", words_in("full"))), wanted)
     found = reduce(lambda a, g: a & _any([F.contains("full", F.lit(" " + w)) for w in g]), groups, F.lit(True))
     phrase = " ".join(r[0] for r in wanted)
     inside = F.contains("key", F.lit(phrase)) if len(wanted) == 1 and len(phrase) >= 4 else F.lit(False)
