@@ -11,7 +11,7 @@ from ..operators import catalogue_search as search
 from ..operators import electronics, marketplace, taxonomy
 from ..sources import lineage as source
 from ..sources.adapter import NOW
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, stored
 from .literal import rows, values
 from .registry import query
 
@@ -75,8 +75,9 @@ CLUSTERS = "hits AS (SELECT product_id, CASE WHEN product_id % 4 <> 0 THEN match
 
 @query(f"SELECT DISTINCT match_id, CAST(NULL AS BIGINT) AS product_id FROM (SELECT match_id FROM hits WHERE match_id IS NOT NULL UNION SELECT match_id FROM matches WHERE contains(name, 'gear')) UNION ALL (SELECT CAST(NULL AS BIGINT), product_id FROM hits WHERE match_id IS NULL AND epoch(TIMESTAMP '{NOW}') - epoch(last_seen_at) <= 200 * 86400 ORDER BY product_id LIMIT 30)", f"{PRODUCTS}, {source.MATCHES_SQL}, {CLUSTERS}")
 def search_with_clusters(spark, d):
-    p = source.products(spark, d).withColumn("match_id", F.when(F.expr("product_id % 4 <> 0"), F.col("match_id")))
-    return search.with_cluster_names(found(spark, d, "gear"), p, source.matches(spark, d), "gear", NOW, days=200, top=30)
+    # Written once, for the search and for what is looked up beside it.
+    p = stored(source.products(spark, d).select("product_id", "site", "name", "brand", F.when(F.expr("product_id % 4 <> 0"), F.col("match_id")).alias("match_id"), "last_seen_at"))
+    return search.with_cluster_names(search.search(p, "gear"), p, source.matches(spark, d), "gear", NOW, days=200, top=30)
 
 
 @query("SELECT product_id, name FROM products WHERE site = 'client' AND availability = 'in_stock' ORDER BY name, product_id LIMIT 50 OFFSET 50", PRODUCTS)
