@@ -34,12 +34,14 @@ def routed(events: DataFrame, users: DataFrame, now: str) -> DataFrame:
 
     Mail goes from warning on, unless the user takes a daily digest; the messenger from critical on, outside quiet
     hours. Events that have gone out stay out."""
-    met = events.where(F.size(F.coalesce("channels_sent", F.array().cast("array<string>"))) == 0).join(users.where("is_active"), "tenant_id")
+    # Events are counted before they meet the users, who tell only tenants and severities apart.
+    counted = events.where(F.size(F.coalesce("channels_sent", F.array().cast("array<string>"))) == 0).groupBy("tenant_id", "severity").agg(F.count("*").alias("n"))
+    met = counted.join(users.where("is_active"), "tenant_id")
     mail = ~F.col("daily_digest") & passes(F.col("email_min"), F.col("severity"), "warning")
     chat = F.col("chat_id").isNotNull() & ~is_quiet(F.col("quiet_hours"), F.lit(now).cast("timestamp")) & passes(F.col("chat_min"), F.col("severity"), "critical")
     channels = F.array_compact(F.array(F.when(mail, "email"), F.when(chat, "chat")))
-    one = met.select("user_id", "severity", F.explode(channels).alias("channel"))
-    return one.groupBy("user_id", "channel").agg(F.count("*").alias("events"), F.count_if(F.col("severity") == "critical").alias("critical"))
+    one = met.select("user_id", "severity", "n", F.explode(channels).alias("channel"))
+    return one.groupBy("user_id", "channel").agg(F.sum("n").alias("events"), F.sum(F.when(F.col("severity") == "critical", F.col("n")).otherwise(0)).alias("critical"))
 
 
 def bucket(severity: Column) -> Column:
