@@ -170,8 +170,11 @@ def offer_rank(obs: DataFrame) -> DataFrame:
 
 
 def rollup_counts(obs: DataFrame) -> DataFrame:
-    """Observations and distinct products by site and category, with subtotals."""
-    return obs.rollup("site", "category").agg(F.count("*").alias("n"), F.countDistinct("product_id").alias("products"))
+    """Observations and distinct products by site and category, with subtotals.
+
+    Observations are counted by product first, so that products and not observations are repeated for the subtotals."""
+    each = obs.groupBy("site", "category", "product_id").agg(F.count("*").alias("n"))
+    return each.rollup("site", "category").agg(F.sum("n").alias("n"), F.countDistinct("product_id").alias("products"))
 
 
 def facets(obs: DataFrame, column: str, top: int = 20) -> DataFrame:
