@@ -85,9 +85,10 @@ entries AS MATERIALIZED (
 def numbered(spark, d):
     p = products(spark, d)
     start = p.select("product_id", "site", F.expr("concat('p', product_id div 6)").alias("slug"), F.expr("case when product_id % 4 = 0 then product_id div 6 * 10 + product_id % 8 div 4 end").alias("number"), F.lit(False).alias("retired"), F.lit(False).alias("isolated"), (F.col("product_id") % 5 == 0).alias("matched"), "last_seen_at", F.lit(None).cast("long").alias("into"))
+    start = stored(start)
     one = start.where("product_id % 9 <> 0").select("site", "slug", F.expr("product_id div 6 * 10 + if(product_id % 35 = 0, 1, 0)").alias("number"))
     two = start.where("product_id % 50 = 0").select("site", "slug", F.expr("product_id div 6 * 10").alias("number"))
-    return stored(start), stored(one.union(two))
+    return start, stored(one.union(two))
 
 
 @query("SELECT 1::BIGINT AS seq, site, product_id, kind, before, after, \"into\" FROM entries", NUMBERED)
