@@ -157,7 +157,11 @@ def dosage(name: Column) -> Column:
 
 def doses_mg(name: Column) -> Column:
     """Every dose in mg as a sorted set; grams and micrograms are converted, the amounts of liquids left out."""
-    plain = quantities(name)
+    return doses_of(quantities(name))
+
+
+def doses_of(plain: Column) -> Column:
+    """The doses of a name of which the quantities are spelt out."""
 
     def those(unit: str, factor: float) -> Column:
         found = F.regexp_extract_all(plain, F.lit(rf"(?iU)(?<![\w.,])({NUMBER})\s*(?:{unit})\b"), F.lit(1))
@@ -181,7 +185,12 @@ def pack_size(name: Column) -> Column:
 
 def total_volume(name: Column) -> Column:
     """How much there is of a product, whatever the count."""
-    return _volume(quantities(name))
+    return volume_of(quantities(name))
+
+
+def volume_of(plain: Column) -> Column:
+    """The amount in a name of which the quantities are spelt out."""
+    return _volume(plain)
 
 
 def pack_count(pack: Column, name: Column) -> Column:

@@ -51,9 +51,9 @@ def _dimensions(low: Column) -> Column:
 def features(products: DataFrame) -> DataFrame:
     """The columns of products, of which name is read, with their features. Country is read if there is one."""
     raw = F.col("name")
-    df = products.withColumns({"norm": names.normalized(raw), "low": F.lower(names.strip_accents(raw))})
+    df = products.withColumns({"norm": names.normalized(raw), "low": F.lower(names.strip_accents(raw)), "said": names.quantities(raw)})
     df = df.withColumns({"words": text.tokens(F.col("norm")), "key": text.tokens(names.fold(F.col("norm")))})
-    df = df.withColumns({"pack": names.pack_count(F.lit(None).cast("string"), raw), "volume": names.total_volume(raw)})
+    df = df.withColumns({"pack": names.pack_count(F.lit(None).cast("string"), raw), "volume": names.volume_of(F.col("said"))})
     low, words = F.col("low"), F.col("words")
     plain = F.regexp_replace(F.regexp_replace(low, r"(\d)\s+(\d{3})(?!\d)", "$1$2"), r"№\s*\d+|#\s*\d+|\bn(?:o\.?)?\s*\d+", " ")
     bare = F.regexp_replace(plain, rf"\d+(?:[.,]\d+)?\s*(?:{names.DOSE_UNITS}|{names.VOLUME})\b", " ")
@@ -66,7 +66,7 @@ def features(products: DataFrame) -> DataFrame:
     return df.withColumns({
         "form": names.form(raw),
         "routes": names.routes(raw),
-        "doses": names.doses_mg(raw),
+        "doses": names.doses_of(F.col("said")),
         "series": F.filter(words, lambda w: w.rlike("^[1-9]$")),
         "long_words": F.filter(words, lambda w: F.length(w) >= 4),
         "numbers": _set(_all(F.col("norm"), r"\b(\d{2,})\b")),
@@ -85,7 +85,7 @@ def features(products: DataFrame) -> DataFrame:
         "letters": _set(F.filter(F.split(low, "[^a-z]+"), lambda w: w.isin("xs", "s", "m", "l", "xl", "xxl", "xxxl"))),
         "amount": F.regexp_extract("volume", r"^(\d+(?:\.\d+)?)(?:ml|q|g)$", 1).try_cast("double"),
         "measure": F.when(F.col("volume").endswith("ml"), "ml").otherwise("g"),
-    }).drop("low")
+    }).drop("low", "said")
 
 
 def _said(c: str, a: str, b: str) -> tuple[Column, Column]:

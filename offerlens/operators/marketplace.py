@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..sources.shared import spread, stored
 from . import guards
 
 # Fixed value: prices of one group may differ by this factor at most.
@@ -27,12 +28,18 @@ def groups(found: DataFrame, optional: tuple[str, ...] = ()) -> DataFrame:
 
     A venue with two items of one key has none. A group of which any two items are told apart by a rule is dropped; an
     optional venue (the owner) that is told apart only drops out itself."""
-    key = F.xxhash64(names.fold(names.normalized(F.col("name"))), names.dosage(F.col("name")), names.pack_size(F.col("name")))
-    f = guards.features(found.select("venue", "item_id", "name")).withColumn("group", key).where("norm <> ''")
+    # Names are read once each and written, however many venues spell one alike.
+    key = F.xxhash64(names.fold(F.col("norm")), names.dosage(F.col("name")), names.pack_size(F.col("name")))
+    spelt = stored(guards.features(spread(found.select("name"), "name").distinct()).where("norm <> ''").withColumn("group", key))
+    f = found.select("venue", "item_id", "name").join(spelt.select("name", "group"), "name")
     f = f.withColumn("_n", F.count("*").over(Window.partitionBy("group", "venue"))).where("_n = 1").drop("_n")
-    f = f.withColumn("spare", F.col("venue").isin(*optional) if optional else F.lit(False))
-    a, b = guards.side(f, "a_"), guards.side(f, "b_")
-    clash = a.join(b, (F.col("a_group") == F.col("b_group")) & (F.col("a_venue") < F.col("b_venue"))).where(guards.conflict("a_", "b_"))
+    f = stored(f.withColumn("spare", F.col("venue").isin(*optional) if optional else F.lit(False)))
+    # Names that rules tell apart, in either order, of those that are left: at most one a venue and group.
+    left = spelt.join(f.select("name").distinct(), "name", "left_semi")
+    a, b = guards.side(left, "a_"), guards.side(left, "b_")
+    apart = stored(a.join(b, F.col("a_group") == F.col("b_group")).where(guards.conflict("a_", "b_")).select(F.col("a_group").alias("group"), "a_name", "b_name"))
+    one, two = (f.select("group", *(F.col(c).alias(f"{x}_{c}") for c in ("name", "venue", "spare"))) for x in "ab")
+    clash = stored(apart.join(one, ["group", "a_name"]).join(two, ["group", "b_name"]).where("a_venue < b_venue").select(F.col("group").alias("a_group"), "a_venue", "a_spare", "b_venue", "b_spare"))
     broken = clash.where("not a_spare and not b_spare").select(F.col("a_group").alias("group")).distinct()
     dropped = clash.where("a_spare or b_spare").select(F.col("a_group").alias("group"), F.when(F.col("a_spare"), F.col("a_venue")).otherwise(F.col("b_venue")).alias("venue")).distinct()
     kept = f.select("group", "venue", "item_id", "spare").join(broken, "group", "left_anti").join(dropped, ["group", "venue"], "left_anti")

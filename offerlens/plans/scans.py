@@ -80,7 +80,7 @@ def comparison_of_venues(spark, d):
     form = F.when((n % 5 == 0) & (at == CLIENT), " krem").when(n % 5 == 0, " gel").when((n % 7 == 0) & (at == "rival_a"), " krem").when(n % 7 == 0, " gel").otherwise(" gel")
     word = F.regexp_replace(F.translate(n.cast("string"), "0123456789", "bdfglmnrpt"), "(.)", "$1a")
     made = stored(products(spark, d).select(at.alias("venue"), F.col("product_id").cast("string").alias("item_id"), F.concat(F.lit("zu"), word, form, F.lit(" 500 mq N20")).alias("name"), "price_cents", ((n % 8 != 0) | (at != "rival_a")).alias("in_stock"), n))
-    members = marketplace.groups(made, (CLIENT,))
+    members = stored(marketplace.groups(made, (CLIENT,)))
     named = members.join(made, ["venue", "item_id"]).groupBy("group").agg(F.min("match_id").alias("match_id"))
     return marketplace.comparison(members, made, CLIENT).join(named, "group").drop("group")
 
