@@ -1,4 +1,4 @@
-"""Workbooks (XLSX): rows in by a Python table function over the files' bytes, sheets out by a Python data source.
+"""Workbooks (XLSX): rows in by a Python function over batches of the files' bytes, sheets out by a Python data source.
 
 Files come through Spark's own reader, a file a row, so that they may be in any store; each is unzipped and parsed in its task.
 A written folder has a workbook for each partition, as a cluster cannot write one file from many tasks.
@@ -12,13 +12,14 @@ import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
-from pyspark.sql.functions import udtf
 
 # Names of the format.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -27,6 +28,8 @@ KIND = "http://schemas.openxmlformats.org"
 MOST_ROWS, MOST_LETTERS = 1_048_575, 32_767
 #: Bytes that a workbook may unpack to.
 MOST_BYTES = 1 << 30
+#: Rows that are handed on at once.
+ROWS_A_BATCH = 1_000
 ILLEGAL = re.compile("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\ud800-\\udfff\\ufffe\\uffff]")
 
 
@@ -55,7 +58,11 @@ def sheets_of(z: zipfile.ZipFile) -> list[tuple[str, str]]:
 def cells_of(z: zipfile.ZipFile, path: str, shared: list[str]) -> Iterator[tuple[int, list[str | None]]]:
     """Number and values of each row that has any, as texts."""
     with z.open(path) as f:
-        for _, row in ElementTree.iterparse(f):
+        data = None
+        for event, row in ElementTree.iterparse(f, ("start", "end")):
+            if event == "start":
+                data = row if row.tag == f"{MAIN}sheetData" else data
+                continue
             if row.tag != f"{MAIN}row":
                 continue
             values: list[str | None] = []
@@ -68,27 +75,34 @@ def cells_of(z: zipfile.ZipFile, path: str, shared: list[str]) -> Iterator[tuple
                 elif v is not None and v.text is not None:
                     values[at] = shared[int(v.text)] if kind == "s" else v.text
             yield int(row.get("r") or 0), values
-            row.clear()
+            # Rows that are read leave nothing behind, not even their places.
+            row.clear() if data is None else data.clear()
 
 
-@udtf(returnType="sheet string, sheet_number int, row_number int, cells array<string>")
-class WorkbookRows:
+def rows_of(content: bytes) -> Iterator[tuple[str, int, int, list[str | None]]]:
     """The rows of all sheets of a workbook given as bytes. One that is none, or unpacks to too much, is refused."""
+    z = zipfile.ZipFile(io.BytesIO(content))
+    if sum(i.file_size for i in z.infolist()) > MOST_BYTES:
+        raise ValueError(f"the workbook unpacks to more than {MOST_BYTES} bytes")
+    shared = [text_in(s) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+    for number, (name, path) in enumerate(sheets_of(z), 1):
+        for row, values in cells_of(z, path, shared):
+            yield name, number, row, values
+
 
-    def eval(self, content: bytes):
-        z = zipfile.ZipFile(io.BytesIO(content))
-        if sum(i.file_size for i in z.infolist()) > MOST_BYTES:
-            raise ValueError(f"the workbook unpacks to more than {MOST_BYTES} bytes")
-        shared = [text_in(s) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
-        for number, (name, path) in enumerate(sheets_of(z), 1):
-            for row, values in cells_of(z, path, shared):
-                yield name, number, row, values
+def batches_of(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of workbooks, handed on by the batch: a task never holds all rows of one."""
+    for batch in files:
+        for path, content in zip(batch["path"], batch["content"]):
+            found = rows_of(content.as_py())
+            while rows := list(islice(found, ROWS_A_BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * len(rows), pa.string()), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()))))], names=["path", "sheet", "sheet_number", "row_number", "cells"])
 
 
 def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
     """path, sheet, sheet_number, row_number, cells (texts) of all rows of the workbooks at a path."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.lateralJoin(WorkbookRows(F.col("content").outer())).drop("content")
+    return files.mapInArrow(batches_of, "path string, sheet string, sheet_number int, row_number int, cells array<string>")
 
 
 def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
