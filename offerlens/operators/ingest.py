@@ -34,7 +34,9 @@ def merged(obs: DataFrame) -> DataFrame:
     the discount the newest there ever was, first and last moments the extremes."""
     newest = lambda c: F.max_by(F.col(c), F.when(F.nullif(F.col(c).cast("string"), F.lit("")).isNotNull(), F.col("seq")))
     named = [newest(c).alias(c) for c in ("name", "brand", "category")]
-    return obs.groupBy("product_id", "site").agg(*named, newest("discount_cents").alias("last_discount"), F.min("run_id").alias("first_run"), F.max("run_id").alias("last_run"))
+    # Dealt as they are: each of four newest values would carry an order of its own through the shuffle.
+    dealt = obs.select("product_id", "site", "name", "brand", "category", "discount_cents", "run_id", "seq").repartition("product_id", "site")
+    return dealt.groupBy("product_id", "site").agg(*named, newest("discount_cents").alias("last_discount"), F.min("run_id").alias("first_run"), F.max("run_id").alias("last_run"))
 
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
