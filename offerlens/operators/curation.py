@@ -123,7 +123,8 @@ def with_freshness(state: DataFrame, now: str, hours: int = LOST_HOURS) -> DataF
     old = F.coalesce(F.col("last_seen_at") < F.expr(f"timestamp_ntz'{now}' - interval {hours} hour"), F.lit(True))
     df = state.withColumn("_old", old)
     seen = df.where("not dead").groupBy("site").agg((F.avg((~F.col("_old")).cast("int")) >= SEEN_SHARE).alias("_complete"))
-    df = df.join(seen, "site", "left")
+    # A site is a row here, so the state stays where it is; dealt by site it would be as many tasks as there are sites.
+    df = df.join(F.broadcast(seen), "site", "left")
     complete = F.coalesce("_complete", F.lit(False))
     return df.withColumn("lost", F.col("_old") & complete).withColumn("unknown", F.col("_old") & ~complete).select(*state.columns, "lost", "unknown")
 
@@ -250,10 +251,14 @@ def same(columns: tuple[str, ...]) -> Column:
     return F.expr(" and ".join(f"l_{c} <=> t_{c}" for c in columns))
 
 
+def single(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Values that only one row has, and its product_id."""
+    return rows.groupBy(*columns).agg(F.min("product_id").alias("product_id"), F.count("*").alias("n")).where("n = 1").drop("n")
+
+
 def alone(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """The rows that are the only ones of their values."""
-    ids = rows.groupBy(*columns).agg(F.min("product_id").alias("product_id"), F.count("*").alias("n")).where("n = 1")
-    return rows.join(ids.select("product_id"), "product_id", "left_semi")
+    return rows.join(single(rows, columns).select("product_id"), "product_id", "left_semi")
 
 
 def lost_moves(state: DataFrame, conflict: Conflict) -> DataFrame:
@@ -263,12 +268,16 @@ def lost_moves(state: DataFrame, conflict: Conflict) -> DataFrame:
     several the only one of equal address, knows a known country no less, and conflicts with no other member."""
     lost = state.where("lost and match_id is not null and not is_manual")
     free = state.where("match_id is null and not lost and not unknown and not dead and matchable")
-    # Identities with several twins are dropped as groups, so that no pair is made but with the one that can be meant.
-    twin, at_url = alone(free, IDENTITY), alone(free.where("url is not null"), (*IDENTITY, "url"))
-    lonely = side(lost, "l_").join(side(twin, "t_"), same(IDENTITY))
-    several = side(lost.where("url is not null"), "l_").join(side(at_url, "t_"), same((*IDENTITY, "url"))).join(lonely.select("l_product_id"), "l_product_id", "left_anti")
-    pairs = lonely.unionByName(several)
-    pairs = pairs.where("l_country_code is null or l_country_code <=> t_country_code").where(~F.coalesce(conflict("l_", "t_"), F.lit(False)))
+    # Identities with several twins are dropped as groups, so that no pair is made but with the one that can be meant. Pairs are
+    # found by ids alone and are few; the rest of their rows is looked up for them.
+    def only(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+        met = side(lost.select("product_id", *columns), "l_").join(side(single(rows, columns), "t_"), same(columns))
+        return stored(met.select("l_product_id", "t_product_id"))
+
+    lonely, at_url = only(free, IDENTITY), only(free.where("url is not null"), (*IDENTITY, "url"))
+    ids = lonely.unionByName(at_url.join(lonely, "l_product_id", "left_anti"))
+    pairs = ids.join(side(lost, "l_"), "l_product_id").join(side(free, "t_"), "t_product_id")
+    pairs = stored(pairs.where("l_country_code is null or l_country_code <=> t_country_code").where(~F.coalesce(conflict("l_", "t_"), F.lit(False))))
     others = side(state.where("match_id is not null"), "o_")
     met = pairs.join(others, F.expr("l_match_id = o_match_id and l_site <> o_site")).where(F.coalesce(conflict("o_", "t_"), F.lit(False)))
     sound = pairs.join(met.select("l_product_id").distinct(), "l_product_id", "left_anti")
@@ -325,13 +334,11 @@ def stranger_moves(state: DataFrame, journal: DataFrame, conflict: Conflict, gap
     live = F.expr("not lost and not unknown and not dead and matchable and price_cents > 0")
     members = state.where("match_id is not null and not is_manual").withColumn("live", F.coalesce(live, F.lit(False)))
     sound = members.groupBy("match_id").agg(F.count("*").alias("n"), F.count_distinct("site").alias("sites"), F.max("unknown").alias("u"), F.count(F.when(F.col("live"), 1)).alias("alive")).where("n = sites and not u and alive >= 2")
-    members = members.join(sound.select("match_id"), "match_id", "left_semi")
+    members = stored(members.join(sound.select("match_id"), "match_id", "left_semi"))
     pairs = side(members.where("live"), "d_").join(side(members, "o_"), F.expr("d_match_id = o_match_id and d_product_id <> o_product_id"))
-    # For each pair whether the prices meet; of a stranger none does.
-    odd = pairs.groupBy("d_product_id").agg(F.min(F.when(F.col("o_live"), apart(F.col("d_price_cents"), F.col("o_price_cents")))).alias("far")).where("far").select("d_product_id")
-    pairs = pairs.join(odd, "d_product_id", "left_semi")
-    # The least and the greatest of the living prices: a price that is one with both is one with all.
-    rest = pairs.groupBy("d_product_id").agg(F.min(F.when(F.col("o_live"), F.col("o_price_cents"))).alias("low"), F.max(F.when(F.col("o_live"), F.col("o_price_cents"))).alias("high"), F.collect_set(F.when(F.col("o_live"), F.col(f"o_{block}"))).alias("blocks"))
+    # Of a stranger no price meets that of a living member. The least and the greatest of these: a price that is one with both is one with all.
+    of = lambda c: F.when(F.col("o_live"), c)
+    rest = pairs.groupBy("d_product_id").agg(F.min(of(apart(F.col("d_price_cents"), F.col("o_price_cents")))).alias("far"), F.min(of(F.col("o_price_cents"))).alias("low"), F.max(of(F.col("o_price_cents"))).alias("high"), F.collect_set(of(F.col(f"o_{block}"))).alias("blocks")).where("far").drop("far")
     kinds = tuple(dict.fromkeys(("site", block, "price_cents", "country_code", *(alike or state.columns))))
     free = state.where("match_id is null").where(live).withColumn("kind", F.min("product_id").over(Window.partitionBy(*kinds)))
     place = F.row_number().over(Window.partitionBy("kind").orderBy("product_id")).cast("long") - 1

@@ -28,8 +28,9 @@ fresh AS MATERIALIZED (
 
 
 def state_of(spark, d):
+    """The state; a name is folded once, however many rows have it."""
     p = listings(spark, d)
-    return p.select(
+    rows = stored(p.select(
         "product_id",
         "site",
         F.when(F.col("product_id") % 5 < 3, F.col("match_id")).alias("match_id"),
@@ -42,12 +43,13 @@ def state_of(spark, d):
         (10 + F.col("match_id") % 2 * 10).alias("pack"),
         F.array(F.col("match_id") % 3).alias("strengths"),
         F.split("words", " ")[1].alias("block"),
-        text.tokens(names.fold(F.col("words"))).alias("key"),
         "url",
         "country_code",
         F.when(F.expr("product_id div 9 % 3 = 1"), F.lit("2001-09-01")).otherwise(F.lit("2001-11-01")).cast("timestamp_ntz").alias("last_seen_at"),
         (1000 + F.col("match_id") % 4 * 100 + F.when(F.col("product_id") % 7 == 0, 1000).otherwise(0)).alias("price_cents"),
-    )
+    ))
+    keys = stored(rows.select("norm").distinct().select("norm", text.tokens(names.fold(F.col("norm"))).alias("key")))
+    return rows.join(keys, "norm", "left")
 
 
 def fresh(spark, d):
@@ -191,8 +193,10 @@ def rolled_back_topology(spark, d):
     """Three steps of upkeep, each logged, undone from the log: the state is what it was."""
     start = fresh(spark, d)
     state, log = start, None
-    for seq, step in enumerate((lambda s: curation.lost_moves(s, clash), lambda s: curation.dead_moves(s, clash, score, alike=("key",)), lambda s: curation.stranger_moves(s, s.select("product_id", "price_cents"), clash, gap, alike=("key",))), 1):
+    steps = (lambda s: curation.lost_moves(s, clash), lambda s: curation.dead_moves(s, clash, score, alike=("key",)), lambda s: curation.stranger_moves(s, s.select("product_id", "price_cents"), clash, gap, alike=("key",)))
+    for seq, step in enumerate(steps, 1):
         moves = stored(curation.logged(step(state), seq))
         log = moves if log is None else log.unionByName(moves)
-        state = stored(curation.applied(state, moves))
+        # What comes after the last step reads only where products are.
+        state = stored(curation.applied(state if seq < len(steps) else state.select("product_id", "match_id"), moves))
     return curation.rolled_back(state, stored(log), 0).select("product_id", "match_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from offerlens.operators import curation
 from offerlens.sources.shared import stored
 
-from .test_curation import OLD, SCHEMA, clash, fresh, moves, no_gap, row
+from .test_curation import NOW, OLD, SCHEMA, clash, fresh, moves, no_gap, row
 
 
 def test_dead_members_of_a_kind_share_a_list(spark):
@@ -70,3 +70,24 @@ def test_merges_meet_no_twins_but_the_only_one(spark):
     found = curation.merge_moves(fresh(spark, state + crowd), clash)
     assert "count(1) windowspecdefinition" not in shape(found).lower() and "l_product_id#" not in "".join(x for x in shape(found).splitlines() if "Window [" in x)
     assert moves(stored(found)) == sorted([(2, 1, None), (1, 1, 2)], key=repr)
+
+
+def test_freshness_does_not_deal_rows_by_site(spark):
+    """Sites are few: rows dealt by site would be as many tasks, whatever their number."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = curation.with_freshness(spark.createDataFrame([row(1, "a", 1)], SCHEMA), NOW)
+        assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_name_is_folded_once_and_the_last_line_is_one_maximum(spark):
+    """The state reads stored rows, its keys are those of its different names, and the last line is no pair of maxima."""
+    from offerlens.plans.curation import state_of
+    from offerlens.sources.adapter import latest_observations
+
+    d = "/root/testdata/sf0.001"
+    plan = shape(state_of(spark, d))
+    assert "regexp_replace" not in plan and "Aggregate" not in plan
+    assert "max_by" not in shape(latest_observations(spark, d))
