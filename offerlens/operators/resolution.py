@@ -155,11 +155,13 @@ def resolved(products: DataFrame, sites: tuple[str, ...], passes: tuple = PASSES
     site at most and is named by its smallest product. A product joins a cluster only if its kind (site, name, country) is
     linked to those of all members. Names that fit several others are linked to none. Products without a name or of
     another site take no part."""
-    everything = products.where(F.col("site").isin(*sites) & F.col("name").isNotNull() & F.col("product_id").isNotNull())
+    known = lambda c: F.col(c) if c in products.columns else F.lit(None).cast("string").alias(c)
+    listed = products.where(F.col("site").isin(*sites) & F.col("name").isNotNull() & F.col("product_id").isNotNull())
+    # Read for the barcodes, for the rest and for the sites of what barcodes found: written, so that products are worked out once.
+    everything = stored(listed.select("product_id", "site", "name", known("brand"), known("country_code"), known("barcode")))
     coded = stored(by_barcode(everything)) if use_barcodes and "barcode" in products.columns else None
     rest = everything if coded is None else everything.join(coded, "product_id", "left_anti")
-    known = lambda c: F.col(c) if c in products.columns else F.lit(None).cast("string").alias(c)
-    rest = stored(rest.select("product_id", "site", "name", known("brand"), known("country_code")).withColumn("kind", kind("site", "name", "country_code")))
+    rest = stored(rest.select("product_id", "site", "name", "brand", "country_code").withColumn("kind", kind("site", "name", "country_code")))
     links = stored(kind_links(rest, passes, crowd))
     start = lambda s: rest.where(F.col("site") == s)
     clusters = stored(start(sites[0]).select(F.col("product_id").alias("cluster"), F.array("kind").alias("l")))

@@ -92,3 +92,12 @@ def test_near_names_against_all_pairs(spark, monkeypatch, most, cell):
     want = {(a, b): len(set(x) ^ set(y)) for a, x in rows for b, y in rows if a < b and set(x) & set(y) and len(set(x) ^ set(y)) <= most}
     found = near.near_names(spark.createDataFrame([r for r in rows if r[1]], "name string, key array<string>"), most).collect()
     assert len(found) == len(want) and {(r.a, r.b): r.gap for r in found} == want
+
+
+def test_products_are_worked_out_once(spark):
+    """What comes out reads written rows only, not the products again."""
+    rows = spark.createDataFrame([(1, "a", "altai krem 100 mq", "123456789"), (2, "b", "krem altai 100 mq", "123456789")], "product_id long, site string, name string, barcode string").repartition(2)
+    found = resolution.resolved(rows, ("a", "b"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan
+    assert sorted((r.product_id, r.cluster, r.strategy) for r in found.collect()) == [(1, 1, "barcode"), (2, 1, "barcode")]
